@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.packed import doc_part, doc_salt, group_starts, grouped, hash_part, meet, n_parts, pack, rows_of, split_by, spread, unpack, with_doc_part
-from tidemark.llm.textkit import BYTE_CODES, Piece, covered, doc_keys, map_batches, pieces, range_hash
+from tidemark.llm.textkit import BYTE_CODES, Piece, covered, doc_keys, map_batches, pieces, range_hash, row_names
 
 LENGTH = 50
 GRAM = 20
@@ -201,7 +201,7 @@ def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
             return schema.empty_table()
         gram, d, v, place, behind, ahead, lb, rb = (np.concatenate(x) for x in zip(*found, strict=True))
         around = np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1)
-        name = range_hash(BYTE_CODES[around.ravel()], np.arange(len(d)) * around.shape[1], np.arange(1, len(d) + 1) * around.shape[1]) if len(d) else np.zeros(0, np.uint64)
+        name = row_names(around)
         order = np.lexsort((d, name, gram))
         starts = group_starts(gram[order], name[order])
         least = np.empty(len(d), np.int64)
@@ -297,8 +297,7 @@ def marked_strings(around: DataFrame, parts: int) -> DataFrame:
         lb, rb = col("left_bytes", np.uint8, width=SIDE), col("right_bytes", np.uint8, width=SIDE)
         # equal surroundings: only one member of the smallest document goes into the refinement
         around_ = np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1)
-        wide = around_.shape[1]
-        name = range_hash(BYTE_CODES[around_.ravel()], np.arange(len(gram)) * wide, np.arange(1, len(gram) + 1) * wide)
+        name = row_names(around_)
         order = np.lexsort((doc, name, gram))
         starts = group_starts(gram[order], name[order])
         lead = order[starts]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.session import ship
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -88,6 +88,14 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     return mix((total[ends] - total[starts]) * back[starts] + mix((ends - starts).astype(np.uint64) + U64(which)))
 
 
+def row_names(matrix: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of bytes, a column at a time."""
+    out = np.full(len(matrix), U64(matrix.shape[1]), np.uint64)
+    for column in matrix.T:
+        out = (out + BYTE_CODES[column]) * BASES[0]
+    return mix(out)
+
+
 class Words:
     """Maximal runs of bytes outside `space`, in order; doc is the row in the piece."""
 
