@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
+from tidemark.llm.window_dedup import op6_window_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op6_window_dedup": op6_window_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
