@@ -214,11 +214,9 @@ def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
         keep = np.flatnonzero(keep)
         keep = keep[np.argsort(gram[keep], kind="stable")]
         out: dict[str, list] = {f.name: [] for f in schema}
-        first = True
-        for p, rows in split_by(hash_part(gram[keep], parts), parts):
+        split = list(split_by(hash_part(gram[keep], parts), parts))
+        for (p, rows), g in zip(split, np.array_split(gone, len(split)), strict=True):  # marks travel in even shares
             r = keep[rows]
-            g = gone if first else gone[:0]
-            first = False
             for name_, value in zip(schema.names, [p, pack(gram[r], True), pack(d[r]), pack(v[r].astype(np.int32)), pack(place[r]), pack(behind[r].astype(np.uint8)), pack(ahead[r].astype(np.uint8)), pack(lb[r]), pack(rb[r]), pack(d[g]), pack(v[g].astype(np.int32)), pack(place[g]), pack(marks[g])], strict=True):
                 out[name_].append(value)
         return rows_of(out, schema)

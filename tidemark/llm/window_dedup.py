@@ -130,9 +130,9 @@ def candidate_windows(docs: DataFrame, sketch, size: int, parts: int) -> DataFra
         schema = _arrow(_SEEN)
         out: dict[str, list] = {f.name: [] for f in schema}
         n = np.minimum(counts, 255).astype(np.uint8)
-        for p, r in split_by(hash_part(name[starts], parts), parts):
+        split = list(split_by(hash_part(name[starts], parts), parts))
+        for (p, r), o in zip(split, np.array_split(own, len(split)), strict=True):  # marks travel in even shares
             s = starts[r]
-            o, own = own, own[:0]
             values = [p, pack(name[s], True), pack(check[s]), pack(n[r]), pack(doc[s]), pack(text[s]), pack(place[s]), pack(doc[o]), pack(text[o]), pack(place[o])]
             for key, value in zip(schema.names, values, strict=True):
                 out[key].append(value)
