@@ -26,9 +26,17 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark application."""
+    """Send this package to the Python workers, once for each Spark application.
+
+    Texts are long, so batches of them are held to 1000 rows where the session has the default.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     if getattr(sc, "_tidemark_shipped", False):
         return
     root = Path(__file__).resolve().parent
