@@ -39,7 +39,8 @@ from tidemark.llm.textkit import BYTE_CODES, Piece, covered, doc_keys, map_batch
 LENGTH = 50
 GRAM = 20
 SIDE = LENGTH - GRAM
-TASK_ANCHORS = 1_200_000
+TASK_ANCHORS = 800_000
+GROUP_ANCHORS = 60_000
 U64 = np.uint64
 
 _BUCKETS = "part int, grams binary, docs binary"
@@ -166,60 +167,76 @@ def _side_bytes(data: np.ndarray, at: np.ndarray, room: np.ndarray, step: int) -
     return out
 
 
+def _room(behind: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """For every anchor, bit o: a string that starts o bytes before it lies in the document."""
+    marks = np.zeros(len(behind), np.uint32)
+    for o in range(SIDE + 1):
+        marks |= ((behind >= o) & (ahead >= SIDE - o)).astype(np.uint32) << np.uint32(o)
+    return marks
+
+
 def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
     """Anchors of live buckets with the bytes around them, by q-gram part.
 
     Equal surroundings within a task keep the smallest document; the others are marked here.
     """
 
+    schema = _arrow(_AROUND)
+
+    def rows(found: list[list[np.ndarray]]) -> pa.Table:
+        gram, doc, variant, place, behind, ahead, lb, rb = (np.concatenate(x) for x in zip(*found, strict=True))
+        name = row_names(np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1))
+        order = np.lexsort((doc, name, gram))
+        starts = group_starts(gram[order], name[order])
+        least = np.empty(len(doc), np.int64)
+        least[order] = spread(doc[order][starts], starts, len(doc))
+        marks = _room(behind, ahead)
+        gone = np.flatnonzero((doc != least) & (marks > 0))
+        keep = np.flatnonzero(doc == least)
+        keep = keep[np.argsort(gram[keep], kind="stable")]
+        out: dict[str, list] = {f.name: [] for f in schema}
+        split = list(split_by(hash_part(gram[keep], parts), parts))
+        for (p, r), g in zip(split, np.array_split(gone, len(split)), strict=True):  # marks travel in even shares
+            r = keep[r]
+            own = [p, pack(gram[r], True), pack(doc[r]), pack(variant[r].astype(np.int32)), pack(place[r]), pack(behind[r].astype(np.uint8)), pack(ahead[r].astype(np.uint8)), pack(lb[r]), pack(rb[r])]
+            local = [pack(doc[g]), pack(variant[g].astype(np.int32)), pack(place[g]), pack(marks[g])]
+            for key, value in zip(schema.names, own + local, strict=True):
+                out[key].append(value)
+        return rows_of(out, schema)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = _arrow(_AROUND)
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         left, variant = _variants(left)
         doc = left["doc"].to_numpy()
-        grams = np.concatenate([unpack(x, np.uint64, True) for x in right["grams"].to_pylist()])
-        owners = np.concatenate([unpack(x, np.int64) for x in right["docs"].to_pylist()])
+        grams = np.concatenate([unpack(x.as_py(), np.uint64, True) for x in right["grams"]])
+        owners = np.concatenate([unpack(x.as_py(), np.int64) for x in right["docs"]])
         wanted = np.unique(grams ^ doc_salt(owners))
         owned = np.isin(doc, owners)
-        found: list[list[np.ndarray]] = []
-        texts = left["text"].combine_chunks().filter(pa.array(owned))
-        texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+        tables, found, held = [], [], 0
+        texts = left["text"].filter(pa.array(owned))
         doc, variant = doc[owned], variant[owned]
-        for piece in pieces(texts):
-            at, gram, row = _anchors(piece)
-            d = doc[piece.rows[row]]
-            key = gram ^ doc_salt(d)
-            i = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            hit = wanted[i] == key
-            at, gram, row, d = at[hit], gram[hit], row[hit], d[hit]
-            place = at - piece.offsets[row]
-            ahead = np.minimum(piece.offsets[row + 1] - at - GRAM, SIDE)
-            behind = np.minimum(place, SIDE)
-            found.append([gram, d, variant[piece.rows[row]], place, behind, ahead, _side_bytes(piece.data, at - 1, behind, -1), _side_bytes(piece.data, at + GRAM, ahead, 1)])
-        if not found:
-            return schema.empty_table()
-        gram, d, v, place, behind, ahead, lb, rb = (np.concatenate(x) for x in zip(*found, strict=True))
-        around = np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1)
-        name = row_names(around)
-        order = np.lexsort((d, name, gram))
-        starts = group_starts(gram[order], name[order])
-        least = np.empty(len(d), np.int64)
-        least[order] = spread(d[order][starts], starts, len(d)) if len(d) else d
-        keep = d == least
-        marks = np.zeros(len(d), np.uint32)
-        for o in range(SIDE + 1):
-            marks |= ((behind >= o) & (ahead >= SIDE - o)).astype(np.uint32) << np.uint32(o)
-        gone = np.flatnonzero(~keep & (marks > 0))
-        keep = np.flatnonzero(keep)
-        keep = keep[np.argsort(gram[keep], kind="stable")]
-        out: dict[str, list] = {f.name: [] for f in schema}
-        split = list(split_by(hash_part(gram[keep], parts), parts))
-        for (p, rows), g in zip(split, np.array_split(gone, len(split)), strict=True):  # marks travel in even shares
-            r = keep[rows]
-            for name_, value in zip(schema.names, [p, pack(gram[r], True), pack(d[r]), pack(v[r].astype(np.int32)), pack(place[r]), pack(behind[r].astype(np.uint8)), pack(ahead[r].astype(np.uint8)), pack(lb[r]), pack(rb[r]), pack(d[g]), pack(v[g].astype(np.int32)), pack(place[g]), pack(marks[g])], strict=True):
-                out[name_].append(value)
-        return rows_of(out, schema)
+        base = 0
+        for chunk in texts.chunks:
+            for piece in pieces(chunk):
+                at, gram, row = _anchors(piece)
+                d = doc[piece.rows[row] + base]
+                key = gram ^ doc_salt(d)
+                hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                at, gram, row, d = at[hit], gram[hit], row[hit], d[hit]
+                place = at - piece.offsets[row]
+                ahead = np.minimum(piece.offsets[row + 1] - at - GRAM, SIDE)
+                behind = np.minimum(place, SIDE)
+                if len(at):
+                    found.append([gram, d, variant[piece.rows[row] + base], place, behind, ahead, _side_bytes(piece.data, at - 1, behind, -1), _side_bytes(piece.data, at + GRAM, ahead, 1)])
+                held += len(at)
+                if held > GROUP_ANCHORS:
+                    tables.append(rows(found))
+                    found, held = [], 0
+            base += len(chunk)
+        if held:
+            tables.append(rows(found))
+        return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return meet(docs, live, run, _AROUND)
 
@@ -302,9 +319,7 @@ def marked_strings(around: DataFrame, parts: int) -> DataFrame:
         lead_marks = _mark(gram[lead], doc[lead], behind[lead], ahead[lead], lb[lead], rb[lead])
         marks = np.empty(len(gram), np.uint32)
         marks[order] = spread(lead_marks, starts, len(gram))
-        full = np.zeros(len(gram), np.uint32)
-        for o in range(SIDE + 1):
-            full |= ((behind >= o) & (ahead >= SIDE - o)).astype(np.uint32) << np.uint32(o)
+        full = _room(behind, ahead)
         least = np.empty(len(gram), np.int64)
         least[order] = spread(doc[lead], starts, len(gram))
         marks = np.where(doc > least, full, marks)

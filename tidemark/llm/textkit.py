@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.session import ship
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
