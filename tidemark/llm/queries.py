@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from tidemark.llm.mixing import op4_mixing
+from tidemark.llm.ngram_join import op3_ngram_join
+from tidemark.llm.pii import op5_pii
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
 from tidemark.llm.window_dedup import op6_window_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_window_dedup": op6_window_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
