@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkit import mix
+from tidemark.llm.textkit import give_back, mix
 from tidemark.session import ship
 
 U64 = np.uint64
@@ -70,13 +70,23 @@ def hash_part(h: np.ndarray, parts: int) -> np.ndarray:
 
 def grouped(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.groupBy("part").applyInArrow(fn, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        give_back()
+        return fn(table)
+
+    return df.groupBy("part").applyInArrow(run, schema)
 
 
 def meet(docs: DataFrame, postings: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Documents and their postings, part by part."""
     ship(docs.sparkSession)
-    return docs.groupBy("part").cogroup(postings.groupBy("part")).applyInArrow(fn, schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
+        return fn(left, right)
+
+    return docs.groupBy("part").cogroup(postings.groupBy("part")).applyInArrow(run, schema)
 
 
 def rows_of(columns: dict[str, list], schema: pa.Schema) -> pa.Table:

@@ -41,6 +41,7 @@ GRAM = 20
 SIDE = LENGTH - GRAM
 TASK_ANCHORS = 800_000
 GROUP_ANCHORS = 60_000
+RANGE_ANCHORS = 60_000
 U64 = np.uint64
 
 _BUCKETS = "part int, grams binary, docs binary"
@@ -301,38 +302,52 @@ def _mark(gram, doc, behind, ahead, lb, rb) -> np.ndarray:
     return marks
 
 
+def _marks_of(gram, doc, behind, ahead, lb, rb) -> np.ndarray:
+    """_mark() for anchors among which surroundings repeat: only one of equals, of the smallest
+    document, goes into the refinement; those of larger documents are marked wherever they can be."""
+    name = row_names(np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1))
+    order = np.lexsort((doc, name, gram))
+    starts = group_starts(gram[order], name[order])
+    lead = order[starts]
+    marks, least = np.empty(len(gram), np.uint32), np.empty(len(gram), np.int64)
+    marks[order] = spread(_mark(gram[lead], doc[lead], behind[lead], ahead[lead], lb[lead], rb[lead]), starts, len(gram))
+    least[order] = spread(doc[lead], starts, len(gram))
+    return np.where(doc > least, _room(behind, ahead), marks)
+
+
 def marked_strings(around: DataFrame, parts: int) -> DataFrame:
     """Refine the buckets of a part and send marks to the parts of their documents."""
 
-    def run(table: pa.Table) -> pa.Table:
-        schema = _arrow(_MARKS)
-        col = lambda name, kind, delta=False, width=1: np.concatenate([unpack(x, kind, delta, width) for x in table[name].to_pylist()])
-        gram, doc, variant, place = col("grams", np.uint64, True), col("docs", np.int64), col("variants", np.int32), col("places", np.int64)
-        behind, ahead = col("lefts", np.uint8).astype(np.int64), col("rights", np.uint8).astype(np.int64)
-        lb, rb = col("left_bytes", np.uint8, width=SIDE), col("right_bytes", np.uint8, width=SIDE)
-        # equal surroundings: only one member of the smallest document goes into the refinement
-        around_ = np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1)
-        name = row_names(around_)
-        order = np.lexsort((doc, name, gram))
-        starts = group_starts(gram[order], name[order])
-        lead = order[starts]
-        lead_marks = _mark(gram[lead], doc[lead], behind[lead], ahead[lead], lb[lead], rb[lead])
-        marks = np.empty(len(gram), np.uint32)
-        marks[order] = spread(lead_marks, starts, len(gram))
-        full = _room(behind, ahead)
-        least = np.empty(len(gram), np.int64)
-        least[order] = spread(doc[lead], starts, len(gram))
-        marks = np.where(doc > least, full, marks)
-        doc, variant, place, marks = (np.concatenate([a, b]) for a, b in ((doc, col("local_docs", np.int64)), (variant, col("local_variants", np.int32)), (place, col("local_places", np.int64)), (marks, col("local_marks", np.uint32))))
+    schema = _arrow(_MARKS)
+
+    def send(doc, variant, place, marks) -> pa.Table:
         hit = np.flatnonzero(marks)
         hit = hit[np.lexsort((place[hit], doc[hit]))]
         out: dict[str, list] = {f.name: [] for f in schema}
         for p, rows in split_by(doc_part(doc[hit], parts), parts):
             r = hit[rows]
-            for name_, value in zip(schema.names, [p, pack(doc[r], True), pack(variant[r]), pack(place[r]), pack(marks[r])], strict=True):
-                out[name_].append(value)
+            for key, value in zip(schema.names, [p, pack(doc[r], True), pack(variant[r]), pack(place[r]), pack(marks[r])], strict=True):
+                out[key].append(value)
         return rows_of(out, schema)
 
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.concatenate([unpack(x.as_py(), kind) for x in table[name]])
+        tables = [send(column("local_docs", np.int64), column("local_variants", np.int32), column("local_places", np.int64), column("local_marks", np.uint32))]
+        # one range of q-grams after another, so that memory follows the range and not the part
+        grams = [unpack(x.as_py(), np.uint64, True) for x in table["grams"]]
+        every = np.sort(np.concatenate(grams))
+        ranges = -(-len(every) // RANGE_ANCHORS)
+        cuts = np.unique(every[np.arange(ranges) * len(every) // ranges])
+        del every
+        starts = [np.append(np.searchsorted(g, cuts), len(g)) for g in grams]
+        for k in range(len(cuts)):
+            gram = np.concatenate([g[s[k] : s[k + 1]] for g, s in zip(grams, starts, strict=True)])
+            col = lambda name, kind, width=1: np.concatenate([unpack(x.as_py(), kind, width=width)[s[k] : s[k + 1]] for x, s in zip(table[name], starts, strict=True)])
+            doc, behind, ahead = col("docs", np.int64), col("lefts", np.uint8).astype(np.int64), col("rights", np.uint8).astype(np.int64)
+            lb, rb = col("left_bytes", np.uint8, SIDE), col("right_bytes", np.uint8, SIDE)
+            tables.append(send(doc, col("variants", np.int32), col("places", np.int64), _marks_of(gram, doc, behind, ahead, lb, rb)))
+        return pa.concat_tables(tables)
+
     return grouped(around, run, _MARKS)
 
 

@@ -6,6 +6,7 @@ MB, at document boundaries, so memory follows the longest text and not the batch
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,6 +139,15 @@ def covered(starts: np.ndarray, width, n: int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that keeps it counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every libc has it
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
