@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.joins import hash_filter, passes
 from tidemark.llm.packed import group_starts, grouped, hash_part, n_parts, pack, rows_of, split_by, spread, unpack
 from tidemark.llm.suffix_dedup import _arrow
 from tidemark.llm.textkit import LOWER, Words, map_batches, mix, pieces, range_hash, windows
@@ -43,6 +44,7 @@ SLICES = 32
 SMALL_BUCKET = 12
 TASK_POSTINGS = 1_000_000
 MAX_RANK = 255
+FILTER_BITS = 23
 PIVOTS = 16
 U64 = np.uint64
 
@@ -251,24 +253,28 @@ def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, shape: Shape, text: str) -> DataFrame:
-    """(class, grams) of the wanted classes, from one document (`rep`) of each."""
+    """(class, grams) of the wanted classes, from one document (`rep`) of each.
+
+    Tasks test documents against a fixed-size filter of the wanted ones, so texts stay where
+    they are; sets that pass it by chance find no partner in the joins that follow.
+    """
+    name = wanted.selectExpr("class ^ shiftleft(rep, 44) ^ shiftleft(rep, 24) AS name")
+    known = docs.sparkSession.sparkContext.broadcast(hash_filter(name, "name", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sets = [], []
+            rep = batch.column("rep").to_numpy().astype(np.int64).view(np.uint64)
             for piece in pieces(batch.column("text")):
                 h, doc = gram_sets(piece, shape.gram)
                 sizes, name = _classes(h, doc, len(piece))
+                mine = rep[piece.rows]
+                hit = np.flatnonzero((sizes > 0) & passes(name ^ (mine << U64(44)) ^ (mine << U64(24)), known.value))
                 ends = np.cumsum(sizes)
-                for i, c in enumerate(name.view(np.int64)):
-                    names.append(int(c))
-                    sets.append(np.sort(h[ends[i] - sizes[i] : ends[i]]).tobytes())
-            got = pa.array(names, pa.int64())
-            same = pa.compute.equal(got, batch.column("class"))
-            yield pa.RecordBatch.from_arrays([got.filter(same), pa.array(sets, pa.binary()).filter(same)], ["class", "grams"])
+                sets = [np.sort(h[ends[i] - sizes[i] : ends[i]]).tobytes() for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(name[hit].view(np.int64)), pa.array(sets, pa.binary())], ["class", "grams"])
 
-    read = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62))).alias("rep"), docs[text].alias("text")).join(wanted, "rep").select("class", "text")
-    return map_batches(read, run, "class long, grams binary").dropDuplicates(["class"])
+    read = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62))).alias("rep"), docs[text].alias("text"))
+    return map_batches(read, run, "class long, grams binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
@@ -314,7 +320,7 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps.select("class", "rep"), "class")
-        return cut(verified(pairs, cut(class_sets(docs, wanted, shape, text)), shape))
+        return cut(verified(pairs, class_sets(docs, wanted, shape, text), shape).distinct())
 
     edges = links(found.where("kind = 0").select("a", "b"))
     groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.joins import hash_filter, passes
 from tidemark.llm.textkit import BYTE_CODES, LOWER, Words, map_batches, pieces, range_hash
 from tidemark.session import cut
 
@@ -157,11 +158,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text: str = "text") -> Dat
     Tasks first test words against 2 ** FILTER_BITS bits set for the terms, a size that does not
     grow with them; words that pass are counted by task, summed, and joined with the terms.
     """
-    slot = F.shiftrightunsigned("term", 64 - FILTER_BITS)
-    words = terms.select(slot.alias("slot")).selectExpr("slot >> 6 AS cell", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit").groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():  # at most 2 ** FILTER_BITS bits
-        bits[r.cell] = r.bits
+    bits = hash_filter(terms, "term", FILTER_BITS)
     known = docs.sparkSession.sparkContext.broadcast(bits)
     edge = np.zeros(256, bool)
     edge[[ord(c) for c in _EDGES]] = True
@@ -183,8 +180,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text: str = "text") -> Dat
                     open_ = open_[(s[open_] < e[open_]) & edge[data[e[open_] - 1]]]
                     e[open_] -= 1
                 h = range_hash(BYTE_CODES[data], s, e)
-                place = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
+                hit = passes(h, bits)
                 pair = np.unique(np.stack([words.doc[hit], h[hit].view(np.int64)], 1), axis=0)
                 for t, n in zip(*(x.tolist() for x in np.unique(pair[:, 1], return_counts=True)), strict=True):
                     total[t] = total.get(t, 0) + n
