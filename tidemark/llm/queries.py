@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import op9_decontaminate
+from tidemark.llm.licenses import op7_licenses
 from tidemark.llm.mixing import op4_mixing
 from tidemark.llm.ngram_join import op3_ngram_join
 from tidemark.llm.pii import op5_pii
@@ -15,7 +17,9 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_window_dedup": op6_window_dedup,
+    "op7_licenses": op7_licenses,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
