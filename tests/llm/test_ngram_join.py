@@ -57,9 +57,10 @@ def rows_of_corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("bucket", [1, 12])
-def test_matches_brute_force(spark, bucket, monkeypatch):
+@pytest.mark.parametrize(("bucket", "block"), [(1, 2048), (1, 3), (12, 2048)])
+def test_matches_brute_force(spark, bucket, block, monkeypatch):
     monkeypatch.setattr(n, "SMALL_BUCKET", bucket)
+    monkeypatch.setattr(n, "LIST_BLOCK", block)
     rows = rows_of_corpus(bucket)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in n.link_groups(df).collect()]

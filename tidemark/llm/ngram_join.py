@@ -9,10 +9,9 @@ Documents with one set of n-grams form a class; links are sought between classes
 3. Length and positional filters drop pairs that cannot reach the overlap. Postings of an n-gram
    with up to SMALL_BUCKET classes give all pairs that pass. Longer ones give the pairs with one
    leader each, and after these are verified and joined to components, the pairs whose members
-   are in different components still. So a large group of near copies costs a pair a posting,
-   and no link between components is lost.
-4. Each pair is verified once on the whole sets, behind a suffix filter: the parts of both sets
-   between fixed pivots bound the overlap.
+   are in different components still, so no link between components is lost. These pass a
+   suffix filter first: counts of n-grams in RANGES ranges of hashes bound the intersection.
+4. Each pair is verified once on the whole sets, behind the same bound from fixed pivots.
 
 Linked components follow from verified pairs by alternating stars.
 
@@ -46,6 +45,8 @@ TASK_POSTINGS = 1_000_000
 MAX_RANK = 255
 FILTER_BITS = 23
 PIVOTS = 16
+RANGES = 128
+LIST_BLOCK = 2048
 U64 = np.uint64
 
 _POSTINGS = "part int, grams binary, classes binary, sizes binary, places binary"
@@ -94,6 +95,19 @@ def _classes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return sizes, mix((total[ends] - total[ends - sizes]) ^ mix(sizes.astype(np.uint64)))
 
 
+def _profiles(h: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
+    """How many n-grams of each set lie in each of RANGES ranges of hashes; 255 is "or more"."""
+    cell = doc * RANGES + (h >> U64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+    count = np.minimum(np.bincount(cell, minlength=n * RANGES), 255).astype(np.uint8)
+    return [row.tobytes() for row in count.reshape(n, RANGES)]
+
+
+def _common_at_most(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bound of the intersection of a set with others, from profiles (suffix filter)."""
+    both = np.minimum(mine, others).astype(np.int64)
+    return np.where((both == 255).any(1), np.int64(1) << 40, both.sum(1))
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - CELL_BITS)).astype(np.int64)
 
@@ -101,7 +115,7 @@ def _cell(h: np.ndarray) -> np.ndarray:
 def _sketch_rows(count: np.ndarray) -> Iterator[pa.RecordBatch]:
     size = len(count) // SLICES
     cols = [[None] * SLICES] * 3
-    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(range(SLICES), pa.int32()), pa.array([pack(np.minimum(count[i * size : (i + 1) * size], 65535).astype(np.uint16)) for i in range(SLICES)], pa.binary())], ["doc_id", "n_shingles", "class", "part", "counts"])
+    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([pack(np.minimum(count[i * size : (i + 1) * size], 65535).astype(np.uint16)) for i in range(SLICES)], pa.binary())], ["doc_id", "n_shingles", "class", "profile", "part", "counts"])
 
 
 def scan_sets(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
@@ -110,9 +124,10 @@ def scan_sets(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, profiles = [], [], []
             for piece in pieces(batch.column("text")):
                 h, doc = gram_sets(piece, shape.gram)
+                profiles += _profiles(h, doc, len(piece))
                 count += np.bincount(_cell(h), minlength=1 << CELL_BITS)
                 s, c = _classes(h, doc, len(piece))
                 sizes.append(s)
@@ -120,11 +135,11 @@ def scan_sets(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
             n = batch.num_rows
             size = np.concatenate([np.zeros(0, np.int64), *sizes])
             name = np.concatenate([np.zeros(0, np.uint64), *names]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name, mask=size == 0), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "class", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name, mask=size == 0), pa.array(profiles, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "class", "profile", "part", "counts"])
         if count.any():
             yield from _sketch_rows(count)
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_shingles long, class long, part int, counts binary")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_shingles long, class long, profile binary, part int, counts binary")
 
 
 def _merge_slices(table: pa.Table) -> pa.Table:
@@ -229,27 +244,36 @@ def first_pairs(postings: DataFrame, shape: Shape) -> DataFrame:
 
 
 def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
-    """Pairs (a, b) of long posting lists whose components differ; rows need `component`."""
+    """Pairs (a, b) of long posting lists whose components differ and whose profiles could reach
+    the overlap. long: gram, class, size, place, component, profile.
+
+    A list longer than LIST_BLOCK is cut into blocks, and every two blocks meet in a task of
+    their own, so no list comes to one task whole.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        cols = [table[c].to_numpy() for c in ("gram", "class", "size", "place", "component")]
-        order = np.lexsort((cols[1], cols[0]))
-        gram, name, size, place, comp = (c[order].astype(np.int64) for c in cols)
+        table = table.sort_by([(c, "ascending") for c in ("gram", "lo", "hi", "class")])
+        gram, lo, hi, block, name, size, place, comp = (table[c].to_numpy().astype(np.int64) for c in ("gram", "lo", "hi", "block", "class", "size", "place", "component"))
+        profile = np.frombuffer(b"".join(table["profile"].to_pylist()), np.uint8).reshape(-1, RANGES)
         found = [np.zeros((0, 2), np.int64)]
-        starts = group_starts(gram)
+        starts = group_starts(gram, lo, hi)
         for s, e in zip(starts.tolist(), np.append(starts[1:], len(gram)).tolist(), strict=True):
-            if (comp[s:e] == comp[s]).all():
-                continue
-            for i in range(s, e - 1):  # a block of one row against the rest of the list
+            for i in range(s, e - 1):  # a row against the rest of its list, or of the other block
                 j = np.arange(i + 1, e)
-                j = j[comp[j] != comp[i]]
+                j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (lo[s] == hi[s]))]
                 j = j[_possible(size[i], place[i], size[j], place[j], shape)]
-                found.append(np.stack([np.full(len(j), name[i]), name[j]], 1))
+                j = j[_common_at_most(profile[i], profile[j]) >= shape.overlap(size[i], size[j])]
+                if len(j):
+                    found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
         pair = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
 
-    return grouped(long.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int")), run, "a long, b long")
+    lists = cut(long.groupBy("gram").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("gram", "blocks"))
+    rows = long.join(lists, "gram").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rows = rows.select("gram", "lo", "hi", "block", "class", "size", "place", "component", "profile", F.pmod(F.xxhash64("gram", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
+    return grouped(rows, run, "a long, b long").distinct()
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, shape: Shape, text: str) -> DataFrame:
@@ -305,16 +329,16 @@ def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
 
 def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class (null for an empty set) of every row."""
-    spark, shape, parts = docs.sparkSession, Shape(gram, percent), n_parts(docs)
+    spark, shape, parts = docs.sparkSession, Shape(gram, percent), n_parts(docs, text)
     scanned = cut(scan_sets(docs, shape, text))
-    rows = scanned.where("part is null").select("doc_id", "n_shingles", "class")
+    rows = scanned.where("part is null").select("doc_id", "n_shingles", "class", "profile")
     merged = grouped(scanned.where("part is not null").select("part", "counts"), _merge_slices, "part int, counts binary").collect()  # 2 ** CELL_BITS counts
     slices = {r["part"]: unpack(bytes(r["counts"]), np.uint16) for r in merged}
     empty = np.zeros((1 << CELL_BITS) // SLICES, np.uint16)
     ranks = spark.sparkContext.broadcast(_rank(np.concatenate([slices.get(i, empty) for i in range(SLICES)])).astype(np.uint8))
 
     low = F.lit(-(1 << 62))
-    reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep")))
+    reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep"), F.first("profile").alias("profile")))
     found = cut(first_pairs(prefix_postings(docs, ranks, shape, parts, text), shape))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -326,8 +350,8 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
     groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("class"), "size", "place")
     long = long.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = long.groupBy("gram").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("gram")
-    more = cut(second_pairs(cut(long).join(cut(mixed), "gram"), shape, parts))
+    long = cut(long.join(reps.select("class", "profile"), "class"))
+    more = cut(second_pairs(long, shape, parts))
     if not more.isEmpty():
         edges = edges.union(links(more))
         groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))

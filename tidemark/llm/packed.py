@@ -21,10 +21,14 @@ from tidemark.session import ship
 U64 = np.uint64
 
 
-def n_parts(df: DataFrame, least: int = 64) -> int:
-    """Parts of a shuffle of packed rows; odd, so that strided ids are dealt evenly; they grow with
-    spark.sql.shuffle.partitions."""
-    return max(least, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) | 1
+GROUP_BYTES = 2 << 20
+
+
+def n_parts(docs: DataFrame, text: str = "text", least: int = 64) -> int:
+    """Parts in which GROUP_BYTES of text meet, so that a group's memory does not grow with the
+    corpus; odd, so that strided ids are dealt evenly."""
+    size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
+    return max(least, size // GROUP_BYTES) | 1
 
 
 def pack(a: np.ndarray, delta: bool = False) -> bytes:

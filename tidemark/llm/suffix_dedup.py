@@ -396,7 +396,7 @@ def removed_bytes(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text") -> DataFrame:
-    parts = n_parts(docs)
+    parts = n_parts(docs, text)
     rows = with_doc_part(docs, parts, text)
     by_part = rows.select("part", "doc", "doc_id", "text")
     live = live_buckets(initial_buckets(rows, parts), parts)

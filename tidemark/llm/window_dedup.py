@@ -218,7 +218,7 @@ def removed_words(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def dedup_windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    parts = n_parts(docs)
+    parts = n_parts(docs, text)
     rows = with_doc_part(docs, parts, text)
     merged = merged_sketch(task_sketches(rows, parts), parts).collect()  # at most 2 ** CELL_BITS bits
     size = _slices(parts)
