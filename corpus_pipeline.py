@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import decontaminate, mixing, ngram_join, quality_rules, token_files
 from tidemark.session import checkpoint_dir
 
 STAGES = [
     ("quality rules", quality_rules.filter_stage),
+    ("n-gram Jaccard join", ngram_join.near_duplicate_stage),
+    ("benchmark decontamination", decontaminate.decontaminate_stage),
+    ("mixing sources to target weights", mixing.mixing_stage),
+    ("token-ID / binary output", token_files.tokens_stage),
 ]
 
 #: Several stages are not expressible in SQL; tests hold them against brute-force versions.

@@ -7,11 +7,15 @@ from tidemark.llm.licenses import op7_licenses
 from tidemark.llm.mixing import op4_mixing
 from tidemark.llm.ngram_join import op3_ngram_join
 from tidemark.llm.pii import op5_pii
+from tidemark.llm.preferences import ORACLE as OP1_SQL
+from tidemark.llm.preferences import op1_preferences
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
+from tidemark.llm.token_files import op10_token_files
 from tidemark.llm.window_dedup import op6_window_dedup
 
 QUERIES = {
+    "op1_preferences": op1_preferences,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
@@ -20,6 +24,9 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_preferences": OP1_SQL,
+}
