@@ -1,4 +1,4 @@
-"""Registry of the engine's queries and of the SQL that checks them."""
+"""All queries and their SQL, gathered from the modules that register them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import queries_forecast, queries_quality, queries_text, queries_vintage  # noqa: F401
+from tidemark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
