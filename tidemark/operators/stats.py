@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.score import paired
-from tidemark.session import ship
+from tidemark.session import cut, ship
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, keys: list[str], unit: str, by: list[str], metric: str = "wis", n: int = 1000, seed: int = 0) -> DataFrame:
@@ -55,9 +55,9 @@ def two_way_share(rows: DataFrame, cells: list[str], series: str, unit: str, eve
     and left out. Each cell is one group of at most series x units counts.
     """
     ship(rows.sparkSession)
-    counts = rows.groupBy(*cells, series, unit).agg(F.sum(F.col(event).cast("long")).alias("k"), F.count(event).alias("n"))
-    all_series = [r[0] for r in rows.select(series).distinct().orderBy(series).collect()]  # names of series and
-    all_units = [r[0] for r in rows.select(unit).distinct().orderBy(unit).collect()]  # origins: axes of the design
+    counts = cut(rows.groupBy(*cells, series, unit).agg(F.sum(F.col(event).cast("long")).alias("k"), F.count(event).alias("n")))
+    all_series = [r[0] for r in counts.select(series).distinct().orderBy(series).collect()]  # names of series and
+    all_units = [r[0] for r in counts.select(unit).distinct().orderBy(unit).collect()]  # origins: axes of the design
     w, v = two_way_weights(len(all_series), len(all_units), n, seed, block)
     at_s, at_u = {x: i for i, x in enumerate(all_series)}, {x: i for i, x in enumerate(all_units)}
     sent = rows.sparkSession.sparkContext.broadcast((w, v, at_s, at_u))

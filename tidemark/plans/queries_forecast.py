@@ -15,6 +15,7 @@ from tidemark.plans import testbed as T
 from tidemark.plans.queries_vintage import SQL_FINAL, SQL_FR, SQL_TARGETS, W, targets_now
 from tidemark.plans.queries_vintage import ORIGINS as SQL_ORIGINS
 from tidemark.plans.registry import query, rounded
+from tidemark.session import cut
 
 FIRST, LAST = "2000-01-01", "2000-12-01"
 BY = ["target", "series"]
@@ -404,7 +405,7 @@ def coherence_gaps(spark, d):
 @query(None)
 def reconciled_forecasts(spark, d):
     """MinT over groups and regions; the result adds up at every quantile's median projection."""
-    f = levels_of_forecasts(spark, d)
+    f = cut(levels_of_forecasts(spark, d))
     pairs = T.hierarchy(spark, d).select("group_code", "region").distinct().collect()  # dimension rows
     parents: dict[str, tuple[str, ...]] = {}
     have = {r[0] for r in f.where("level = 'org'").select("series").distinct().collect()}
@@ -503,3 +504,25 @@ def cost_loss(spark, d):
 @query(f"SELECT origin, {T.sql_thursday('origin')} AS as_of FROM {SQL_ORIGINS}")
 def origins_and_days(spark, d):
     return T.months(spark, FIRST, LAST).select("origin", second_thursday("origin").alias("as_of"))
+
+
+def _model(name):
+    def run(spark, d):
+        from tidemark.operators import models
+
+        p = panel_now(spark, d).where("target = 'all'")
+        return rounded(models.forecast(p, name, ["target"]).select("target", "series", "horizon", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
+
+    return run
+
+
+for _name in ("ets", "stl_arima", "boosted", "ensemble"):
+    query(None, f"model_{_name}")(_model(_name))
+
+
+@query(None)
+def stream_daily_events(spark, d):
+    """The daily event counts as a stream with a watermark, drained once."""
+    from tidemark.streaming import events as S
+
+    return rounded(S.run_once(S.daily(S.read_table(spark, d, "events"))), 6)
