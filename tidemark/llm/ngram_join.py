@@ -243,6 +243,31 @@ def first_pairs(postings: DataFrame, shape: Shape) -> DataFrame:
     return grouped(postings, run, "kind int, a long, b long, size int, place int")
 
 
+def bounded(pairs: DataFrame, reps: DataFrame, shape: Shape) -> DataFrame:
+    """Pairs (a, b) whose profiles could reach the overlap (suffix filter before the sets move)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("pa", "pb"))
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            keep = pa.array(_common_at_most(x, y) >= shape.overlap(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    side = lambda c: reps.select(F.col("class").alias(c), F.col("profile").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
+    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb"), run, "a long, b long")
+
+
+def _earlier_lists(of: np.ndarray, bounds: np.ndarray, s: int, e: int, gram: int) -> np.ndarray:
+    """For rows s to e of a list, bits of the lists before `gram` that each row is also in."""
+    row = np.repeat(np.arange(e - s), np.diff(bounds[s : e + 1]))
+    mine = of[bounds[s] : bounds[e]]
+    before = mine < gram
+    names, at = np.unique(mine[before], return_inverse=True)
+    bits = np.zeros((e - s, -(-max(len(names), 1) // 8)), np.uint8)
+    np.bitwise_or.at(bits, (row[before], at >> 3), (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
 def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
     """Pairs (a, b) of long posting lists whose components differ and whose profiles could reach
     the overlap. long: gram, class, size, place, component, profile.
@@ -256,11 +281,16 @@ def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
         table = table.sort_by([(c, "ascending") for c in ("gram", "lo", "hi", "class")])
         gram, lo, hi, block, name, size, place, comp = (table[c].to_numpy().astype(np.int64) for c in ("gram", "lo", "hi", "block", "class", "size", "place", "component"))
         profile = np.frombuffer(b"".join(table["profile"].to_pylist()), np.uint8).reshape(-1, RANGES)
+        lists = table["lists"].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        of, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
         found = [np.zeros((0, 2), np.int64)]
         starts = group_starts(gram, lo, hi)
         for s, e in zip(starts.tolist(), np.append(starts[1:], len(gram)).tolist(), strict=True):
+            earlier = _earlier_lists(of, bounds, s, e, gram[s])
             for i in range(s, e - 1):  # a row against the rest of its list, or of the other block
                 j = np.arange(i + 1, e)
+                j = j[~(earlier[j - s] & earlier[i - s]).any(1)]  # pairs that meet in an earlier list leave that one
                 j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (lo[s] == hi[s]))]
                 j = j[_possible(size[i], place[i], size[j], place[j], shape)]
                 j = j[_common_at_most(profile[i], profile[j]) >= shape.overlap(size[i], size[j])]
@@ -270,9 +300,11 @@ def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
 
     lists = cut(long.groupBy("gram").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("gram", "blocks"))
-    rows = long.join(lists, "gram").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    mixed = cut(long.join(lists, "gram"))
+    by_class = mixed.groupBy("class").agg(F.sort_array(F.collect_list("gram")).alias("lists"))
+    rows = mixed.join(by_class, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    rows = rows.select("gram", "lo", "hi", "block", "class", "size", "place", "component", "profile", F.pmod(F.xxhash64("gram", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
+    rows = rows.select("gram", "lo", "hi", "block", "class", "size", "place", "component", "profile", "lists", F.pmod(F.xxhash64("gram", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
     return grouped(rows, run, "a long, b long").distinct()
 
 
@@ -338,7 +370,7 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
     ranks = spark.sparkContext.broadcast(_rank(np.concatenate([slices.get(i, empty) for i in range(SLICES)])).astype(np.uint8))
 
     low = F.lit(-(1 << 62))
-    reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep"), F.first("profile").alias("profile")))
+    reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep"), F.first("profile").alias("profile"), F.first("n_shingles").alias("n_shingles")))
     found = cut(first_pairs(prefix_postings(docs, ranks, shape, parts, text), shape))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -346,7 +378,7 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps.select("class", "rep"), "class")
         return cut(verified(pairs, class_sets(docs, wanted, shape, text), shape).distinct())
 
-    edges = links(found.where("kind = 0").select("a", "b"))
+    edges = links(bounded(cut(found.where("kind = 0").select("a", "b").distinct()), reps, shape))
     groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("class"), "size", "place")
     long = long.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -370,4 +402,4 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class")
