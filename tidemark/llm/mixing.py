@@ -108,7 +108,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source") -> tuple[Da
     blocks = F.ceil(F.col("source_size") / BLOCK)
     plan = targets.where("source_size > 0").select("source_no", blocks.alias("blocks"), F.least(F.round(F.col("target") / BLOCK).cast("long"), blocks * LIMIT).alias("slots"))
     # slots are made in runs, so that a large source is dealt over many tasks
-    runs = plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.expr("(slots - 1) div 4096")))).repartition("source_no", "run")
+    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.expr("(slots - 1) div 4096")))).repartition(dealt, "source_no", "run")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
     epoch = F.expr("slot div blocks")
     block = _permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.xxhash64(F.lit(SEED), "source_no", epoch))
@@ -143,11 +144,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     numbered = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("again", F.row_number().over(same))
     chosen = chosen.withColumn("again_", F.row_number().over(Window.partitionBy("id_", "source_", "print_").orderBy("rn")))
     on = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.xxhash64("text") == F.col("print_")) & (F.col("again") == F.col("again_"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = lambda k: F.flatten(F.transform(F.filter("taken_", lambda p: p["times"] >= k), lambda p: F.slice(words, p["from_word"].cast("int") + 1, p["words"].cast("int"))))
     whole_once = (F.col("all_") == F.col("size")) & (F.col("most") == 1)
+    out = numbered.join(chosen, on).withColumn("words_", F.when(~whole_once, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    part = lambda k: F.flatten(F.transform(F.filter("taken_", lambda p: p["times"] >= k), lambda p: F.slice("words_", p["from_word"].cast("int") + 1, p["words"].cast("int"))))
     mixed = F.array_join(F.concat(*(part(k) for k in range(1, LIMIT + 1))), " ")
-    out = numbered.join(chosen, on).withColumn("mixed_", F.when(whole_once, F.col("text")).otherwise(mixed))
+    out = out.withColumn("mixed_", F.when(whole_once, F.col("text")).otherwise(mixed))
     return out.select("doc_id", F.col("mixed_").alias("text"), "lang", "source", F.when(whole_once, F.col("n_chars")).otherwise(F.length("mixed_").cast("long")).alias("n_chars"))
 
 
