@@ -6,8 +6,8 @@ from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.licenses import op7_licenses
 from tidemark.llm.mixing import op4_mixing
 from tidemark.llm.ngram_join import op3_ngram_join
+from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
 from tidemark.llm.pii import op5_pii
-from tidemark.llm.preferences import ORACLE as OP1_SQL
 from tidemark.llm.preferences import op1_preferences
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
@@ -26,7 +26,3 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_preferences": OP1_SQL,
-}
