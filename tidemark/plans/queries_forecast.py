@@ -156,10 +156,10 @@ SQL_SCORED = f"""{SQL_Y}, {SQL_B0}, s AS (SELECT fc.*, truth.y, {WIS} AS wis, ab
    FROM fc JOIN truth USING (target, series, period) WHERE q IS NOT NULL AND (scale IS NULL OR scale > 0))"""
 
 
-@query(f"{W}, {SQL_B0} SELECT origin, target, series, horizon, period, round(point, 4) AS point, round(q[1], 4) AS q_lo, round(q[5], 4) AS q_mid, round(q[9], 4) AS q_hi FROM fc")
+@query(f"{W}, {SQL_B0} SELECT origin, target, series, horizon, period, round(point, 3) AS point, round(q[1], 3) AS q_lo, round(q[5], 3) AS q_mid, round(q[9], 3) AS q_hi FROM fc")
 def seasonal_naive_backtest(spark, d):
     f = forecasts(spark, d)
-    return rounded(f.select(*KEYS, "point", A.at("q", 0.025).alias("q_lo"), A.at("q", 0.5).alias("q_mid"), A.at("q", 0.975).alias("q_hi")), 4)
+    return rounded(f.select(*KEYS, "point", A.at("q", 0.025).alias("q_lo"), A.at("q", 0.5).alias("q_mid"), A.at("q", 0.975).alias("q_hi")), 3)
 
 
 @query(f"{W}, {SQL_SCORED} SELECT origin, target, series, horizon, period, round(wis, 4) AS wis, round(abs_err, 4) AS abs_err, round(mase, 4) AS mase, cov50, cov90, round(pit, 4) AS pit, winter FROM s")
