@@ -7,8 +7,8 @@ after another in `payload`. The chunk index says where: `ends` has the end of ea
 by block; `docs` and `lengths` list the documents; `start` counts the ids of the part before.
 Parts are ranges of doc_id in ascending order, so files in order of part hold ascending ids.
 
-Tokenising. A text may be cut before a space that a visible character follows, for the
-tokenizer's own rules cut there too; so equal pieces are encoded once and their ids looked up by
+Tokenising. A text may be cut before a space that a visible character follows, and between an
+ASCII letter and a mark, for the tokenizer's own rules cut there too; so equal pieces are encoded once and their ids looked up by
 64 bits of hash. Strings of special tokens in a text are ordinary text.
 
 Nulls: a null text is empty (only the end id); a null doc_id comes first. Rows that repeat an id
@@ -21,6 +21,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ END_ID = 2
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 19
 CACHE_PIECES = 1_500_000
+LATELY = 60_000
+PIECE = 1 << 20
 U64 = np.uint64
 
 CHUNKS = "part int, chunk int, start long, n_ids long, mode string, docs array<long>, lengths array<long>, ends array<long>, payload binary"
@@ -44,6 +47,10 @@ CHUNKS = "part int, chunk int, start long, n_ids long, mode string, docs array<l
 # those of U+0080-U+00BF and of the planes with other kinds of space
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)  # visible ASCII but letters, digits and the apostrophe
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = True
 
 
 def planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -107,18 +114,42 @@ class Encoder:
         return cls._made[path]
 
     def forget(self) -> None:
-        self.names, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.slot = np.zeros(0, np.int64)
-
-    def _learn(self, names: np.ndarray, texts: list[str]) -> None:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # names in order with their slots: those known long, and those learned lately
+        self.levels = [none, none]
+        self.first, self.ids, self.slots, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """Slots of names; -1 for those not known."""
+        out = np.full(len(names), -1)
+        for known, slot in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                hit = known[at] == names
+                out[hit] = slot[at[hit]]
+        return out
+
+    def _learn(self, names: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Encode pieces with these (sorted) names; their slots."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(g) for g in got], np.int64)
-        flat = np.fromiter((x for g in got for x in g), np.uint32, int(sizes.sum()))
-        fresh = len(self.first) - 1 + np.arange(len(names))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
-        at = np.searchsorted(self.names, names)
-        self.names, self.slot = np.insert(self.names, at, names), np.insert(self.slot, at, fresh)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        fresh = self.slots + np.arange(len(names))
+        while len(self.first) <= self.slots + len(names):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        while len(self.ids) < self.filled + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.first[fresh + 1] = self.filled + np.cumsum(sizes)
+        self.ids[self.filled : self.filled + len(flat)] = flat
+        self.slots, self.filled = self.slots + len(names), self.filled + len(flat)
+        known, slot = self.levels[1]
+        at = np.searchsorted(known, names)
+        self.levels[1] = np.insert(known, at, names), np.insert(slot, at, fresh)
+        if len(self.levels[1][0]) > LATELY:
+            (a, x), (b, y) = self.levels
+            at = np.searchsorted(a, b)
+            self.levels = [(np.insert(a, at, b), np.insert(x, at, y)), (a[:0], x[:0])]
+        return fresh
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a piece, one after another, and their numbers of ids."""
@@ -126,23 +157,22 @@ class Encoder:
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             cut[:-2] = (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+            cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
             last = offsets[1:-1] - 1
-            cut[last[last >= 0]] = False  # what follows a text's last space is another text
+            last = last[(last >= 0) & (data[last] == 0x20)]
+            cut[last] = False  # what follows a text's last space is another text
         cut[offsets] = True
         starts = np.flatnonzero(cut)
         starts, ends = starts[:-1], starts[1:]
         name = range_hash(BYTE_CODES[data], starts, ends)
         unique, first, back = np.unique(name, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.names, unique), max(len(self.names) - 1, 0))
-        known = self.names[at] == unique if len(self.names) else np.zeros(len(unique), bool)
-        if not known.all():
-            new = np.flatnonzero(~known)
-            if len(self.names) > CACHE_PIECES:
-                self.forget()
-                new = np.arange(len(unique))
-            self._learn(unique[new], [data[starts[i] : ends[i]].tobytes().decode() for i in first[new]])
-            at = np.searchsorted(self.names, unique)
-        slot = self.slot[at][back] if len(unique) else np.zeros(0, np.int64)
+        if self.slots > CACHE_PIECES:
+            self.forget()
+        found = self._find(unique)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn(unique[new], [data[starts[i] : ends[i]].tobytes().decode() for i in first[new]])
+        slot = found[back]
         lo, n = self.first[slot], self.first[slot + 1] - self.first[slot]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.arange(int(total[-1])) - np.repeat(total[:-1], n) + np.repeat(lo, n)]
@@ -170,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte
         lengths: list[int] = []
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(batch.column("text"), PIECE):
                 got, counts = encoder.encode(piece)
                 ends = np.cumsum(counts)
                 flat = np.insert(got, ends, END_ID)
