@@ -77,3 +77,39 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50)) and got[301] == 300
+
+
+def stage_groups(rows):
+    """Groups of row numbers linked at five words and 0.8."""
+    words = [WORD.findall((t or "").lower()) for _, t, *_ in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_stage_matches_brute_force(spark):
+    rnd = random.Random(5)
+    text = lambda k: [f"v{rnd.randint(0, 5000)}" for _ in range(k)]
+    rows = []
+    for i in range(12):  # 10 to 30 edits in 1000 words lie on both sides of each threshold
+        base = text(1000)
+        near = list(base)
+        for k in range(edits := 10 + 2 * i):
+            near[20 + k * (960 // edits)] = f"edit{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (None, "null alone " * 5), (None, "null twice once"), (None, "NULL twice once")]
+    rows += [(1, " ".join(text(40))), (1, " ".join(text(50))), (0, rows[0][1]), (0, rows[0][1]), (50, "same id here"), (50, "other words here"), (60, None), (60, ""), (61, " \n")]
+    df = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    group = stage_groups(rows)
+    assert len({group[2 * i] == group[2 * i + 1] for i in range(12)}) == 2 and group[24] == group[0] and group[12] == group[13]
+    got = n.near_duplicate_stage(spark, df, "").collect()
+    assert len(got) == len(set(group))
+    text_group = {rows[i][1]: g for i, g in enumerate(group)}
+    for g in set(group):
+        ids = [rows[i][0] for i in range(len(rows)) if group[i] == g]
+        left = [r.doc_id for r in got if text_group[r.text] == g]
+        assert left == [min((d for d in ids if d is not None), default=None)]

@@ -22,6 +22,7 @@ class. Extra columns are not read. A class is named by 64 bits of hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,12 @@ from tidemark.llm.joins import hash_filter, passes
 from tidemark.llm.packed import group_starts, grouped, hash_part, n_parts, pack, rows_of, split_by, spread, unpack
 from tidemark.llm.suffix_dedup import _arrow
 from tidemark.llm.textkit import LOWER, Words, map_batches, mix, pieces, range_hash, windows
-from tidemark.session import cut
+from tidemark.session import checkpoint_dir, cut
 
 GRAM = 4
 PERCENT = 85
+STAGE_GRAM = 5
+STAGE_PERCENT = 80
 CELL_BITS = 20
 SLICES = 32
 SMALL_BUCKET = 12
@@ -394,11 +397,23 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; documents without
-    words are in no group. Of rows that repeat an id that stays, all stay."""
+    """Of each group of linked rows one stays: that with the smallest id, a null id last, and of
+    rows that share the id the one with the least hash. Rows without words are in no group.
+
+    Links are those of the job, STAGE_PERCENT of runs of STAGE_GRAM words, not those of op3. Rows
+    are written with a number once, so that each is decided on its own whatever its id.
+    """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    gone = link_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*cols).join(gone, "doc_id", "left_anti")
+    folder = f"{checkpoint_dir(spark)}/near-{uuid.uuid4().hex}"
+    docs.select(*cols, F.monotonically_increasing_id().alias("row")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    linked = cut(link_groups(rows.select(F.col("row").alias("doc_id"), "text"), STAGE_GRAM, STAGE_PERCENT).select(F.col("doc_id").alias("row"), "component_id"))
+    shared = linked.groupBy("component_id").count().where("count > 1").select("component_id")
+    many = cut(linked.join(shared, "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*cols[1:]).alias("print"), "row")
+    first = rows.select("row", order.alias("order")).join(many, "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    gone = many.select("row").join(first.select("order.row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*cols)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
