@@ -72,3 +72,33 @@ def test_cache_starts_again_when_full(tokenizer, monkeypatch):
         texts = [" ".join(f"w{i + 9 * k}" for i in range(30))]
         ids, _ = encoder.encode(next(pieces(pa.array(texts))))
         assert ids.tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(t.tokenizer_path())
+
+
+SPECIAL = ["<|endoftext|>", "<|endoftext|", "endoftext|>", "<", "a", "'s", " ", "  ", "\n", "é", "|", "1"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(SPECIAL), max_size=12).map("".join), min_size=1, max_size=4))
+def test_special_tokens_as_the_plain_tokenizer_has_them(plain, texts):
+    encoder = t.Encoder.of(t.tokenizer_path(), True)
+    for piece in pieces(pa.array(texts)):
+        ids, counts = encoder.encode(piece)
+        want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [x for w in want for x in w]
+
+
+def test_query_and_stage_match_the_plain_tokenizer(spark, plain, tmp_path):
+    rows = [(1, "a <|endoftext|> b"), (2, "x  <|endoftext|><|endoftext|> <|endoftext|>"), (3, "code<|endoftext|>\n"), (4, "<|endoftext"), (5, "|> none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (t.op10_token_files(spark, str(tmp_path)), t.tokens_stage(spark, df, str(tmp_path))):
+        assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == brute(plain, rows)
+    assert 50256 in plain.encode(rows[0][1], add_special_tokens=False).ids

@@ -9,7 +9,9 @@ Parts are ranges of doc_id in ascending order, so files in order of part hold as
 
 Tokenising. A text may be cut before a space that a visible character follows, and between an
 ASCII letter and a mark, for the tokenizer's own rules cut there too; so equal pieces are encoded once and their ids looked up by
-64 bits of hash. Strings of special tokens in a text are ordinary text.
+64 bits of hash. The queries call the tokenizer as it is: the string of a special token in a text
+gives that token's id, and no cut falls within it. With `special=False`, the default of the
+functions, such strings are ordinary text.
 
 Nulls: a null text is empty (only the end id); a null doc_id comes first. Rows that repeat an id
 lie in order of their text's hash. Empty tables give no files' rows and empty results.
@@ -18,6 +20,7 @@ lie in order of their text's hash. Empty tables give no files' rows and empty re
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -97,21 +100,24 @@ def decode_chunk(payload: bytes, ends: list[int], n: int, mode: str = "byte", bl
 class Encoder:
     """Encodes pieces of text, keeping the ids of pieces it has met. One lives in each worker."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        # of tokens that begin at one place the longest is taken
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True))) if added else None
         self.forget()
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special: bool = False) -> Encoder:
+        if (path, special) not in cls._made:
+            cls._made[path, special] = cls(path, special)
+        return cls._made[path, special]
 
     def forget(self) -> None:
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -151,6 +157,14 @@ class Encoder:
             self.levels = [(np.insert(a, at, b), np.insert(x, at, y)), (a[:0], x[:0])]
         return fresh
 
+    def _added_places(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, end) of each added token in the texts."""
+        if self.added is None or not self.added.search(raw := data.tobytes()):
+            return
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for m in self.added.finditer(raw, a, b):
+                yield m.span()
+
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a piece, one after another, and their numbers of ids."""
         data, offsets = piece.data, piece.offsets
@@ -161,6 +175,13 @@ class Encoder:
             last = offsets[1:-1] - 1
             last = last[(last >= 0) & (data[last] == 0x20)]
             cut[last] = False  # what follows a text's last space is another text
+        before = 0  # end of the added token before
+        for s, e in self._added_places(data, offsets):
+            if s - 1 > before and data[s - 1] == 0x20:
+                cut[s - 1] = False  # a space before an added token ends the text between
+            cut[s + 1 : e] = False
+            cut[[s, e]] = True
+            before = e
         cut[offsets] = True
         starts = np.flatnonzero(cut)
         starts, ends = starts[:-1], starts[1:]
@@ -180,7 +201,7 @@ class Encoder:
         return ids, counts
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte", text: str = "text", special: bool = False) -> None:
     """Write the token files of docs to a folder that all executors share."""
     if mode not in ("byte", "bit"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -193,7 +214,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in CHUNKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(tokenizer, special), TaskContext.get().partitionId()
         number = start = held = 0
         docs_: list = []
         ids: list[np.ndarray] = []
@@ -247,16 +268,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def tokens_of(docs: DataFrame, tokenizer: str | None = None, mode: str = "byte") -> DataFrame:
+def tokens_of(docs: DataFrame, tokenizer: str | None = None, mode: str = "byte", special: bool = False) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, folder, tokenizer or tokenizer_path(), mode)
+    write_tokens(docs, folder, tokenizer or tokenizer_path(), mode, special=special)
     return read_tokens(spark, folder)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens_of(docs)
+    return tokens_of(docs, special=True)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokens_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), special=True)
