@@ -70,3 +70,13 @@ def test_empty_tables_and_clashing_columns(spark):
     assert d.contaminated(docs, none).count() == 0
     assert d.contaminated(docs.limit(0), items).count() == 0
     assert [(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()] == [(1, 0)]
+
+
+def test_items_that_share_an_id_or_have_none(spark, monkeypatch):
+    items = [(7, sentence(20)), (7, sentence(20)), (7, sentence(20)), (None, sentence(20)), (None, sentence(20)), (8, sentence(20))]
+    docs = [(k, sentence(15) + " " + text + " " + sentence(15)) for k, (_, text) in enumerate(items)] + [(90, sentence(60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (1000, 2):
+        monkeypatch.setattr(d, "INDEX_ITEMS", limit)
+        got = [(r.doc_id, r.item_id) for r in d.contaminated(df, spark.createDataFrame([*items, items[0]], "item_id long, text string")).collect()]
+        assert sorted(got) == [(k, item_id) for k, (item_id, _) in enumerate(items)]

@@ -17,6 +17,9 @@ The index is broadcast. Items are taken in blocks of about INDEX_ITEMS items or
 words, each searched with all documents, so its size does not grow with the benchmark;
 statistics cover all items.
 
+An item is a distinct pair of id and text: items that share an id are each searched for and
+reported, and so are items with a null id, with that id.
+
 Nulls: null texts are empty and match nothing; items without words are left out. Repeated rows
 are reported for each row. Extra columns are not read.
 """
@@ -90,14 +93,15 @@ def _question_and_answer(text: str) -> tuple[str, str]:
 class Index:
     """A block of items, with statistics (n, average length, document frequencies) of all."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, mean: float, frequency: dict[int, int]):
+    def __init__(self, items: list[tuple[int | None, str]], n: int, mean: float, frequency: dict[int, int]):
         entries = []
-        self.items = {}
-        for item_id, text in items:
+        self.ids = [item_id for item_id, _ in items]
+        self.items = []  # by place in the block, as ids may repeat
+        for place, (_, text) in enumerate(items):
             codes = _word_codes(text)
-            self.items[item_id] = [Part(t) for t in (text, *_question_and_answer(text))]
+            self.items.append([Part(t) for t in (text, *_question_and_answer(text))])
             k = -(-len(codes) // ENTRY)
-            entries += [(part, item_id) for part in np.array_split(codes, k)]
+            entries += [(part, place) for part in np.array_split(codes, k)]
         entries.sort(key=lambda e: (len(e[0]), e[1]))
         self.owner = np.array([e[1] for e in entries], np.int64)
         self.terms = np.unique(np.concatenate([e[0] for e in entries]))
@@ -126,7 +130,7 @@ class Index:
 def build_indexes(items: DataFrame) -> Iterator[Index]:
     """One index for each block of items. Counts are made in Spark; a block is bounded."""
     spark = items.sparkSession
-    rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
+    rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].alias("text")).where("text is not null").dropDuplicates(["item_id", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +146,7 @@ def build_indexes(items: DataFrame) -> Iterator[Index]:
     for b in range(blocks):
         mine = dealt.where(F.col("block") == b)
         known = frequencies.join(mine.select(F.explode("terms").alias("term")).distinct(), "term").collect()
-        texts = [(r.item_id, r.text) for r in mine.select("item_id", "text").collect()]  # about INDEX_ITEMS
+        texts = sorted(((r.item_id, r.text) for r in mine.select("item_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # about INDEX_ITEMS
         if texts:
             yield Index(texts, total["n"], total["mean"], {r["term"] & (1 << 64) - 1: r["count"] for r in known})
     counted.unpersist()
@@ -201,7 +205,7 @@ def contamination(docs: DataFrame, index: Index, keep: list[str], text: str = "t
                     lo = max(int(words.first[row]), int(words.first[row]) + word - whole.length)
                     hi = min(int(words.first[row + 1]), int(words.first[row]) + word + 2 * ENTRY + whole.length)
                     around = codes[lo:hi]
-                    found = {"item_id": item, "score": score, "share": whole.share_in(around), "question_share": question.share_in(around), "answer_share": answer.share_in(around), "first_word": word}
+                    found = {"item_id": index.ids[item], "score": score, "share": whole.share_in(around), "question_share": question.share_in(around), "answer_share": answer.share_in(around), "first_word": word}
                     old = best.get((row, item))
                     if old is None or (found["share"], found["score"]) > (old["share"], old["score"]):
                         best[row, item] = found
@@ -209,7 +213,7 @@ def contamination(docs: DataFrame, index: Index, keep: list[str], text: str = "t
                     if found["share"] >= SHARE and min(found["question_share"], found["answer_share"]) >= PART_SHARE:
                         hits[piece.rows[row]].append(found)
             for h in hits:
-                h.sort(key=lambda x: (-x["share"], -x["score"], x["item_id"]))
+                h.sort(key=lambda x: (-x["share"], -x["score"], x["item_id"] is None, x["item_id"] or 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(hits, _HIT_TYPE)], [*(f"k{i}" for i in range(len(keep))), "hits"])
 
     kinds = dict(docs.dtypes)
