@@ -80,3 +80,26 @@ def test_items_that_share_an_id_or_have_none(spark, monkeypatch):
         monkeypatch.setattr(d, "INDEX_ITEMS", limit)
         got = [(r.doc_id, r.item_id) for r in d.contaminated(df, spark.createDataFrame([*items, items[0]], "item_id long, text string")).collect()]
         assert sorted(got) == [(k, item_id) for k, (item_id, _) in enumerate(items)]
+
+
+def test_edited_items_are_found_and_clean_documents_left(spark):
+    r = random.Random(3)
+    word = lambda: f"w{r.randint(0, 3000)}" if r.random() < 0.6 else r.choice("the of and a in to with was".split())
+    some = lambda k: [word() for _ in range(k)]
+    items, rows, planted = [], [], set()
+    for i, size in enumerate([30, 37, 45, 37, 45, 60, 30, 37, 45]):
+        question, answer = some(size - 12), some(12)
+        items.append((i, " ".join(question) + ". " + " ".join(answer)))
+        words = question + answer
+        for k, at in enumerate(((size - 12) // 2, size - 6, 5)[: 1 + i % 3]):
+            words[at] = f"edit{k}"
+        rows.append((i, " ".join(some(50) + words + some(50))))
+        planted.add((i, i))
+        rows.append((100 + i, " ".join(some(200) + r.sample(question + answer, size) + some(50))))  # its words, shuffled
+        rows.append((200 + i, " ".join(some(50) + question + some(50))))  # no answer
+        rows.append((300 + i, " ".join(some(300))))
+    items.append((50, "rare1 rare2. rare3"))
+    rows += [(400, "rare1 x rare2 y rare3"), (401, "so rare1 rare2 rare3")]
+    got = {(x.doc_id, x.item_id) for x in d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == planted | {(401, 50)}
+    assert sum(brute(rows[4 * i][1], items[i][1]) < d.SHARE for i in range(9)) >= 5

@@ -9,9 +9,11 @@ query. As in block-max WAND, blocks whose summed maxima stay below THRESHOLD are
 entries of the others are scored exactly; all entries at or over the threshold are retrieved.
 Any ENTRY consecutive words lie in one passage whole.
 
-Verification. Around a hit the item's distinct runs of GRAM words are looked for. A document is
-contaminated by an item if SHARE of all runs are there, and at least half of the runs of its
-question and half of those of its answer (its last sentence).
+Verification. Around a hit the item's runs of RUN words are looked for; a word of the item is
+found if a run that holds it is there, so an edited word costs itself and at most RUN - 1 words on
+either side. A document is contaminated by an item if at least PART_SHARE of the words of its question
+and of those of its answer (its last sentence) are found. An item of fewer than GRAM words must
+be there whole.
 
 The index is broadcast. Items are taken in blocks of about INDEX_ITEMS items or INDEX_WORDS
 words, each searched with all documents, so its size does not grow with the benchmark;
@@ -36,14 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.licenses import NOT_WORD
-from tidemark.llm.textkit import BYTE_CODES, LOWER, Words, map_batches, pieces, range_hash
+from tidemark.llm.textkit import BYTE_CODES, LOWER, Words, covered, map_batches, pieces, range_hash
 
 K1, B = 1.2, 0.75
 ENTRY = 32
 BLOCKS = 16
 THRESHOLD = 0.7
 GRAM = 5
-SHARE = 0.8
+RUN = 3
+SHARE = 0.8  # of five-word runs: a whole copy, to tests; the search has no such threshold
 PART_SHARE = 0.5
 INDEX_ITEMS = 1000
 INDEX_WORDS = 200_000
@@ -62,22 +65,26 @@ def _word_codes(text: str) -> np.ndarray:
 
 
 def _runs(codes: np.ndarray, width: int) -> np.ndarray:
-    """Distinct runs of `width` words."""
+    """Hashes of the runs of `width` words, in order."""
     at = np.arange(max(len(codes) - width + 1, 0))
-    return np.unique(range_hash(codes, at, at + width))
+    return range_hash(codes, at, at + width)
 
 
 class Part:
-    """Runs of a text, of GRAM words or of all its words if these are fewer."""
+    """Runs of a text, of RUN words or of all its words if these are fewer (whole: than GRAM)."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, whole: bool = False):
         codes = _word_codes(text)
-        self.width = min(GRAM, len(codes))
-        self.runs = _runs(codes, self.width) if self.width else codes
         self.length = len(codes)
+        self.width = self.length if self.length < (GRAM if whole else RUN) else RUN
+        self.runs = _runs(codes, self.width) if self.width else codes
 
     def share_in(self, around: np.ndarray) -> float:
-        return float(np.isin(self.runs, _runs(around, self.width)).mean()) if len(self.runs) else 1.0
+        """Share of the words that stand in a run that is also around."""
+        if not len(self.runs):
+            return 1.0
+        there = np.flatnonzero(np.isin(self.runs, _runs(around, self.width)))
+        return float(covered(there, self.width, self.length).mean())
 
 
 def _question_and_answer(text: str) -> tuple[str, str]:
@@ -99,7 +106,7 @@ class Index:
         self.items = []  # by place in the block, as ids may repeat
         for place, (_, text) in enumerate(items):
             codes = _word_codes(text)
-            self.items.append([Part(t) for t in (text, *_question_and_answer(text))])
+            self.items.append([Part(text, True), *map(Part, _question_and_answer(text))])
             k = -(-len(codes) // ENTRY)
             entries += [(part, place) for part in np.array_split(codes, k)]
         entries.sort(key=lambda e: (len(e[0]), e[1]))
@@ -205,13 +212,16 @@ def contamination(docs: DataFrame, index: Index, keep: list[str], text: str = "t
                     lo = max(int(words.first[row]), int(words.first[row]) + word - whole.length)
                     hi = min(int(words.first[row + 1]), int(words.first[row]) + word + 2 * ENTRY + whole.length)
                     around = codes[lo:hi]
+                    if whole.length < GRAM and whole.share_in(around) < 1:
+                        continue
                     found = {"item_id": index.ids[item], "score": score, "share": whole.share_in(around), "question_share": question.share_in(around), "answer_share": answer.share_in(around), "first_word": word}
                     old = best.get((row, item))
+                    if min(found["question_share"], found["answer_share"]) < PART_SHARE:
+                        continue
                     if old is None or (found["share"], found["score"]) > (old["share"], old["score"]):
                         best[row, item] = found
                 for (row, _), found in best.items():
-                    if found["share"] >= SHARE and min(found["question_share"], found["answer_share"]) >= PART_SHARE:
-                        hits[piece.rows[row]].append(found)
+                    hits[piece.rows[row]].append(found)
             for h in hits:
                 h.sort(key=lambda x: (-x["share"], -x["score"], x["item_id"] is None, x["item_id"] or 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(hits, _HIT_TYPE)], [*(f"k{i}" for i in range(len(keep))), "hits"])
