@@ -409,10 +409,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = spark.read.parquet(folder)
     linked = cut(link_groups(rows.select(F.col("row").alias("doc_id"), "text"), STAGE_GRAM, STAGE_PERCENT).select(F.col("doc_id").alias("row"), "component_id"))
     shared = linked.groupBy("component_id").count().where("count > 1").select("component_id")
-    many = cut(linked.join(shared, "component_id"))
+    many = cut(linked.join(shared.hint("merge"), "component_id"))  # merged: the driver holds no side of these joins
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*cols[1:]).alias("print"), "row")
-    first = rows.select("row", order.alias("order")).join(many, "row").groupBy("component_id").agg(F.min("order").alias("order"))
-    gone = many.select("row").join(first.select("order.row"), "row", "left_anti")
+    first = rows.select("row", order.alias("order")).join(many.hint("merge"), "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    gone = cut(many.select("row").join(first.select("order.row").hint("merge"), "row", "left_anti"))
     return rows.join(gone, "row", "left_anti").select(*cols)
 
 
