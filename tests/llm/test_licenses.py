@@ -60,3 +60,11 @@ def test_tags_in_texts(spark):
 def test_empty_and_clashing_columns(spark):
     assert lic.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert lic.scan(spark.createDataFrame([(1, "mit license", "z")], "doc_id long, text string, labels string")).first().labels == "mit"
+
+
+def test_long_expressions_are_read_to_the_end_of_the_line(spark):
+    many = " AND ".join(["Apache-2.0"] * 900)
+    texts = [f"SPDX-License-Identifier: ({many} AND GPL-2.0-only)\nMPL", f"x\nSPDX-License-Identifier: {many} AND GPL-2.0-only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lic.scan(df).collect():
+        assert (r.labels, r.score) == ("apache,gpl", 0.2) and r.expressions.count("Apache") == 900

@@ -167,7 +167,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                     flat = squeezed[kept[a] : kept[b]].tobytes().decode("latin-1").strip(" ")
                     line = f" {flat} "
                     places, base, labels, free, read = [], set(), set(), 1.0, []
-                    seen, word = 0, -1
+                    seen, word, raw = 0, -1, b""
                     for start, (what, label) in sorted((end - size + 1, hit) for end, (size, *hit) in automaton.iter(line)):
                         word += line.count(" ", seen, start + 1)
                         seen = start + 1
@@ -176,8 +176,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                             base.add(label)
                         if what == "tag":
                             after = words.ends[words.first[i] + word + TAG.count(" ")]
-                            rest = piece.data[after : min(b, after + 4096)].tobytes().decode("utf-8", "replace")
-                            expression = rest.lstrip(": \t").split("\n")[0]
+                            raw = raw or piece.data[a:b].tobytes()
+                            stop = raw.find(b"\n", after - a)
+                            expression = raw[after - a : stop if stop >= 0 else None].decode("utf-8", "replace").lstrip(": \t")
                             more, value = evaluate(expression)
                             labels |= more
                             free = min(free, value)
