@@ -47,10 +47,41 @@ def test_targets_and_taken(spark, docs):
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 3 * m.BLOCK
+        assert abs(taken[s] - t) <= max(1, 2 * min(m.BLOCK, sizes[s] // m.FINENESS))
     assert sorted(map(repr, got)) == sorted(map(repr, m.document_totals(df.repartition(2)).collect()))
 
 
+def test_sources_of_any_size_come_near_their_targets(spark):
+    sizes = {f"s{n:03d}": n for n in [*range(1, 41), 64, 100, 128, 200, 255, 256, 600]}
+    rows = [(i, " ".join("w" for _ in range(n)), "en", s, 1) for i, (s, n) in enumerate(sizes.items())]
+    want = targets(sizes)
+    for r in m.document_totals(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert abs(r.taken - want[r.source]) <= max(1, 2 * (sizes[r.source] // m.FINENESS)), r
+
+
+def test_shards_draw_multinomial_counts(spark):
+    plan = spark.createDataFrame([(1, 200_000), (2, 50_000), (3, 7), (4, 0)], "source_no long, slots long")
+    counts = m.shard_counts(plan, 16).collect()
+    by = {(r.source_no, r.shard): r["count"] for r in counts}
+    assert {k[1] for k in by if k[0] == 1} == set(range(16))
+    for no, n in ((1, 200_000), (2, 50_000), (3, 7)):
+        mine = [by.get((no, k), 0) for k in range(16)]
+        assert sum(mine) == n
+        if no < 3:  # chi square of 15 degrees of freedom: neither off nor even
+            assert 3 < sum((x - n / 16) ** 2 / (n / 16) for x in mine) < 45
+    assert sorted(map(tuple, counts)) == sorted(map(tuple, m.shard_counts(plan.repartition(3), 16).collect()))
+
+
+def test_slots_follow_the_counts(spark, docs):
+    _, pieces, slots = m.mix(spark.createDataFrame(docs, SCHEMA))
+    rows = slots.collect()
+    for no in {r.source_no for r in rows}:
+        mine = sorted((r.slot, r.shard) for r in rows if r.source_no == no)
+        assert [s for s, _ in mine] == list(range(len(mine)))  # each slot once
+        assert [k for _, k in mine] == sorted(k for _, k in mine)  # shard after shard
+    assert len({r.shard for r in rows}) == m.LEAST_SHARDS
+
+
 def test_stage_emits_the_words_taken(spark, docs):
     df = spark.createDataFrame(docs, SCHEMA)
     totals = Counter()
