@@ -102,3 +102,24 @@ def test_query_and_stage_match_the_plain_tokenizer(spark, plain, tmp_path):
     for got in (t.op10_token_files(spark, str(tmp_path)), t.tokens_stage(spark, df, str(tmp_path))):
         assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == brute(plain, rows)
     assert 50256 in plain.encode(rows[0][1], add_special_tokens=False).ids
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    texts = ["the cat sat on the mat", "a dog, a cat", "", "on the mat the dog"] * 3
+    encoder = t.Encoder(t.tokenizer_path(), True)
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    plain = t.range_hash
+    for keep in (3, 30, (1 << 64) - 1):  # few names: unequal pieces share one, within a batch and with the cache
+        monkeypatch.setattr(t, "range_hash", lambda *a, keep=keep: plain(*a) & np.uint64(keep))
+        for n in (1, 2, len(texts)):
+            ids, counts = encoder.encode(next(pieces(pa.array(texts[:n]))))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[:n]
+        encoder.forget()
+
+
+def test_rows_that_share_an_id_are_spread_and_in_order(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(5, f"other {i}") for i in range(300)] + [(9, "last")]
+    got = t.tokens_of(spark.createDataFrame(rows, "doc_id long, text string"), special=True).collect()
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == [None] * 300 + [5] * 300 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(by_start, by_start[1:]))

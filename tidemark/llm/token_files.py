@@ -9,7 +9,8 @@ Parts are ranges of doc_id in ascending order, so files in order of part hold as
 
 Tokenising. A text may be cut before a space that a visible character follows, and between an
 ASCII letter and a mark, for the tokenizer's own rules cut there too; so equal pieces are encoded once and their ids looked up by
-64 bits of hash. The queries call the tokenizer as it is: the string of a special token in a text
+64 bits of hash. The bytes of a piece are compared with those whose ids it is to get; a batch in which
+two different pieces share a hash goes to the tokenizer as it is. The queries call the tokenizer as it is: the string of a special token in a text
 gives that token's id, and no cut falls within it. With `special=False`, the default of the
 functions, such strings are ordinary text.
 
@@ -97,6 +98,15 @@ def decode_chunk(payload: bytes, ends: list[int], n: int, mode: str = "byte", bl
     return np.concatenate(out)
 
 
+def _same_bytes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, b: np.ndarray, other: np.ndarray, other_ends: np.ndarray) -> bool:
+    """Whether a[start:end] equals b[other:other_end] for all ranges."""
+    n = ends - starts
+    if (n != other_ends - other).any():
+        return False
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return bool((a[at + np.repeat(starts, n)] == b[at + np.repeat(other, n)]).all())
+
+
 class Encoder:
     """Encodes pieces of text, keeping the ids of pieces it has met. One lives in each worker."""
 
@@ -124,6 +134,7 @@ class Encoder:
         # names in order with their slots: those known long, and those learned lately
         self.levels = [none, none]
         self.first, self.ids, self.slots, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        self.spelled, self.letters, self.written = np.zeros(1024, np.int64), np.zeros(4096, np.uint8), 0
 
     def _find(self, names: np.ndarray) -> np.ndarray:
         """Slots of names; -1 for those not known."""
@@ -135,14 +146,21 @@ class Encoder:
                 out[hit] = slot[at[hit]]
         return out
 
-    def _learn(self, names: np.ndarray, texts: list[str]) -> np.ndarray:
+    def _learn(self, names: np.ndarray, raw: list[bytes]) -> np.ndarray:
         """Encode pieces with these (sorted) names; their slots."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in raw], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         fresh = self.slots + np.arange(len(names))
         while len(self.first) <= self.slots + len(names):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+            self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
+        letters = np.frombuffer(b"".join(raw), np.uint8)
+        while len(self.letters) < self.written + len(letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[self.written : self.written + len(letters)] = letters
+        self.spelled[fresh + 1] = self.written + np.cumsum([len(r) for r in raw])
+        self.written += len(letters)
         while len(self.ids) < self.filled + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.first[fresh + 1] = self.filled + np.cumsum(sizes)
@@ -165,6 +183,11 @@ class Encoder:
             for m in self.added.finditer(raw, a, b):
                 yield m.span()
 
+    def _plainly(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a piece, one after another, and their numbers of ids."""
         data, offsets = piece.data, piece.offsets
@@ -187,12 +210,17 @@ class Encoder:
         starts, ends = starts[:-1], starts[1:]
         name = range_hash(BYTE_CODES[data], starts, ends)
         unique, first, back = np.unique(name, return_index=True, return_inverse=True)
+        if not _same_bytes(data, starts, ends, data, starts[first][back], ends[first][back]):
+            return self._plainly(data, offsets)
         if self.slots > CACHE_PIECES:
             self.forget()
         found = self._find(unique)
+        old = found >= 0
+        if not _same_bytes(data, starts[first][old], ends[first][old], self.letters, self.spelled[found[old]], self.spelled[found[old] + 1]):
+            return self._plainly(data, offsets)
         new = np.flatnonzero(found < 0)
         if len(new):
-            found[new] = self._learn(unique[new], [data[starts[i] : ends[i]].tobytes().decode() for i in first[new]])
+            found[new] = self._learn(unique[new], [data[starts[i] : ends[i]].tobytes() for i in first[new]])
         slot = found[back]
         lo, n = self.first[slot], self.first[slot + 1] - self.first[slot]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -237,7 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte
 
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = read.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "print")
+    ordered = read.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "print").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "print")
     map_batches(ordered.select("doc_id", "text"), run, CHUNKS).write.option("compression", "uncompressed").parquet(folder)
 
 
@@ -276,8 +304,11 @@ def tokens_of(docs: DataFrame, tokenizer: str | None = None, mode: str = "byte",
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the documents' token files and returns what they hold, a row for each document: null
+    and repeated ids, null texts and empty tables as the module says."""
     return tokens_of(docs, special=True)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over documents; nulls, ties and empty tables as the module says."""
     return tokens_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), special=True)
