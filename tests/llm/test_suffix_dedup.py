@@ -67,3 +67,47 @@ def test_refinement_keeps_sorted_pointers(first, later):
     got = s.refine(pointer, keys.astype(np.uint64))
     pairs = list(zip(first.tolist(), keys.tolist()))
     assert got.tolist() == [sum(q < p for q in pairs) for p in pairs]
+
+
+def test_keys_of_refinement_are_bucket_pointers(monkeypatch):
+    rnd = np.random.default_rng(4)
+    sides = rnd.integers(97, 99, (400, s.SIDE)).astype(np.uint8)
+    sides[200:] = sides[:200]
+    sides[200:300, 20:] = 0
+    bucket = np.repeat(np.arange(0, 400, 50), 50)
+    seen, plain = [], s.refine
+
+    def spy(pointer, later):
+        out = plain(pointer, later)
+        seen.append((later.copy(), out.copy()))
+        return out
+
+    monkeypatch.setattr(s, "refine", spy)
+    order, place, lcp = s.depth_names(bucket, sides)
+    # each round sorts on places in the order of suffixes; each but the first, on what the last one wrote
+    assert all(k.max() < 4 * len(sides) for k, _ in seen)
+    assert all((k == before).all() for (k, _), (_, before) in zip(seen[1:], seen))
+    keys = [(b, t.tobytes()) for b, t in zip(bucket.tolist(), sides)]
+    assert [keys[i] for i in order] == sorted(keys)
+    for i in range(1, 400):
+        a, b = keys[order[i - 1]], keys[order[i]]
+        same = next((k for k in range(s.SIDE) if a[1][k] != b[1][k]), s.SIDE)
+        assert lcp[i] == (same if a[0] == b[0] else -1)
+
+
+def test_a_passage_in_all_documents_gives_no_large_bucket(spark):
+    share = "this sentence stands in every document of the table, word for word, from its start to its end. "
+    rnd = random.Random(2)
+    rows = [(i, f"{rnd.random()} {share} {rnd.random()}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = s.with_doc_part(df, 65)
+    sent = [len(s.unpack(r.grams, np.uint64, True)) for r in s.initial_buckets(docs, 65).collect()]
+    assert max(sent) < 400  # of each task two documents a q-gram, the rest goes straight on
+    check(spark, rows)
+
+
+def test_rows_that_share_an_id_are_dealt_over_parts(spark):
+    rows = [(None, f"{i} " * 30) for i in range(500)] + [(64 * i, f"{i} " * 30) for i in range(500)]
+    dealt = s.with_doc_part(spark.createDataFrame(rows, "doc_id long, text string"), 65).groupBy("part").count().collect()
+    assert max(r["count"] for r in dealt) < 40
+    check(spark, rows[:60] + rows[500:560])

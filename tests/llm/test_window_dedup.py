@@ -47,10 +47,25 @@ def test_empty_and_clashing_columns(spark):
     assert w.dedup_windows(df).first().n_words == 2
 
 
-def test_sketch_never_counts_too_few():
-    code = np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.zeros((1 << w.CELL_BITS) // 8 + 8, np.uint8)
-    cell = w._cells(code).astype(np.int64)
-    size = 1 << w.CELL_BITS
-    np.bitwise_or.at(bits, cell >> 3, (128 >> (cell & 7)).astype(np.uint8))
-    assert w._estimated_repeated(code, bits, size).all()
+def test_rows_that_share_an_id_or_have_none(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))
+    texts = [text(40) for _ in range(300)]
+    rows = [(None, t) for t in texts] + [(None, f"first {t}") for t in texts[:150]] + [(7, f"{t} x") for t in texts[150:200]] + [(7, text(41)) for _ in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in w.dedup_windows(df).collect()), key=repr) == brute(rows)
+
+
+def test_sketch_never_counts_too_few_and_few_too_many():
+    code = np.arange(1, 20001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    twice = code[:5000]
+    shape = w.Sketch(1 << 17, 65)
+    sent: dict[int, list] = {}
+    for part in (code[:9000], code[9000:], twice):  # three tasks
+        for p, cells, counts in shape.slices_of(part):
+            sent.setdefault(p, []).append((cells, counts))
+    bits = shape.whole({p: shape.merged(p, iter(x)) for p, x in sent.items()})
+    got = shape.repeated(code, bits)
+    assert got[:5000].all()
+    one_row = [((bits[(c := shape.cells(code[5000:], r).astype(np.int64)) >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1).mean() for r in range(w.ROWS)]
+    assert got[5000:].mean() < 0.1 and got[5000:].mean() < min(one_row)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.joins import hash_filter, passes
-from tidemark.llm.packed import group_starts, grouped, hash_part, n_parts, pack, rows_of, split_by, spread, unpack
+from tidemark.llm.packed import group_starts, grouped, hash_part, n_parts, pack, rows_of, split_by, spread, text_bytes, unpack
 from tidemark.llm.suffix_dedup import _arrow
 from tidemark.llm.textkit import LOWER, Words, map_batches, mix, pieces, range_hash, windows
 from tidemark.session import checkpoint_dir, cut
@@ -165,7 +165,7 @@ def prefix_postings(docs: DataFrame, ranks, shape: Shape, parts: int, text: str)
         gram, name, size, place = gram[order], name[order], size[order], place[order]
         schema = _arrow(_POSTINGS)
         out: dict[str, list] = {f.name: [] for f in schema}
-        for p, r in split_by(hash_part(mix(gram), parts), parts):
+        for p, r in split_by(hash_part(mix(gram), parts)):
             for key, value in zip(schema.names, [p, pack(gram[r], True), pack(name[r]), pack(size[r].astype(np.int32)), pack(place[r].astype(np.int32))], strict=True):
                 out[key].append(value)
         yield from rows_of(out, schema).to_batches()
@@ -364,7 +364,7 @@ def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
 
 def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class (null for an empty set) of every row."""
-    spark, shape, parts = docs.sparkSession, Shape(gram, percent), n_parts(docs, text)
+    spark, shape, parts = docs.sparkSession, Shape(gram, percent), n_parts(text_bytes(docs, text))
     scanned = cut(scan_sets(docs, shape, text))
     rows = scanned.where("part is null").select("doc_id", "n_shingles", "class", "profile")
     merged = grouped(scanned.where("part is not null").select("part", "counts"), _merge_slices, "part int, counts binary").collect()  # 2 ** CELL_BITS counts

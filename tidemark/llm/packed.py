@@ -21,14 +21,21 @@ from tidemark.session import ship
 U64 = np.uint64
 
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = (2 << 20, 32 << 20)
+SMALL_CORPUS = 1 << 30
 
 
-def n_parts(docs: DataFrame, text: str = "text", least: int = 64) -> int:
-    """Parts in which GROUP_BYTES of text meet, so that a group's memory does not grow with the
-    corpus; odd, so that strided ids are dealt evenly."""
-    size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
-    return max(least, size // GROUP_BYTES) | 1
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
+
+
+def n_parts(size: int, least: int = 64) -> int:
+    """Parts for `size` bytes of text. What meets in a group grows with the square root of the corpus
+    between the two GROUP_BYTES, so that neither a group's memory nor the number of messages from
+    tasks to parts gets out of hand."""
+    low, high = GROUP_BYTES
+    group = min(max(low, int(low * (size / SMALL_CORPUS) ** 0.5)), high)
+    return max(least, size // group) | 1
 
 
 def pack(a: np.ndarray, delta: bool = False) -> bytes:
@@ -47,24 +54,24 @@ def unpack(b: bytes, kind, delta: bool = False, width: int = 1) -> np.ndarray:
     return np.cumsum(out, dtype=kind) if delta else out
 
 
-def doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
-    """The part in which postings of a document meet it; the same rule as part_of()."""
-    return (doc.astype(np.int64) % parts).astype(np.int64)
-
-
 def with_doc_part(docs: DataFrame, parts: int, text: str = "text") -> DataFrame:
-    """doc (a null id counts as the smallest), text and part of each document."""
-    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62)))
-    return docs.select(doc.alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text"), F.pmod(doc, F.lit(parts)).cast("int").alias("part"))
-
-
-def split_by(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, row numbers), rows in their order."""
+    """part, doc (a null id counts as the smallest), doc_id, text, and key and tag: 79 bits of hash
+    of id and text together. Rows are dealt to parts by key, so that rows without an id, with one id
+    or with ids of one stride spread like all others."""
+    doc = docs["doc_id"].cast("long")
+    key = F.xxhash64(doc, docs[text])
+    return docs.select(
+        F.pmod(key, F.lit(parts)).cast("int").alias("part"), F.coalesce(doc, F.lit(-(1 << 62))).alias("doc"), doc.alias("doc_id"), docs[text].alias("text"),
+        key.alias("key"), F.pmod(F.hash(docs[text], doc), F.lit(1 << 15)).cast("short").alias("tag"),
+    )
+
+
+def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, row numbers) of the parts that occur, rows in their order."""
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if cuts[p] < cuts[p + 1]:
-            yield p, order[cuts[p] : cuts[p + 1]]
+    starts = group_starts(part[order])
+    for s, e in zip(starts.tolist(), np.append(starts, len(part))[1:].tolist(), strict=True):
+        yield int(part[order[s]]), order[s:e]
 
 
 def hash_part(h: np.ndarray, parts: int) -> np.ndarray:

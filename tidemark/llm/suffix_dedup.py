@@ -8,17 +8,22 @@ smaller id. The steps:
    shows as two anchors with one q-gram; about one position in sixteen is an anchor.
 2. Initial buckets. Anchors are grouped by q-gram over the whole corpus; a bucket in which only
    one document occurs is finished.
-3. Refinement. Anchors of the other buckets bring the bytes around them. Buckets are refined by
-   sorting on the identifiers at later offsets, each round reusing the bucket pointers that the
-   last one wrote and leaving out buckets of one member; once to the right of the q-gram and
-   once, mirrored, to the left. The common prefix lengths of neighbours then give the bucket of
-   an anchor at every depth.
+3. Refinement. Anchors of the other buckets bring the bytes around them. Every STEP bytes of
+   these surroundings is a suffix with a pointer to its bucket of STEP bytes. From the last offset
+   to the first, the buckets of the suffixes at one offset are refined by sorting on the bucket
+   pointers STEP bytes later, and write the pointers that the next round sorts on; the q-gram's
+   own bucket is refined last, by the pointers at offset 0. Buckets of one member are left out.
+   This is done to the right of the q-gram and, mirrored, to the left. The common prefix lengths
+   of neighbours then give the bucket of an anchor at every depth.
 4. For each offset of a string around the anchor, the buckets to its left and right name the
    string; where the smallest document of that name is smaller, the string is marked, and marks
    go back to the documents.
 
 A bucket is named by the 64-bit hash of its q-gram; the other bytes of a string are compared as
-they are. Hot buckets: equal surroundings are reduced to the smallest document within a task before the shuffle.
+they are. Hot buckets: a task that sees a q-gram in several documents knows by itself that the
+bucket lives, so it sends two of these documents to the bucket and the others straight on; and
+equal surroundings are reduced to the smallest document within a task before the shuffle. A
+document is addressed by its part, id and a number among the texts of one id.
 
 Nulls: a null text is empty; a null doc_id counts as the smallest id. Rows with equal ids are
 not smaller than each other. Texts shorter than LENGTH lose nothing. Extra columns are not read.
@@ -33,20 +38,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.packed import doc_part, doc_salt, group_starts, grouped, hash_part, meet, n_parts, pack, rows_of, split_by, spread, unpack, with_doc_part
+from tidemark.llm.packed import doc_salt, group_starts, grouped, hash_part, meet, n_parts, pack, rows_of, split_by, spread, text_bytes, unpack, with_doc_part
 from tidemark.llm.textkit import BYTE_CODES, Piece, covered, doc_keys, map_batches, pieces, range_hash, row_names
 
 LENGTH = 50
 GRAM = 20
 SIDE = LENGTH - GRAM
+STEP = 8
 TASK_ANCHORS = 800_000
 GROUP_ANCHORS = 60_000
 RANGE_ANCHORS = 60_000
 U64 = np.uint64
 
-_BUCKETS = "part int, grams binary, docs binary"
+_BUCKETS = "part int, grams binary, docs binary, homes binary, own_grams binary, own_docs binary, own_homes binary"
 _LIVE = "part int, grams binary, docs binary"
-_AROUND = "part int, grams binary, docs binary, variants binary, places binary, lefts binary, rights binary, left_bytes binary, right_bytes binary, local_docs binary, local_variants binary, local_places binary, local_marks binary"
+_AROUND = "part int, grams binary, docs binary, homes binary, variants binary, places binary, lefts binary, rights binary, left_bytes binary, right_bytes binary, local_docs binary, local_homes binary, local_variants binary, local_places binary, local_marks binary"
 _MARKS = "part int, docs binary, variants binary, places binary, marks binary"
 
 
@@ -84,61 +90,64 @@ def _anchors(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, gram[at], np.searchsorted(piece.offsets, at, "right") - 1
 
 
-def _bucket_rows(gram: np.ndarray, doc: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((doc, gram))
-    gram, doc = gram[order], doc[order]
-    # of a document's equal q-grams one, and of many documents the smallest and the largest
+def _bucket_rows(gram: np.ndarray, doc: np.ndarray, home: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((home, doc, gram))
+    order = order[group_starts(gram[order], doc[order], home[order])]
+    gram, doc, home = gram[order], doc[order], home[order]
     starts = group_starts(gram)
     ends = np.append(starts[1:], len(gram)) - 1
-    keep = np.unique(np.concatenate([starts, ends[doc[ends] != doc[starts]]]))
-    local = doc[starts] != doc[ends]
-    inner = np.setdiff1d(np.flatnonzero(spread(local, starts, len(gram))), keep, assume_unique=True)
-    inner = inner[np.append(True, (gram[inner][1:] != gram[inner][:-1]) | (doc[inner][1:] != doc[inner][:-1]))] if len(inner) else inner
-    keep = np.sort(np.concatenate([keep, inner]))
-    gram, doc = gram[keep], doc[keep]
-    out: dict[str, list] = {"part": [], "grams": [], "docs": []}
-    for p, rows in split_by(hash_part(gram, parts), parts):
-        out["part"].append(p)
-        out["grams"].append(pack(gram[rows], True))
-        out["docs"].append(pack(doc[rows]))
-    yield from rows_of(out, _arrow(_BUCKETS)).to_batches()
+    lives = spread(doc[starts] != doc[ends], starts, len(gram))
+    # the smallest and the largest document of a q-gram, and all rows of one that is not known to live
+    sent = ~lives
+    sent[starts] = sent[ends] = True
+    sent, own = np.flatnonzero(sent), np.flatnonzero(~sent)
+    schema = _arrow(_BUCKETS)
+    out: dict[str, list] = {f.name: [] for f in schema}
+    split = list(split_by(hash_part(gram[sent], parts)))
+    for (p, rows), o in zip(split, np.array_split(own, len(split)), strict=True):  # those that live travel in even shares
+        rows = sent[rows]
+        values = [p, pack(gram[rows], True), pack(doc[rows]), pack(home[rows]), pack(gram[o], True), pack(doc[o]), pack(home[o])]
+        for key, value in zip(schema.names, values, strict=True):
+            out[key].append(value)
+    yield from rows_of(out, schema).to_batches()
 
 
 def initial_buckets(docs: DataFrame, parts: int) -> DataFrame:
     """Packed (q-gram, document) pairs of every anchor, a q-gram and document once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, owners, held = [], [], 0
+        found, held = [], 0
         for batch in batches:
-            doc = doc_keys(batch, "doc")
+            doc, home = doc_keys(batch, "doc"), batch.column("part").to_numpy()
             for piece in pieces(batch.column("text")):
                 _, gram, row = _anchors(piece)
-                grams.append(gram)
-                owners.append(doc[piece.rows[row]])
+                found.append([gram, doc[piece.rows[row]], home[piece.rows[row]]])
                 held += len(gram)
                 if held > TASK_ANCHORS:
-                    yield from _bucket_rows(np.concatenate(grams), np.concatenate(owners), parts)
-                    grams, owners, held = [], [], 0
+                    yield from _bucket_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), parts)
+                    found, held = [], 0
         if held:
-            yield from _bucket_rows(np.concatenate(grams), np.concatenate(owners), parts)
+            yield from _bucket_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), parts)
 
-    return map_batches(docs.select("doc", "text"), run, _BUCKETS)
+    return map_batches(docs.select("doc", "part", "text"), run, _BUCKETS)
 
 
 def live_buckets(buckets: DataFrame, parts: int) -> DataFrame:
     """Of buckets in which two documents occur, the (q-gram, document) pairs, by document part."""
 
     def run(table: pa.Table) -> pa.Table:
-        gram = np.concatenate([unpack(x, np.uint64, True) for x in table["grams"].to_pylist()])
-        doc = np.concatenate([unpack(x, np.int64) for x in table["docs"].to_pylist()])
+        col = lambda c, kind, delta=False: np.concatenate([unpack(x, kind, delta) for x in table[c].to_pylist()])
+        gram, doc, home = col("grams", np.uint64, True), col("docs", np.int64), col("homes", np.int32)
         order = np.argsort(gram, kind="stable")
-        gram, doc = gram[order], doc[order]
+        gram, doc, home = gram[order], doc[order], home[order]
         starts = group_starts(gram)
         live = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         keep = spread(live, starts, len(gram))
-        gram, doc = gram[keep], doc[keep]
+        gram, doc, home = (np.concatenate([a[keep], b]) for a, b in ((gram, col("own_grams", np.uint64, True)), (doc, col("own_docs", np.int64)), (home, col("own_homes", np.int32))))
+        order = np.argsort(gram, kind="stable")
+        gram, doc, home = gram[order], doc[order], home[order]
         out: dict[str, list] = {"part": [], "grams": [], "docs": []}
-        for p, rows in split_by(doc_part(doc, parts), parts):
+        for p, rows in split_by(home):
             out["part"].append(p)
             out["grams"].append(pack(gram[rows], True))
             out["docs"].append(pack(doc[rows]))
@@ -147,16 +156,16 @@ def live_buckets(buckets: DataFrame, parts: int) -> DataFrame:
     return grouped(buckets, run, _LIVE)
 
 
-def _variants(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """Documents by id and text, with a number for each text among rows that share an id."""
+def _variants(table: pa.Table) -> np.ndarray:
+    """A number for each text among the rows of a part that share an id."""
     doc = table["doc"].to_numpy()
     if len(np.unique(doc)) == len(doc):
-        return table, np.zeros(len(doc), np.int64)
+        return np.zeros(len(doc), np.int64)
     prints = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in table["text"].to_pylist()]
     known: dict[int, dict[bytes, int]] = {}
     for d, h in sorted(zip(doc.tolist(), prints, strict=True)):
         known.setdefault(d, {}).setdefault(h, len(known[d]))
-    return table, np.array([known[d][h] for d, h in zip(doc.tolist(), prints, strict=True)], np.int64)
+    return np.array([known[d][h] for d, h in zip(doc.tolist(), prints, strict=True)], np.int64)
 
 
 def _side_bytes(data: np.ndarray, at: np.ndarray, room: np.ndarray, step: int) -> np.ndarray:
@@ -184,8 +193,9 @@ def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
 
     schema = _arrow(_AROUND)
 
-    def rows(found: list[list[np.ndarray]]) -> pa.Table:
+    def rows(home: int, found: list[list[np.ndarray]]) -> pa.Table:
         gram, doc, variant, place, behind, ahead, lb, rb = (np.concatenate(x) for x in zip(*found, strict=True))
+        homes = np.full(len(gram), home, np.int32)
         name = row_names(np.concatenate([lb, rb, behind[:, None].astype(np.uint8), ahead[:, None].astype(np.uint8)], 1))
         order = np.lexsort((doc, name, gram))
         starts = group_starts(gram[order], name[order])
@@ -196,11 +206,11 @@ def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
         keep = np.flatnonzero(doc == least)
         keep = keep[np.argsort(gram[keep], kind="stable")]
         out: dict[str, list] = {f.name: [] for f in schema}
-        split = list(split_by(hash_part(gram[keep], parts), parts))
+        split = list(split_by(hash_part(gram[keep], parts)))
         for (p, r), g in zip(split, np.array_split(gone, len(split)), strict=True):  # marks travel in even shares
             r = keep[r]
-            own = [p, pack(gram[r], True), pack(doc[r]), pack(variant[r].astype(np.int32)), pack(place[r]), pack(behind[r].astype(np.uint8)), pack(ahead[r].astype(np.uint8)), pack(lb[r]), pack(rb[r])]
-            local = [pack(doc[g]), pack(variant[g].astype(np.int32)), pack(place[g]), pack(marks[g])]
+            own = [p, pack(gram[r], True), pack(doc[r]), pack(homes[r]), pack(variant[r].astype(np.int32)), pack(place[r]), pack(behind[r].astype(np.uint8)), pack(ahead[r].astype(np.uint8)), pack(lb[r]), pack(rb[r])]
+            local = [pack(doc[g]), pack(homes[g]), pack(variant[g].astype(np.int32)), pack(place[g]), pack(marks[g])]
             for key, value in zip(schema.names, own + local, strict=True):
                 out[key].append(value)
         return rows_of(out, schema)
@@ -208,7 +218,7 @@ def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        left, variant = _variants(left)
+        variant, home = _variants(left), left["part"][0].as_py()
         doc = left["doc"].to_numpy()
         grams = np.concatenate([unpack(x.as_py(), np.uint64, True) for x in right["grams"]])
         owners = np.concatenate([unpack(x.as_py(), np.int64) for x in right["docs"]])
@@ -232,22 +242,23 @@ def surroundings(docs: DataFrame, live: DataFrame, parts: int) -> DataFrame:
                     found.append([gram, d, variant[piece.rows[row] + base], place, behind, ahead, _side_bytes(piece.data, at - 1, behind, -1), _side_bytes(piece.data, at + GRAM, ahead, 1)])
                 held += len(at)
                 if held > GROUP_ANCHORS:
-                    tables.append(rows(found))
+                    tables.append(rows(home, found))
                     found, held = [], 0
             base += len(chunk)
         if held:
-            tables.append(rows(found))
+            tables.append(rows(home, found))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return meet(docs, live, run, _AROUND)
 
 
 def refine(pointer: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """One round: within each bucket of two or more, sort on `later` and write new pointers.
+    """One round: within each bucket of two or more, sort on the bucket pointers at a later offset
+    and write new pointers.
 
     A pointer is the place of its bucket's first member in the sorted order.
     """
-    active = np.flatnonzero(np.bincount(pointer, minlength=len(pointer))[pointer] > 1)
+    active = np.flatnonzero(np.bincount(pointer)[pointer] > 1) if len(pointer) else pointer
     if not len(active):
         return pointer
     old, key = pointer[active], later[active]
@@ -261,14 +272,27 @@ def refine(pointer: np.ndarray, later: np.ndarray) -> np.ndarray:
     return out
 
 
+def bucket_pointers(sides: np.ndarray) -> np.ndarray:
+    """For the suffixes at each STEP bytes of the rows, the first place of their bucket of STEP bytes
+    in the sorted order of all these suffixes; what is beyond the row counts as zero."""
+    wide = np.zeros((len(sides), -(-SIDE // STEP) * STEP), np.uint8)
+    wide[:, :SIDE] = sides
+    grams = np.ascontiguousarray(wide).view(">u8").astype(np.uint64)
+    flat = grams.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = group_starts(flat[order])
+    out = np.empty(len(flat), np.int64)
+    out[order] = spread(starts, starts, len(flat))
+    return out.reshape(grams.shape)
+
+
 def depth_names(bucket: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted order of the suffixes `sides` within buckets, places, and common prefix lengths."""
     n = len(bucket)
-    padded = np.zeros((n, -(-SIDE // 8) * 8), np.uint8)
-    padded[:, :SIDE] = sides
-    pointer = bucket
-    for word in np.ascontiguousarray(padded).view(">u8").T:
-        pointer = refine(pointer, word.astype(np.uint64))
+    pointers = bucket_pointers(sides)
+    for offset in range(pointers.shape[1] - 2, -1, -1):  # later offsets first: their new pointers are sorted on
+        pointers[:, offset] = refine(pointers[:, offset], pointers[:, offset + 1])
+    pointer = refine(bucket, pointers[:, 0])
     order = np.argsort(pointer, kind="stable")
     same = sides[order[1:]] == sides[order[:-1]]
     lcp = np.where(same.all(1), SIDE, same.argmin(1))
@@ -320,11 +344,11 @@ def marked_strings(around: DataFrame, parts: int) -> DataFrame:
 
     schema = _arrow(_MARKS)
 
-    def send(doc, variant, place, marks) -> pa.Table:
+    def send(doc, home, variant, place, marks) -> pa.Table:
         hit = np.flatnonzero(marks)
         hit = hit[np.lexsort((place[hit], doc[hit]))]
         out: dict[str, list] = {f.name: [] for f in schema}
-        for p, rows in split_by(doc_part(doc[hit], parts), parts):
+        for p, rows in split_by(home[hit]):
             r = hit[rows]
             for key, value in zip(schema.names, [p, pack(doc[r], True), pack(variant[r]), pack(place[r]), pack(marks[r])], strict=True):
                 out[key].append(value)
@@ -332,7 +356,7 @@ def marked_strings(around: DataFrame, parts: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda name, kind: np.concatenate([unpack(x.as_py(), kind) for x in table[name]])
-        tables = [send(column("local_docs", np.int64), column("local_variants", np.int32), column("local_places", np.int64), column("local_marks", np.uint32))]
+        tables = [send(column("local_docs", np.int64), column("local_homes", np.int32), column("local_variants", np.int32), column("local_places", np.int64), column("local_marks", np.uint32))]
         # one range of q-grams after another, so that memory follows the range and not the part
         grams = [unpack(x.as_py(), np.uint64, True) for x in table["grams"]]
         every = np.sort(np.concatenate(grams))
@@ -345,7 +369,7 @@ def marked_strings(around: DataFrame, parts: int) -> DataFrame:
             col = lambda name, kind, width=1: np.concatenate([unpack(x.as_py(), kind, width=width)[s[k] : s[k + 1]] for x, s in zip(table[name], starts, strict=True)])
             doc, behind, ahead = col("docs", np.int64), col("lefts", np.uint8).astype(np.int64), col("rights", np.uint8).astype(np.int64)
             lb, rb = col("left_bytes", np.uint8, SIDE), col("right_bytes", np.uint8, SIDE)
-            tables.append(send(doc, col("variants", np.int32), col("places", np.int64), _marks_of(gram, doc, behind, ahead, lb, rb)))
+            tables.append(send(doc, col("homes", np.int32), col("variants", np.int32), col("places", np.int64), _marks_of(gram, doc, behind, ahead, lb, rb)))
         return pa.concat_tables(tables)
 
     return grouped(around, run, _MARKS)
@@ -358,7 +382,7 @@ def removed_bytes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        left, variant = _variants(left)
+        variant = _variants(left)
         doc = left["doc"].to_numpy()
         col = lambda name, kind, delta=False: np.concatenate([np.zeros(0, kind), *(unpack(x, kind, delta) for x in right[name].to_pylist())])
         who, which, place, mark = col("docs", np.int64, True), col("variants", np.int32), col("places", np.int64), col("marks", np.uint32)
@@ -396,7 +420,7 @@ def removed_bytes(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text") -> DataFrame:
-    parts = n_parts(docs, text)
+    parts = n_parts(text_bytes(docs, text))
     rows = with_doc_part(docs, parts, text)
     by_part = rows.select("part", "doc", "doc_id", "text")
     live = live_buckets(initial_buckets(rows, parts), parts)

@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from tidemark.session import ship
 
 PIECE_BYTES = 1 << 19
+LONG_RANGE = 256
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -81,12 +83,19 @@ def inverse(base: np.uint64) -> np.uint64:
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of values[start:end] for each range; values are uint64 codes."""
+    """64-bit hash of values[start:end] for each range; values are uint64 codes.
+
+    A polynomial modulo 2 ** 64 gives equal hashes to some long patterned sequences whatever its
+    base, so ranges over LONG_RANGE values are hashed by xxHash instead.
+    """
     base = BASES[which]
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(len(values), base), out=total[1:])
     back = powers(len(values) + 1, inverse(base))
-    return mix((total[ends] - total[starts]) * back[starts] + mix((ends - starts).astype(np.uint64) + U64(which)))
+    out = mix((total[ends] - total[starts]) * back[starts] + mix((ends - starts).astype(np.uint64) + U64(which)))
+    for i in np.flatnonzero(ends - starts > LONG_RANGE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(values[starts[i] : ends[i]], which)
+    return out
 
 
 def row_names(matrix: np.ndarray) -> np.ndarray:

@@ -1,17 +1,22 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
 A word is removed when a window of WINDOW words that covers it occurs anywhere else, in its own
-document too. The first pass counts every window in count-min sketches, one a task, merged by
-ranges of cells; the merged sketch never counts too few, so a window whose cell says one occurs
-once. It is sent to the tasks as one bit a cell ("two or more"), 2 ** CELL_BITS bits whatever
-the corpus. The second pass groups only the windows estimated repeated, by 96 bits of hash, and
-marks those that do repeat; a window that repeats is estimated repeated, so none is lost.
+document too. The first pass counts every window in count-min sketches of ROWS rows, one a task
+(as the cells that are not zero), which are merged by ranges of cells. The least of a window's
+cells is never below its count, so a window whose estimate is one occurs once. The merged sketch
+is sent to the tasks as one bit a cell ("two or more"). The second pass groups only the windows
+estimated repeated, by 96 bits of hash, and marks those that do repeat; a window that repeats is
+estimated repeated, so none is lost.
+
+A row has about a cell for two bytes of text, 2 ** MOST_BITS at most (ROWS times 32 MB of bits).
+Beyond about half a billion windows the filter lets more single windows pass, at the extreme all,
+and the second pass groups these as well: its cost is linear, its result the same.
 
 Hot windows: a task sends a window once, with the number it has seen, and marks its own repeats.
 
 Nulls: a null text has no words. Rows with equal ids are separate documents for counting, so a
-repeated row loses its windows in both. Texts with fewer than WINDOW words lose nothing.
-Columns other than doc_id and the text are not read.
+repeated row loses its windows in both. Texts with fewer than WINDOW words lose nothing. An empty
+table gives an empty table. Columns other than doc_id and the text are not read.
 """
 
 from __future__ import annotations
@@ -24,40 +29,74 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.packed import doc_part, group_starts, grouped, hash_part, meet, n_parts, pack, rows_of, split_by, spread, unpack, with_doc_part
+from tidemark.llm.packed import group_starts, grouped, hash_part, meet, n_parts, pack, rows_of, split_by, spread, text_bytes, unpack, with_doc_part
 from tidemark.llm.suffix_dedup import _arrow
-from tidemark.llm.textkit import BYTE_CODES, Piece, Words, covered, doc_keys, map_batches, mix, pieces, range_hash, windows
+from tidemark.llm.textkit import Words, covered, map_batches, mix, pieces, range_hash, windows
 
 WINDOW = 35
-CELL_BITS = 29
+ROWS = 2
+LEAST_BITS, MOST_BITS = 16, 28
 TASK_WINDOWS = 2_000_000
 U64 = np.uint64
+SALTS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))  # one a row
 
 _SKETCH = "part int, cells binary, counts binary"
-_MERGED = "part int, cells int, bits binary"
-_SEEN = "part int, names binary, checks binary, counts binary, docs binary, prints binary, places binary, own_docs binary, own_prints binary, own_places binary"
-_MARKS = "part int, docs binary, prints binary, places binary"
-
-
-def _cells(code: np.ndarray) -> np.ndarray:
-    return mix(code ^ U64(0xA0761D6478BD642F)) >> U64(64 - CELL_BITS)
-
-
-def _slices(parts: int) -> int:
-    """Cells in a slice of the sketch."""
-    return -(-(1 << CELL_BITS) // parts)
-
-
-def task_sketches(docs: DataFrame, parts: int) -> DataFrame:
+_MERGED = "part int, bits binary"
+_SEEN = "part int, names binary, checks binary, counts binary, keys binary, tags binary, places binary, own_keys binary, own_tags binary, own_places binary"
+_MARKS = "part int, keys binary, tags binary, places binary"
+
+
+class Sketch:
+    """Shape of a count-min sketch: ROWS rows of 2 ** bits cells, cut into `parts` slices."""
+
+    def __init__(self, size: int, parts: int):
+        self.bits = min(max(LEAST_BITS, (size // 2).bit_length()), MOST_BITS)
+        self.parts = parts
+        self.slice = -(-(ROWS << self.bits) // parts // 8) * 8 + 8  # whole bytes of bits
+
+    def cells(self, code: np.ndarray, row: int) -> np.ndarray:
+        return (mix(code ^ SALTS[row]) >> U64(64 - self.bits)) + U64(row << self.bits)
+
+    def slices_of(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(slice, cells, counts) of the cells that these windows touch."""
+        for row in range(ROWS):
+            cells, counts = np.unique(self.cells(codes, row), return_counts=True)
+            for p, r in split_by((cells // U64(self.slice)).astype(np.int64)):
+                yield p, cells[r], np.minimum(counts[r], 255).astype(np.uint8)
+
+    def merged(self, part: int, sent: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Bits of a slice: cells whose counts add up to two or more."""
+        total = np.zeros(self.slice, np.uint8)
+        for cells, counts in sent:
+            i = (cells - U64(part * self.slice)).astype(np.int64)
+            total[i] = np.minimum(total[i].astype(np.int64) + counts, 2)
+        return np.packbits(total > 1)
+
+    def whole(self, slices: dict[int, np.ndarray]) -> np.ndarray:
+        out = np.zeros(self.parts * self.slice // 8, np.uint8)
+        for p, bits in slices.items():
+            out[p * self.slice // 8 : (p + 1) * self.slice // 8] = bits
+        return out
+
+    def repeated(self, code: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Windows whose least count may be two or more."""
+        out = np.ones(len(code), bool)
+        for row in range(ROWS):
+            open_ = np.flatnonzero(out)
+            cell = self.cells(code[open_], row).astype(np.int64)
+            out[open_] = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+        return out
+
+
+def task_sketches(docs: DataFrame, shape: Sketch) -> DataFrame:
     """Counts by cell of every window, a set of slices for each task."""
 
     def rows(codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cells, counts = np.unique(_cells(np.concatenate(codes)), return_counts=True)
         out: dict[str, list] = {"part": [], "cells": [], "counts": []}
-        for p, r in split_by((cells // U64(_slices(parts))).astype(np.int64), parts):
+        for p, cells, counts in shape.slices_of(np.concatenate(codes)):
             out["part"].append(p)
-            out["cells"].append(pack(cells[r], True))
-            out["counts"].append(pack(np.minimum(counts[r], 255).astype(np.uint8)))
+            out["cells"].append(pack(cells, True))
+            out["counts"].append(pack(counts))
         yield from rows_of(out, _arrow(_SKETCH)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,81 +116,54 @@ def task_sketches(docs: DataFrame, parts: int) -> DataFrame:
     return map_batches(docs.select("text"), run, _SKETCH)
 
 
-def merged_sketch(sketches: DataFrame, parts: int) -> DataFrame:
+def merged_sketch(sketches: DataFrame, shape: Sketch) -> DataFrame:
     """One bit a cell: counted twice or more over all tasks. A row a slice."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        size = _slices(parts)
-        total = np.zeros(size, np.uint8)
-        for cells, counts in zip(table["cells"], table["counts"], strict=True):
-            i = (unpack(cells.as_py(), np.uint64, True) - U64(part * size)).astype(np.int64)
-            total[i] = np.minimum(total[i].astype(np.int64) + unpack(counts.as_py(), np.uint8), 2)
-        bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(total > 1).tobytes())
-        return rows_of({"part": [part], "cells": [size], "bits": [bits]}, _arrow(_MERGED))
+        sent = ((unpack(cells.as_py(), np.uint64, True), unpack(counts.as_py(), np.uint8)) for cells, counts in zip(table["cells"], table["counts"], strict=True))
+        bits = zstandard.ZstdCompressor(level=1).compress(shape.merged(part, sent).tobytes())
+        return rows_of({"part": [part], "bits": [bits]}, _arrow(_MERGED))
 
     return grouped(sketches, run, _MERGED)
 
 
-def _open(slices: dict[int, bytes], size: int) -> np.ndarray:
-    """The bits of all slices, as one array of bytes with a whole number of bytes a slice."""
-    wide = -(-size // 8)
-    out = np.zeros((max(slices, default=0) + 1) * wide, np.uint8)
-    for p, bits in slices.items():
-        out[p * wide : (p + 1) * wide] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8)
-    return out
-
-
-def _estimated_repeated(code: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
-    if not len(bits):
-        return np.zeros(len(code), bool)
-    cell = _cells(code).astype(np.int64)
-    part, inner = cell // size, cell % size
-    byte = part * (-(-size // 8)) + (inner >> 3)
-    known = byte < len(bits)
-    return known & ((bits[np.where(known, byte, 0)] >> (7 - (inner & 7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def _text_print(piece: Piece) -> np.ndarray:
-    """16 bits of each text, to tell apart rows that share an id."""
-    return (range_hash(BYTE_CODES[piece.data], piece.offsets[:-1], piece.offsets[1:]) >> U64(48)).astype(np.uint16)
-
-
-def candidate_windows(docs: DataFrame, sketch, size: int, parts: int) -> DataFrame:
+def candidate_windows(docs: DataFrame, sketch, shape: Sketch, parts: int) -> DataFrame:
     """Windows estimated repeated, once a task, with their counts; own repeats are marked here."""
 
     def rows(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        name, check, doc, text, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        name, check, key, tag, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((check, name))
-        name, check, doc, text, place = name[order], check[order], doc[order], text[order], place[order]
+        name, check, key, tag, place = name[order], check[order], key[order], tag[order], place[order]
         starts = group_starts(name, check)
         counts = np.diff(np.append(starts, len(name)))
         own = np.flatnonzero(spread(counts, starts, len(name)) > 1)
         schema = _arrow(_SEEN)
         out: dict[str, list] = {f.name: [] for f in schema}
         n = np.minimum(counts, 255).astype(np.uint8)
-        split = list(split_by(hash_part(name[starts], parts), parts))
+        split = list(split_by(hash_part(name[starts], parts)))
         for (p, r), o in zip(split, np.array_split(own, len(split)), strict=True):  # marks travel in even shares
             s = starts[r]
-            values = [p, pack(name[s], True), pack(check[s]), pack(n[r]), pack(doc[s]), pack(text[s]), pack(place[s]), pack(doc[o]), pack(text[o]), pack(place[o])]
-            for key, value in zip(schema.names, values, strict=True):
-                out[key].append(value)
+            values = [p, pack(name[s], True), pack(check[s]), pack(n[r]), pack(key[s]), pack(tag[s]), pack(place[s]), pack(key[o]), pack(tag[o]), pack(place[o])]
+            for column, value in zip(schema.names, values, strict=True):
+                out[column].append(value)
         yield from rows_of(out, schema).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _open(sketch.value, size)
+        bits = shape.whole({p: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8) for p, b in sketch.value.items()})
         found, held = [], 0
         for batch in batches:
-            doc = doc_keys(batch, "doc")
+            key, tag = batch.column("key").to_numpy(), batch.column("tag").to_numpy()
             for piece in pieces(batch.column("text")):
                 words = Words(piece)
                 at, row = windows(words.first, WINDOW)
                 code = range_hash(words.hashes(piece.data), at, at + WINDOW)
-                hit = _estimated_repeated(code, bits, size)
+                hit = shape.repeated(code, bits)
                 at, row, code = at[hit], row[hit], code[hit]
+                if not len(at):
+                    continue
                 check = (range_hash(words.hashes(piece.data, 1), at, at + WINDOW, 1) >> U64(32)).astype(np.uint32)
-                text = _text_print(piece)
-                found.append([code, check, doc[piece.rows[row]], text[row], (at - words.first[row]).astype(np.int64)])
+                found.append([code, check, key[piece.rows[row]], tag[piece.rows[row]], (at - words.first[row]).astype(np.int64)])
                 held += len(at)
                 if held > TASK_WINDOWS:
                     yield from rows(found)
@@ -159,7 +171,7 @@ def candidate_windows(docs: DataFrame, sketch, size: int, parts: int) -> DataFra
         if held:
             yield from rows(found)
 
-    return map_batches(docs.select("doc", "text"), run, _SEEN)
+    return map_batches(docs.select("key", "tag", "text"), run, _SEEN)
 
 
 def repeated_windows(seen: DataFrame, parts: int) -> DataFrame:
@@ -173,14 +185,14 @@ def repeated_windows(seen: DataFrame, parts: int) -> DataFrame:
         total = np.empty(len(name), np.int64)
         total[order] = spread(np.add.reduceat(count[order], starts), starts, len(name))
         hit = (total > 1) & (count == 1)  # the task that saw it more often has marked it
-        doc, text, place = (np.concatenate([col(a, kind)[hit], col(b, kind)]) for a, b, kind in (("docs", "own_docs", np.int64), ("prints", "own_prints", np.uint16), ("places", "own_places", np.int64)))
-        order = np.lexsort((place, text, doc))
-        doc, text, place = doc[order], text[order], place[order]
+        key, tag, place = (np.concatenate([col(a, kind)[hit], col(f"own_{a}", kind)]) for a, kind in (("keys", np.int64), ("tags", np.int16), ("places", np.int64)))
+        order = np.lexsort((place, tag, key))
+        key, tag, place = key[order], tag[order], place[order]
         schema = _arrow(_MARKS)
         out: dict[str, list] = {f.name: [] for f in schema}
-        for p, r in split_by(doc_part(doc, parts), parts):
-            for key, value in zip(schema.names, [p, pack(doc[r], True), pack(text[r]), pack(place[r])], strict=True):
-                out[key].append(value)
+        for p, r in split_by(key % parts):  # as in with_doc_part()
+            for column, value in zip(schema.names, [p, pack(key[r], True), pack(tag[r]), pack(place[r])], strict=True):
+                out[column].append(value)
         return rows_of(out, schema)
 
     return grouped(seen, run, _MARKS)
@@ -190,22 +202,23 @@ def removed_words(docs: DataFrame, marks: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc = left["doc"].to_numpy()
+        key, tag = left["key"].to_numpy(), left["tag"].to_numpy()
         col = lambda c, kind, delta=False: np.concatenate([np.zeros(0, kind), *(unpack(x.as_py(), kind, delta) for x in right[c])])
-        who, which, place = col("docs", np.int64, True), col("prints", np.uint16), col("places", np.int64)
-        order = np.lexsort((which, who))
+        who, which, place = col("keys", np.int64, True), col("tags", np.int16), col("places", np.int64)
+        order = np.argsort(who, kind="stable")
         who, which, place = who[order], which[order], place[order]
+        los, his = np.searchsorted(who, key, "left"), np.searchsorted(who, key, "right")
         out: dict[str, list] = {f.name: [] for f in schema}
         for texts in left["text"].chunks:
             base = len(out["n_words"])
             for piece in pieces(texts):
                 words = Words(piece)
-                prints = _text_print(piece)
                 for i, row in enumerate(piece.rows + base):
                     first, n = words.first[i], int(words.counts[i])
-                    lo, hi = np.searchsorted(who, [doc[row], doc[row] + 1])
-                    a, b = lo + np.searchsorted(which[lo:hi], [int(prints[i]), int(prints[i]) + 1])
-                    keep = ~covered(place[a:b], WINDOW, n) if b > a else np.ones(n, bool)
+                    mine = slice(los[row], his[row])
+                    at = place[mine][which[mine] == tag[row]]
+                    at = at[at <= n - WINDOW]
+                    keep = ~covered(at, WINDOW, n) if len(at) else np.ones(n, bool)
                     starts, ends = words.starts[first : first + n][keep], words.ends[first : first + n][keep]
                     left_ = b" ".join(piece.data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
                     out["n_words"].append(n)
@@ -218,14 +231,16 @@ def removed_words(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def dedup_windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    parts = n_parts(docs, text)
+    size = text_bytes(docs, text)
+    parts = n_parts(size)
+    shape = Sketch(size, parts)
     rows = with_doc_part(docs, parts, text)
-    merged = merged_sketch(task_sketches(rows, parts), parts).collect()  # at most 2 ** CELL_BITS bits
-    size = _slices(parts)
+    merged = merged_sketch(task_sketches(rows, shape), shape).collect()  # at most ROWS << MOST_BITS bits
     sketch = docs.sparkSession.sparkContext.broadcast({r.part: bytes(r.bits) for r in merged})
-    marks = repeated_windows(candidate_windows(rows, sketch, size, parts), parts)
-    return removed_words(rows.select("part", "doc", "doc_id", "text"), marks)
+    marks = repeated_windows(candidate_windows(rows, sketch, shape, parts), parts)
+    return removed_words(rows.select("part", "key", "tag", "doc_id", "text"), marks)
 
 
 def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over documents: WINDOW words, everything as the module says of nulls, ties and empty tables."""
     return dedup_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
