@@ -53,14 +53,45 @@ def test_block_maxima_lose_no_passage(spark):
     class One:
         first, counts, doc = np.array([0, len(codes)]), np.array([len(codes)]), np.zeros(len(codes), np.int64)
 
-    got = {(e, w) for _, e, _, w in d._search(index, None, One, codes)}
+    got = {(e, w) for _, e, _, w in d._search(index, One, codes)}
     want = set()
     for start in range(0, len(codes), d.ENTRY):
         own = np.unique(codes[start : start + 2 * d.ENTRY])
         t = np.searchsorted(index.terms, own)
         t = t[index.terms[np.minimum(t, len(index.terms) - 1)] == own] if len(t) else t
-        want |= {(int(e), start) for e in np.flatnonzero(index.scores(t) >= d.THRESHOLD)}
-    assert got == want
+        score = np.zeros(len(index.own))
+        for x in t:
+            at = slice(index.first[x * d.BLOCKS], index.first[(x + 1) * d.BLOCKS])
+            score[index.entry[at]] += index.impact[at]
+        want |= {(int(e), start) for e in np.flatnonzero(score >= d.THRESHOLD)}
+    assert want and got == want
+
+
+def test_blocks_and_entries_below_the_threshold_are_not_scored(spark):
+    r = random.Random(6)
+    own = lambda i, k: " ".join(f"i{i}w{r.randint(0, 40)}" for _ in range(k))
+    items = [(i, f"{own(i, 12)} the of and. {own(i, 8)}") for i in range(128)]
+    index = next(d.build_indexes(spark.createDataFrame(items, "item_id long, text string")))
+
+    class One:
+        def __init__(self, codes):
+            self.first, self.counts, self.doc = np.array([0, len(codes)]), np.array([len(codes)]), np.zeros(len(codes), np.int64)
+
+    text = d._word_codes(items[5][1])
+    assert {int(index.owner[e]) for _, e, _, _ in d._search(index, One(text), text)} == {5}
+    assert index.scored <= 2  # of 128: the words that all items hold make none a candidate
+    common = d._word_codes("the of and " * 200)
+    assert not list(d._search(index, One(common), common)) and index.scored <= 2
+
+
+def test_indexes_of_one_reading_give_what_single_ones_give(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, sentence(20) + " " + w + " " + sentence(9)) for i, w in ITEMS[:30]], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(map(tuple, d.contaminated(docs, items).select("doc_id", "item_id").collect()))
+    monkeypatch.setattr(d, "INDEX_ITEMS", 5)
+    for scan in (1, 3, 100):
+        monkeypatch.setattr(d, "SCAN_INDEXES", scan)
+        assert sorted(map(tuple, d.contaminated(docs, items).select("doc_id", "item_id").collect())) == want
 
 
 def test_empty_tables_and_clashing_columns(spark):

@@ -5,9 +5,11 @@ its BM25 weight as a share of the entry's score for itself. Entries are ordered
 held in BLOCKS blocks, and for each term the largest impact in each block is kept.
 
 Search. Every passage of every document (two steps of ENTRY words, starting each step) is a
-query. As in block-max WAND, blocks whose summed maxima stay below THRESHOLD are skipped and the
-entries of the others are scored exactly; all entries at or over the threshold are retrieved.
-Any ENTRY consecutive words lie in one passage whole.
+query. As in block-max WAND, a block whose maxima for the passage's terms add up to less than
+THRESHOLD is skipped. In the others the terms are put in order of their maxima, and the pivot is
+the first at which the sum of maxima so far reaches THRESHOLD: an entry that holds no term from the
+pivot on cannot reach it and is skipped too. What is left is scored exactly; all entries at or over
+the threshold are retrieved. Any ENTRY consecutive words lie in one passage whole.
 
 Verification. Around a hit the item's runs of RUN words are looked for; a word of the item is
 found if a run that holds it is there, so an edited word costs itself and at most RUN - 1 words on
@@ -15,9 +17,9 @@ either side. A document is contaminated by an item if at least PART_SHARE of the
 and of those of its answer (its last sentence) are found. An item of fewer than GRAM words must
 be there whole.
 
-The index is broadcast. Items are taken in blocks of about INDEX_ITEMS items or INDEX_WORDS
-words, each searched with all documents, so its size does not grow with the benchmark;
-statistics cover all items.
+Indexes hold about INDEX_ITEMS items or INDEX_WORDS words and are broadcast, SCAN_INDEXES at a time:
+so many are searched in one reading of the documents. What is broadcast does not grow with the
+benchmark; statistics cover all items.
 
 An item is a distinct pair of id and text: items that share an id are each searched for and
 reported, and so are items with a null id, with that id.
@@ -31,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ SHARE = 0.8  # of five-word runs: a whole copy, to tests; the search has no such
 PART_SHARE = 0.5
 INDEX_ITEMS = 1000
 INDEX_WORDS = 200_000
+SCAN_INDEXES = 8
+NEAR = 1e-4  # maxima are rounded to 32 bits
 
 _HITS = "array<struct<item_id: long, score: double, share: double, question_share: double, answer_share: double, first_word: long>>"
 _HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("share", pa.float64()), ("question_share", pa.float64()), ("answer_share", pa.float64()), ("first_word", pa.int64())]))
@@ -123,15 +128,37 @@ class Index:
         term, entry, impact = (np.concatenate(x) for x in zip(*postings, strict=True))
         order = np.lexsort((entry, term))
         self.entry, self.impact = entry[order], impact[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.block = np.arange(len(entries)) * BLOCKS // len(entries)
+        cell = term[order] * BLOCKS + self.block[self.entry]
+        self.first = np.searchsorted(cell, np.arange(len(self.terms) * BLOCKS + 1))  # postings of term t in block b
         self.maxima = np.zeros((len(self.terms), BLOCKS), np.float32)
-        np.maximum.at(self.maxima, (term, entry * BLOCKS // len(entries)), impact.astype(np.float32))
-
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Share of its own score that each entry gets from these (distinct) terms."""
-        n = self.first[terms + 1] - self.first[terms]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[terms], n)
-        return np.bincount(self.entry[at], self.impact[at], len(self.own))
+        np.maximum.at(self.maxima, (term, self.block[entry]), impact.astype(np.float32))
+        self.scored = 0  # entries scored so far
+
+    def _postings(self, terms: np.ndarray, block: int) -> np.ndarray:
+        start = self.first[terms * BLOCKS + block]
+        n = self.first[terms * BLOCKS + block + 1] - start
+        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
+    def retrieve(self, terms: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of a block at or over THRESHOLD for these (distinct) terms, and their scores."""
+        top = self.maxima[terms, block]
+        order = np.argsort(top, kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(top[order]), THRESHOLD - NEAR))
+        candidates = np.unique(self.entry[self._postings(terms[order[pivot:]], block)])
+        self.scored += len(candidates)
+        at = self._postings(terms, block)
+        place = np.minimum(np.searchsorted(candidates, self.entry[at]), max(len(candidates) - 1, 0))
+        known = candidates[place] == self.entry[at] if len(candidates) else np.zeros(len(at), bool)
+        score = np.bincount(place[known], self.impact[at[known]], len(candidates))
+        return candidates[score >= THRESHOLD], score[score >= THRESHOLD]
+
+
+def index_groups(items: DataFrame) -> Iterator[list[Index]]:
+    """The indexes that one reading of the documents searches."""
+    indexes = build_indexes(items)
+    while group := list(islice(indexes, SCAN_INDEXES)):
+        yield group
 
 
 def build_indexes(items: DataFrame) -> Iterator[Index]:
@@ -159,7 +186,7 @@ def build_indexes(items: DataFrame) -> Iterator[Index]:
     counted.unpersist()
 
 
-def _search(index: Index, piece, words: Words, codes: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+def _search(index: Index, words: Words, codes: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
     """(row, entry, score, first word of the passage) of every passage and entry over THRESHOLD."""
     term = np.minimum(np.searchsorted(index.terms, codes), len(index.terms) - 1)
     hit = np.flatnonzero(index.terms[term] == codes)
@@ -179,49 +206,53 @@ def _search(index: Index, piece, words: Words, codes: np.ndarray) -> Iterator[tu
     step_doc = np.repeat(np.arange(len(steps)), steps)
     joined = np.append(step_doc[1:] == step_doc[:-1], False)[:n] if n else np.zeros(0, bool)
     bound = bound[:n] + np.where(joined[:, None], bound[1:], 0)
-    passages = np.flatnonzero((bound >= THRESHOLD - 1e-4).any(1))
+    passages, blocks = np.nonzero(bound >= THRESHOLD - NEAR)
     ends = np.append(starts[1:], len(step))
     first = np.full(n + 1, len(step))
     last = np.full(n + 1, len(step))
     first[step[starts]], last[step[starts]] = starts, ends
-    for p in passages.tolist():
-        own = term[first[p] : last[p]] if first[p] < last[p] else term[:0]
-        if joined[p] and first[p + 1] < last[p + 1]:
-            own = np.union1d(own, term[first[p + 1] : last[p + 1]])
-        score = index.scores(own)
+    now, own = -1, term[:0]
+    for p, block in zip(passages.tolist(), blocks.tolist(), strict=True):
+        if p != now:
+            now, own = p, term[first[p] : last[p]] if first[p] < last[p] else term[:0]
+            if joined[p] and first[p + 1] < last[p + 1]:
+                own = np.union1d(own, term[first[p + 1] : last[p + 1]])
         d = int(step_doc[p])
-        for e in np.flatnonzero(score >= THRESHOLD):
-            yield d, int(e), float(score[e] * index.own[e]), int((p - first_step[d]) * ENTRY)
-
-
-def contamination(docs: DataFrame, index: Index, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` and `hits`: the items of the index found in each document, best first."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+        for e, score in zip(*index.retrieve(own, block), strict=True):
+            yield d, int(e), float(score * index.own[e]), int((p - first_step[d]) * ENTRY)
+
+
+def contamination(docs: DataFrame, indexes: list[Index], keep: list[str], text: str = "text") -> DataFrame:
+    """Columns `keep` and `hits`: the items of the indexes found in each document, best first."""
+    sent = docs.sparkSession.sparkContext.broadcast(indexes)
+
+    def found_in(index: Index, words: Words, codes: np.ndarray) -> Iterator[tuple[int, dict]]:
+        best: dict[tuple[int, int], dict] = {}
+        for row, entry, score, word in _search(index, words, codes):
+            item = int(index.owner[entry])
+            whole, question, answer = index.items[item]
+            lo = max(int(words.first[row]), int(words.first[row]) + word - whole.length)
+            hi = min(int(words.first[row + 1]), int(words.first[row]) + word + 2 * ENTRY + whole.length)
+            around = codes[lo:hi]
+            if whole.length < GRAM and whole.share_in(around) < 1:
+                continue
+            found = {"item_id": index.ids[item], "score": score, "share": whole.share_in(around), "question_share": question.share_in(around), "answer_share": answer.share_in(around), "first_word": word}
+            if min(found["question_share"], found["answer_share"]) < PART_SHARE:
+                continue
+            old = best.get((row, item))
+            if old is None or (found["share"], found["score"]) > (old["share"], old["score"]):
+                best[row, item] = found
+        return ((row, found) for (row, _), found in best.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
         for batch in batches:
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for piece in pieces(batch.column("_text")):
                 words = Words(piece, NOT_WORD)
                 codes = range_hash(BYTE_CODES[LOWER[piece.data]], words.starts, words.ends)
-                best: dict[tuple[int, int], dict] = {}
-                for row, entry, score, word in _search(index, piece, words, codes):
-                    item = int(index.owner[entry])
-                    whole, question, answer = index.items[item]
-                    lo = max(int(words.first[row]), int(words.first[row]) + word - whole.length)
-                    hi = min(int(words.first[row + 1]), int(words.first[row]) + word + 2 * ENTRY + whole.length)
-                    around = codes[lo:hi]
-                    if whole.length < GRAM and whole.share_in(around) < 1:
-                        continue
-                    found = {"item_id": index.ids[item], "score": score, "share": whole.share_in(around), "question_share": question.share_in(around), "answer_share": answer.share_in(around), "first_word": word}
-                    old = best.get((row, item))
-                    if min(found["question_share"], found["answer_share"]) < PART_SHARE:
-                        continue
-                    if old is None or (found["share"], found["score"]) > (old["share"], old["score"]):
-                        best[row, item] = found
-                for (row, _), found in best.items():
-                    hits[piece.rows[row]].append(found)
+                for index in sent.value:
+                    for row, found in found_in(index, words, codes):
+                        hits[piece.rows[row]].append(found)
             for h in hits:
                 h.sort(key=lambda x: (-x["share"], -x["score"], x["item_id"] is None, x["item_id"] or 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(hits, _HIT_TYPE)], [*(f"k{i}" for i in range(len(keep))), "hits"])
@@ -234,19 +265,22 @@ def contamination(docs: DataFrame, index: Index, keep: list[str], text: str = "t
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each document and benchmark item found in it."""
-    parts = [contamination(docs, index, ["doc_id"]).where(F.size("hits") > 0) for index in build_indexes(items)]
+    parts = [contamination(docs, group, ["doc_id"]).where(F.size("hits") > 0) for group in index_groups(items)]
     empty = docs.sparkSession.createDataFrame([], f"doc_id long, hits {_HITS}")
     return reduce(DataFrame.unionByName, parts, empty).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found, each decided on its own text: rows with a null
+    text or id, repeated rows and ties stay like others. An empty table gives an empty table, an empty
+    benchmark leaves all."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     out = docs.select(*cols)
-    for index in build_indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        out = contamination(out, index, cols).where(F.size("hits") == 0).select(*cols)
+    for group in index_groups(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+        out = contamination(out, group, cols).where(F.size("hits") == 0).select(*cols)
     return out
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over documents and benchmark; nulls, ties and empty tables as the module says."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
