@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import ngram_join as n
@@ -67,6 +69,23 @@ def test_matches_brute_force(spark, bucket, block, monkeypatch):
     assert sorted(got, key=repr) == brute(rows)
 
 
+def test_a_hot_list_comes_to_no_task_whole(spark, monkeypatch):
+    rnd = random.Random(7)
+    share = [f"s{k}" for k in range(30)]
+    rows = [(i, " ".join(share + [f"u{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([2, 3, 5, 8, 40]))])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(n, "LIST_BLOCK", 16)
+    seen = []
+    plain = n.prefix_postings
+    monkeypatch.setattr(n, "prefix_postings", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in n.link_groups(df).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    sent = Counter()
+    for r in seen[0].collect():
+        sent.update(n.unpack(r.grams, np.uint64, True).tolist())
+    assert max(sent.values()) <= 3 * n.SMALL_BUCKET  # three tasks
+
+
 def test_empty_and_clashing_columns(spark):
     assert n.link_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e", 1, 2), (2, "a b c d e", 3, 4)], "doc_id long, text string, part int, class int")

@@ -8,9 +8,12 @@ Documents with one set of n-grams form a class; links are sought between classes
 2. Prefix filter: two linked sets share an n-gram among the first n - ceil(t n) + 1 of each.
 3. Length and positional filters drop pairs that cannot reach the overlap. Postings of an n-gram
    with up to SMALL_BUCKET classes give all pairs that pass. Longer ones give the pairs with one
-   leader each, and after these are verified and joined to components, the pairs whose members
-   are in different components still, so no link between components is lost. These pass a
-   suffix filter first: counts of n-grams in RANGES ranges of hashes bound the intersection.
+   leader each; a task that sees that a list is long pairs what it has with a leader of its own and
+   sends on the leader only, so no task gets a list whole. After these pairs are verified and joined
+   to components, long lists give the pairs whose members are in different components still, so no
+   link between components is lost. Only classes of near sizes meet for these (a list is cut into
+   bands of sizes, and these into blocks), and pairs pass a suffix filter first: fixed pivots cut the
+   sets into RANGES ranges of hashes, and what two sets have in each bounds the intersection.
 4. Each pair is verified once on the whole sets, behind the same bound from fixed pivots.
 
 Linked components follow from verified pairs by alternating stars.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +53,10 @@ MAX_RANK = 255
 FILTER_BITS = 23
 PIVOTS = 16
 RANGES = 128
-LIST_BLOCK = 2048
+LIST_BLOCK = 1024
 U64 = np.uint64
 
-_POSTINGS = "part int, grams binary, classes binary, sizes binary, places binary"
+_POSTINGS = "part int, grams binary, classes binary, sizes binary, places binary, leads binary, own_pairs binary, own_grams binary, own_classes binary, own_sizes binary, own_places binary"
 
 
 class Shape:
@@ -162,11 +166,17 @@ def prefix_postings(docs: DataFrame, ranks, shape: Shape, parts: int, text: str)
         gram, name, size, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((name, gram))
         order = order[group_starts(gram[order], name[order])]
-        gram, name, size, place = gram[order], name[order], size[order], place[order]
+        gram, name, size, place = gram[order], name[order].view(np.int64), size[order].astype(np.int32), place[order].astype(np.int32)
+        pairs, long, lead = _long_lists(gram, name, size, place, shape)
+        sent, own = np.flatnonzero(~long | lead), np.flatnonzero(long & ~lead)
         schema = _arrow(_POSTINGS)
         out: dict[str, list] = {f.name: [] for f in schema}
-        for p, r in split_by(hash_part(mix(gram), parts)):
-            for key, value in zip(schema.names, [p, pack(gram[r], True), pack(name[r]), pack(size[r].astype(np.int32)), pack(place[r].astype(np.int32))], strict=True):
+        split = list(split_by(hash_part(mix(gram[sent]), parts)))
+        shares = zip(split, np.array_split(pairs, len(split)), np.array_split(own, len(split)), strict=True)
+        for (p, r), pair, o in shares:  # what a task has done itself travels in even shares
+            r = sent[r]
+            values = [p, pack(gram[r], True), pack(name[r]), pack(size[r]), pack(place[r]), pack(lead[r]), pack(pair), pack(gram[o], True), pack(name[o]), pack(size[o]), pack(place[o])]
+            for key, value in zip(schema.names, values, strict=True):
                 out[key].append(value)
         yield from rows_of(out, schema).to_batches()
 
@@ -210,35 +220,51 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
 
 
+def _long_lists(gram, name, size, place, shape: Shape, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted postings: pairs of leaders of long lists with their other members, as far as these
+    are possible; which postings are in long lists; which are leaders. known marks lists that are
+    long elsewhere."""
+    starts = group_starts(gram)
+    sizes = np.diff(np.append(starts, len(gram)))
+    far = sizes > SMALL_BUCKET
+    if known is not None:
+        far |= np.maximum.reduceat(known, starts) if len(starts) else far
+    long, lead = np.repeat(far, sizes), np.zeros(len(gram), bool)
+    lead[starts[far]] = True
+    rest = np.flatnonzero(long & ~lead)
+    first = np.repeat(starts, sizes)[rest]
+    ok = _possible(size[first].astype(np.int64), place[first], size[rest].astype(np.int64), place[rest], shape)
+    return np.stack([name[first[ok]], name[rest[ok]]], 1), long, lead
+
+
 def first_pairs(postings: DataFrame, shape: Shape) -> DataFrame:
     """kind 0: candidate pairs (a, b) of classes. kind 1: postings (gram a, class b, size, place)
     of long posting lists, for the second round."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        col = lambda c, kind, delta=False: np.concatenate([unpack(x.as_py(), kind, delta) for x in table[c]])
-        gram, name, size, place = col("grams", np.uint64, True), col("classes", np.uint64).view(np.int64), col("sizes", np.int32).astype(np.int64), col("places", np.int32).astype(np.int64)
-        order = np.lexsort((name, gram))
+        col = lambda c, kind, delta=False, width=1: np.concatenate([unpack(x.as_py(), kind, delta, width) for x in table[c]])
+        gram, name, size, place, led = col("grams", np.uint64, True), col("classes", np.int64), col("sizes", np.int32).astype(np.int64), col("places", np.int32).astype(np.int64), col("leads", bool)
+        order = np.lexsort((~led, name, gram))  # of a class from several tasks the leading one
         order = order[group_starts(gram[order], name[order])]
-        gram, name, size, place = gram[order], name[order], size[order], place[order]
+        gram, name, size, place, led = gram[order], name[order], size[order], place[order], led[order]
+        pairs, long, _ = _long_lists(gram, name, size, place, shape, led)
         starts = group_starts(gram)
         sizes = np.diff(np.append(starts, len(gram)))
-        small = (sizes > 1) & (sizes <= SMALL_BUCKET)
-        long = sizes > SMALL_BUCKET
+        small = (sizes > 1) & ~long[starts] if len(starts) else np.zeros(0, bool)
         a, b = _pairs_within(starts[small], sizes[small])
-        rest = np.flatnonzero(np.repeat(long, sizes))
-        lead = np.repeat(starts, sizes)[rest]
-        a, b = np.concatenate([a, lead[rest != lead]]), np.concatenate([b, rest[rest != lead]])
         ok = _possible(size[a], place[a], size[b], place[b], shape)
-        pair = np.unique(np.stack([name[a[ok]], name[b[ok]]], 1), axis=0)
+        pair = np.unique(np.concatenate([np.stack([name[a[ok]], name[b[ok]]], 1), pairs, col("own_pairs", np.int64, width=2)]), axis=0)
         none = np.zeros(len(pair), np.int32)
+        rest = np.flatnonzero(long)
+        gram, name, size, place = (np.concatenate([x[rest], y]) for x, y in ((gram, col("own_grams", np.uint64, True)), (name, col("own_classes", np.int64)), (size, col("own_sizes", np.int32)), (place, col("own_places", np.int32))))
         return pa.table(
             [
-                pa.array(np.concatenate([none, np.ones(len(rest), np.int32)])),
-                pa.array(np.concatenate([pair[:, 0], gram[rest].view(np.int64)])),
-                pa.array(np.concatenate([pair[:, 1], name[rest]])),
-                pa.array(np.concatenate([none, size[rest]]).astype(np.int32)),
-                pa.array(np.concatenate([none, place[rest]]).astype(np.int32)),
+                pa.array(np.concatenate([none, np.ones(len(gram), np.int32)])),
+                pa.array(np.concatenate([pair[:, 0], gram.view(np.int64)])),
+                pa.array(np.concatenate([pair[:, 1], name])),
+                pa.array(np.concatenate([none, size]).astype(np.int32)),
+                pa.array(np.concatenate([none, place]).astype(np.int32)),
             ],
             schema=schema,
         )
@@ -275,39 +301,44 @@ def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
     """Pairs (a, b) of long posting lists whose components differ and whose profiles could reach
     the overlap. long: gram, class, size, place, component, profile.
 
-    A list longer than LIST_BLOCK is cut into blocks, and every two blocks meet in a task of
-    their own, so no list comes to one task whole.
+    Sizes of linked sets differ by 100 / percent at most, so a list is cut into bands of that ratio and
+    a class meets those of its own band and of the one below. What meets is cut into blocks of
+    LIST_BLOCK, and every two blocks meet in a task of their own, so no list comes to one task whole.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("gram", "lo", "hi", "class")])
-        gram, lo, hi, block, name, size, place, comp = (table[c].to_numpy().astype(np.int64) for c in ("gram", "lo", "hi", "block", "class", "size", "place", "component"))
+        table = table.sort_by([(c, "ascending") for c in ("gram", "at", "lo", "hi", "class")])
+        gram, at, lo, hi, block, band, name, size, place, comp = (table[c].to_numpy().astype(np.int64) for c in ("gram", "at", "lo", "hi", "block", "band", "class", "size", "place", "component"))
         profile = np.frombuffer(b"".join(table["profile"].to_pylist()), np.uint8).reshape(-1, RANGES)
         lists = table["lists"].combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
         of, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
         found = [np.zeros((0, 2), np.int64)]
-        starts = group_starts(gram, lo, hi)
-        for s, e in zip(starts.tolist(), np.append(starts[1:], len(gram)).tolist(), strict=True):
+        starts = group_starts(gram, at, lo, hi)
+        for s, e in zip(starts.tolist(), np.append(starts, len(gram))[1:].tolist(), strict=True):
             earlier = _earlier_lists(of, bounds, s, e, gram[s])
             for i in range(s, e - 1):  # a row against the rest of its list, or of the other block
                 j = np.arange(i + 1, e)
-                j = j[~(earlier[j - s] & earlier[i - s]).any(1)]  # pairs that meet in an earlier list leave that one
-                j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (lo[s] == hi[s]))]
+                j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (lo[s] == hi[s])) & (np.maximum(band[j], band[i]) == at[s])]
                 j = j[_possible(size[i], place[i], size[j], place[j], shape)]
+                j = j[~(earlier[j - s] & earlier[i - s]).any(1)]  # pairs that meet in an earlier list leave that one
                 j = j[_common_at_most(profile[i], profile[j]) >= shape.overlap(size[i], size[j])]
                 if len(j):
                     found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
         pair = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
 
-    lists = cut(long.groupBy("gram").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("gram", "blocks"))
-    mixed = cut(long.join(lists, "gram"))
-    by_class = mixed.groupBy("class").agg(F.sort_array(F.collect_list("gram")).alias("lists"))
+    # bands a hair wider than the ratio, so that rounding never puts a possible pair two bands apart
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(log(100 / shape.percent) * 1.000001)).cast("int")
+    placed = long.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
+    lists = placed.groupBy("gram", "at").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.col("band") == F.col("at")).alias("any_top"))
+    lists = cut(lists.where("c0 <> c1 AND any_top").select("gram", "at", "blocks"))
+    mixed = cut(placed.join(lists, ["gram", "at"]))
+    by_class = mixed.select("class", "gram").distinct().groupBy("class").agg(F.sort_array(F.collect_list("gram")).alias("lists"))
     rows = mixed.join(by_class, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    rows = rows.select("gram", "lo", "hi", "block", "class", "size", "place", "component", "profile", "lists", F.pmod(F.xxhash64("gram", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
+    rows = rows.select("gram", "at", "lo", "hi", "block", "band", "class", "size", "place", "component", "profile", "lists", F.pmod(F.xxhash64("gram", "at", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
     return grouped(rows, run, "a long, b long").distinct()
 
 
@@ -383,7 +414,7 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
 
     edges = links(bounded(cut(found.where("kind = 0").select("a", "b").distinct()), reps, shape))
     groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("class"), "size", "place")
+    long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("class"), "size", "place").dropDuplicates(["gram", "class"])
     long = long.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     long = cut(long.join(reps.select("class", "profile"), "class"))
     more = cut(second_pairs(long, shape, parts))
@@ -417,4 +448,5 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 over documents: GRAM words, PERCENT; nulls, ties and empty tables as the module says."""
     return link_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class")
