@@ -195,4 +195,5 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 over documents; nulls, ties and empty tables as the module says."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

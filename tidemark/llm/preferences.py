@@ -67,6 +67,7 @@ def pair_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 over conversations; nulls, ties and empty tables as the module says."""
     return format_pairs(pair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 

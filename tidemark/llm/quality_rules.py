@@ -121,9 +121,15 @@ def host_verdicts(stats: DataFrame, host: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text") -> DataFrame:
-    """Columns `keep`, the statistics, base_failed, suspect, host_rate and kept."""
-    hosts = host_verdicts(rule_stats(docs, [host], text), host)
+    """Columns `keep`, the statistics, base_failed, suspect, host_rate and kept.
+
+    Statistics are made once and written, unless `keep` has the text: writing that once more costs
+    more than reading it twice.
+    """
     stats = rule_stats(docs, list(dict.fromkeys([*keep, host])), text)
+    if text not in keep:
+        stats = cut(stats)
+    hosts = host_verdicts(rule_stats(docs, [host], text) if text in keep else stats, host)
     joined = join_side(stats, hosts, host, F.struct("n_words", "word_chars", "n_symbols"))
     bad = base_failed()
     return joined.select(
@@ -133,10 +139,14 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are kept, with their columns as they were: rows with a null text or fewer than
+    MIN_WORDS words go, null ids and hosts are judged like others, repeated rows one by one. An empty
+    table gives an empty table."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     return judge(docs, cols).filter("kept").select(*cols)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 over documents; nulls, ties and empty tables as the module says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "suspect")

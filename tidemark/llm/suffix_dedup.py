@@ -428,4 +428,5 @@ def dedup_substrings(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 over documents; nulls, ties and empty tables as the module says."""
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
