@@ -4,7 +4,7 @@ import pytest
 from tidemark.operators import models as M
 from tidemark.operators.calibrate import Experts
 from tidemark.operators.reconcile import project, shrink_covariance
-from tidemark.operators.stats import two_way_weights
+from tidemark.operators import stats
 
 
 def series(n=84, seed=0):
@@ -70,11 +70,23 @@ def test_covariance_falls_back_for_short_histories():
     assert w[1, 1] == pytest.approx(9.0) and w[0, 0] == pytest.approx(np.var([1, 2, 4], ddof=1))
 
 
-def test_two_way_weights_draw_series_then_blocks():
-    w, v = two_way_weights(5, 7, 50, seed=1)
+def test_two_way_weights_draw_series_then_blocks(monkeypatch):
+    v, w = stats.unit_weights(7, 50, 1, 3), np.vstack([m for _, m in stats.series_weights(5, 50, 1)])
     assert (w.sum(1) == 5).all() and (v.sum(1) == 7).all()
-    again = two_way_weights(5, 7, 50, seed=1)
-    assert (w == again[0]).all() and (v == again[1]).all()
+    monkeypatch.setattr(stats, "CHUNK", 35)  # seven replicates at a time: the same draws
+    parts = list(stats.series_weights(5, 50, 1))
+    assert [at for at, _ in parts] == list(range(0, 50, 7)) and (np.vstack([m for _, m in parts]) == w).all()
+
+
+def test_covariance_equals_the_array_of_products():
+    rng = np.random.default_rng(8)
+    e = rng.normal(0, 1, (12, 6)) @ rng.normal(0, 1, (6, 6))
+    w, var = shrink_covariance(e, np.ones(6)), e.var(0, ddof=1)
+    z = (e - e.mean(0)) / np.sqrt(var)
+    prod = z[:, :, None] * z[:, None, :]
+    r, off = prod.mean(0), ~np.eye(6, dtype=bool)
+    lam = np.clip((prod.var(0) / 11)[off].sum() / (r[off] ** 2).sum(), 0, 1)
+    assert w == pytest.approx(np.where(off, (1 - lam) * r, 1) * np.sqrt(np.outer(var, var)))
 
 
 def test_experts_widen_after_misses_and_narrow_after_hits():

@@ -37,11 +37,38 @@ def test_two_way_share_equals_numpy(spark, units):
     rows = [(f"s{i}", month(j), 1, bool(hit[i, j])) for i in range(6) for j in range(units)]
     df = spark.createDataFrame(rows, "series string, origin date, horizon int, cov90 boolean").repartition(3)
     got = stats.two_way_share(df, ["horizon"], "series", "origin", "cov90", n=300).first()
-    w, v = stats.two_way_weights(6, units, 300)
+    v, w = stats.unit_weights(units, 300, 0, 3), np.vstack([m for _, m in stats.series_weights(6, 300, 0)])
+    within = (w @ hit).sum(1) / (w @ np.ones_like(hit, float)).sum(1)
     v = v if units >= 3 else np.ones_like(v)
     top, den = ((w @ hit) * v).sum(1), ((w @ np.ones_like(hit, float)) * v).sum(1)
     assert got.share == pytest.approx(hit.mean())
     assert (got.lo, got.hi) == pytest.approx(tuple(np.percentile(top / den, [2.5, 97.5])))
+    assert (got.lo_within, got.hi_within) == pytest.approx(tuple(np.percentile(within, [2.5, 97.5])))
+
+
+def test_two_way_difference_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    hit = rng.random((2, 6, 8)) < 0.7
+    hit[1] |= rng.random((6, 8)) < 0.3
+    df = lambda k: spark.createDataFrame([(f"s{i}", month(j), 1, bool(hit[k, i, j])) for i in range(6) for j in range(8)], "series string, origin date, horizon int, cov90 boolean").repartition(2)
+    got = stats.two_way_difference(df(0), df(1), ["horizon"], "series", "origin", "cov90", n=200).first()
+    v, w = stats.unit_weights(8, 200, 0, 3), np.vstack([m for _, m in stats.series_weights(6, 200, 0)])
+    share = lambda x: ((w @ x) * v).sum(1) / ((w @ np.ones_like(x, float)) * v).sum(1)
+    assert got.diff == pytest.approx(hit[1].mean() - hit[0].mean())
+    assert (got.lo, got.hi) == pytest.approx(tuple(np.percentile(share(hit[1]) - share(hit[0]), [2.5, 97.5])))
+
+
+def test_joint_bootstrap_draws_the_same_units_for_all_targets(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.gamma(2, 50, (2, 3, 9)), rng.gamma(2, 45, (2, 3, 9))
+    df = lambda x: spark.createDataFrame([(f"t{t}", f"s{i}", month(j), float(x[t, i, j])) for t in range(2) for i in range(3) for j in range(9)], "target string, series string, origin date, wis double")
+    got = {r.target: r for r in stats.joint_bootstrap(df(a), df(b), ["target", "series", "origin"], "origin", "target", n=300).collect()}
+    x, y = a.mean(1), b.mean(1)
+    idx = np.random.default_rng(0).integers(0, 9, (300, 9))
+    drawn = y[:, idx].mean(2) / x[:, idx].mean(2)
+    assert got["t1"].rel == pytest.approx(y[1].mean() / x[1].mean() - 1)
+    both = np.sqrt(drawn[0] * drawn[1]) - 1
+    assert (got[None].lo, got[None].hi) == pytest.approx(tuple(np.percentile(both, [2.5, 97.5]))) and got[None].units == 9
 
 
 def toy_forecasts(spark, n_origins=20, n_series=3, seed=1):
@@ -142,13 +169,37 @@ def test_guards_and_hashes(spark):
     assert quality.row_hash(df.repartition(2, "v")).first().hash == h != quality.row_hash(df.limit(1)).first().hash
 
 
-def test_grids_agree_beyond_the_broadcast_limit(spark, monkeypatch):
+def test_grid_equals_a_join_with_every_origin(spark):
+    from tidemark.functions.calendar import second_thursday
     from tidemark.plans import testbed as T
 
     v, o = T.vintages(spark, "/root/testdata/sf0.001"), T.months(spark, "1999-01-01", "1999-12-01")
-    small = sorted(map(repr, V.as_of_grid(v, o).collect()))
-    monkeypatch.setattr(V, "BROADCAST_ORIGINS", 0)
-    assert sorted(map(repr, V.as_of_grid(v, o).collect())) == small and small
+    seen = v.crossJoin(o).where((F.col("snapshot") <= second_thursday("origin")) & (F.col("period") <= F.add_months("origin", -1)))
+    want = seen.groupBy("origin", *V.KEY).agg(F.max_by("value", "version").alias("value"))
+    got = sorted(map(repr, V.as_of_grid(v, o).collect()))
+    assert got == sorted(map(repr, want.collect())) and got
+
+
+def test_chains_that_do_not_end_have_no_end(spark):
+    edges = [(i, i + 1) for i in range(1, 12)] + [(100, 101), (101, 100), (200, 201), (200, 202), (300, 300)]
+    df = spark.createDataFrame(edges, "predecessor long, successor long")
+    got = {r.code: r.final for r in quality.follow(spark, df, 8).collect()}
+    assert got == {i: 12 if 12 - i <= 8 else None for i in range(1, 12)} | {100: None, 101: None}
+
+
+def test_an_aggregate_with_an_absent_child_is_reconciled_with_a_rest(spark):
+    rng = np.random.default_rng(2)
+    rows = [("t", n, [float(k * 100 + 10 * i) for i in range(9)]) for n, k in (("P", 5.0), ("Q", 3.2), ("a", 1.0), ("b", 2.0))]
+    errors = [("t", n, month(j), float(rng.normal(0, 10))) for n, *_ in (("P",), ("Q",), ("a",), ("b",)) for j in range(40)]
+    f = spark.createDataFrame(rows, "target string, series string, q array<double>")
+    e = spark.createDataFrame(errors, "target string, series string, made date, e double")
+    parents = {"P": ("a", "gone"), "Q": ("a", "b")}
+    out = {r.series: np.array(r.q) for r in reconcile.reconcile(f, e, parents, ["target"]).collect()}
+    assert set(out) == {"P", "Q", "a", "b"} and out["Q"] == pytest.approx(out["a"] + out["b"])
+    assert out["P"] == pytest.approx(np.array(rows[0][2]))  # the rest takes what its known child does not explain
+    old = [(t, s, d.replace(year=d.year - 50), x * 1000) for t, s, d, x in errors]
+    again = reconcile.reconcile(f, spark.createDataFrame(errors + old, e.schema), parents, ["target"]).collect()
+    assert {r.series: r.q for r in again} == {s: pytest.approx(q.tolist()) for s, q in out.items()}  # older errors do not count
 
 
 def test_newest_null_wins_and_reuploads_go(spark):

@@ -6,6 +6,8 @@ Scores live on log1p: how far the truth lies outside a central interval.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,21 +44,24 @@ def pooled_widths(scores: DataFrame, origins: DataFrame, by: list[str]) -> DataF
     """origin, by, horizon, n and e (one widening for each interval) from the pooled scores.
 
     The pool of t holds the scores of the POOL_ORIGINS latest distinct origins with anything
-    resolved by t. Scores are first sorted into one array for each (by, horizon, origin,
-    resolved), so that the join with issuing origins carries arrays and not rows.
+    resolved by t. Which (origin, resolved) belong to a pool is settled on their distinct values;
+    scores join these by equality, are ranked within pool and interval, and the two ranks around
+    the wanted level are kept, so no pool is collected into one row.
     """
-    cells = scores.groupBy(*by, "horizon", F.col("origin").alias("made"), "resolved").agg(F.collect_list("s").alias("rows"))
-    t = origins.select("origin")
-    seen = cells.join(t, F.col("resolved") <= F.col("origin"))
+    cell = [*by, "horizon", "made", "resolved"]
+    rows = scores.withColumnRenamed("origin", "made").select(*cell, "s")
+    seen = rows.select(*cell).distinct().join(origins.select("origin"), F.col("resolved") <= F.col("origin"))
     rank = F.dense_rank().over(Window.partitionBy("origin", *by, "horizon").orderBy(F.col("made").desc()))
-    pool = seen.withColumn("_r", rank).where(F.col("_r") <= POOL_ORIGINS).groupBy("origin", *by, "horizon").agg(F.flatten(F.collect_list("rows")).alias("rows"))
-    n = F.size("rows")
-
-    def width(i: int, a: float) -> Column:
-        level = F.least(F.lit(1.0), (1 - a) * (1 + 1 / n))
-        return A.quantile_sorted(F.array_sort(F.transform("rows", lambda r: F.element_at(r, i + 1))), level)
-
-    return pool.select("origin", *by, "horizon", n.cast("long").alias("n"), F.array(*(width(i, a) for i, a in enumerate(ALPHAS))).alias("e")).where(F.col("n") >= POOL_LEAST)
+    pools = seen.withColumn("_r", rank).where(F.col("_r") <= POOL_ORIGINS).drop("_r")
+    pool = ["origin", *by, "horizon"]
+    each = rows.join(pools, cell).select(*pool, F.posexplode("s").alias("i", "x"))
+    among = Window.partitionBy(*pool, "i")
+    each = each.withColumns({"n": F.count("*").over(among), "rank": F.row_number().over(among.orderBy("x")) - 1})
+    level = F.least(F.lit(1.0), (1 - F.element_at(F.array(*map(F.lit, ALPHAS)), F.col("i") + 1)) * (1 + 1 / F.col("n")))
+    share = 1 - F.abs(F.col("rank") - level * (F.col("n") - 1))  # of the ranks beside the level, by nearness
+    each = each.withColumn("share", share).where("share > 0")
+    widths = [F.sum(F.when(F.col("i") == i, F.col("x") * F.col("share"))) for i in range(len(ALPHAS))]
+    return each.groupBy(*pool).agg(F.max("n").alias("n"), F.array(*widths).alias("e")).where(F.col("n") >= POOL_LEAST)
 
 
 def series_widths(scores: DataFrame, pooled: DataFrame, by: list[str], window: int = 36) -> DataFrame:
@@ -128,14 +133,14 @@ def adaptive_levels(scores: DataFrame, origins: DataFrame, by: list[str]) -> Dat
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["resolved"].to_pylist(), table["origin"].to_pylist(), table["s"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2]))
         experts = [Experts(a) for a in ALPHAS]
-        pools: list[list[float]] = [[] for _ in ALPHAS]
+        pools: list[list[float]] = [[] for _ in ALPHAS]  # sorted
         out, i = [], 0
         for t in issued:
             while i < len(rows) and rows[i][0] <= t:
                 for e, pool, s in zip(experts, pools, rows[i][2], strict=True):
                     if pool:
-                        e.update(1 - float(np.mean(np.array(pool) <= s)))
-                    pool.append(s)
+                        e.update(1 - bisect_right(pool, s) / len(pool))
+                    insort(pool, s)
                 i += 1
             out.append([e.level() for e in experts])
         n = len(issued)

@@ -89,15 +89,21 @@ def row_hash(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def follow(spark: SparkSession, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """(code, final): the end of each chain of successions with a single successor a step."""
+    """(code, final): the end of each chain of successions with a single successor a step.
+
+    final is null for a code whose chain does not end within `limit` hops or runs in a circle.
+    """
     one = edges.where("predecessor <> successor").groupBy("predecessor").agg(F.min("successor").alias("successor"), F.countDistinct("successor").alias("n")).where("n = 1").drop("n")
-    now = one.select(F.col("predecessor").alias("code"), F.col("successor").alias("final"))
-    hops = 1
-    while hops < limit:  # each step doubles the hops followed
-        nxt = now.select(F.col("code").alias("_c"), F.col("final").alias("_f"))
-        now = now.join(nxt, now.final == nxt["_c"], "left").select("code", F.when(F.coalesce(F.col("_f"), F.col("final")) != F.col("code"), F.coalesce("_f", "final")).otherwise(F.col("final")).alias("final"))
-        hops *= 2
-    return now
+    step = one.select(F.col("predecessor").alias("_c"), F.col("successor").alias("_f"), F.lit(1).alias("_h"))
+    now = step.toDF("code", "final", "hops")
+    reach = 1
+    while reach < limit:  # each round doubles the hops that can be followed
+        nxt = now.toDF("_c", "_f", "_h")
+        now = now.join(nxt, now.final == nxt["_c"], "left").select("code", F.coalesce("_f", "final").alias("final"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+        reach *= 2
+    goes_on = now.join(step.select(F.col("_c")), now.final == step["_c"], "left")
+    ended = F.col("_c").isNull() & (F.col("hops") <= limit)
+    return goes_on.select("code", F.when(ended, F.col("final")).alias("final"))
 
 
 def crosswalk(old: DataFrame, new: DataFrame, member: str, code: str) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays as A
 from tidemark.session import ship
 
+ERROR_ORIGINS = 36
+REST = "~rest"
+
 
 def shrink_covariance(errors: np.ndarray, fallback: np.ndarray, least: int = 3) -> np.ndarray:
     """Sample covariance with correlations shrunk towards none; missing errors are NaN.
@@ -26,9 +29,8 @@ def shrink_covariance(errors: np.ndarray, fallback: np.ndarray, least: int = 3)
         return np.diag(var)
     z = np.where(seen, (errors - mean) / np.sqrt(var), 0.0)
     m = len(z)
-    prod = z[:, :, None] * z[:, None, :]
-    r = prod.mean(0)
-    spread = prod.var(0, ddof=0) / (m - 1)
+    r = z.T @ z / m
+    spread = ((z**2).T @ z**2 / m - r**2) / (m - 1)  # variance of the products of which r is the mean
     off = ~np.eye(len(var), dtype=bool)
     lam = np.clip(spread[off].sum() / max((r[off] ** 2).sum(), 1e-300), 0, 1)
     r = np.where(off, (1 - lam) * r, 1.0)
@@ -38,8 +40,9 @@ def shrink_covariance(errors: np.ndarray, fallback: np.ndarray, least: int = 3)
 
 
 def project(y: np.ndarray, s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Generalised least squares onto coherent forecasts; nodes without a forecast are NaN."""
-    known = ~np.isnan(y)
+    """Generalised least squares onto coherent forecasts, of one vector or of several columns at once;
+    nodes without a forecast are NaN (in every column)."""
+    known = ~np.isnan(y.reshape(len(y), -1)).any(1)
     sk, wi = s[known], np.linalg.pinv(w[np.ix_(known, known)])
     return s @ np.linalg.solve(sk.T @ wi @ sk, sk.T @ wi @ y[known])
 
@@ -47,9 +50,12 @@ def project(y: np.ndarray, s: np.ndarray, w: np.ndarray) -> np.ndarray:
 def reconcile(forecasts: DataFrame, errors: DataFrame, parents: dict[str, tuple[str, ...]], groups: list[str]) -> DataFrame:
     """Reconcile the quantiles of each group (target, horizon, origin).
 
-    forecasts: groups, series, q. errors: groups, series, made, e (history of median errors).
-    parents names each aggregate's bottom series; every other series is a bottom one. A group is
-    one hierarchy, of as many rows as it has nodes.
+    forecasts: groups, series, q. errors: groups, series, made, e (history of median errors), of which
+    the ERROR_ORIGINS latest origins count. parents names each aggregate's bottom series; every other
+    series is a bottom one. An aggregate with bottom series that have no forecast gets a node of its
+    own below it for these, REST, without forecast and error, so that it is reconciled too and what
+    its known series do not explain is the rest's. A group is one hierarchy, of as many rows as it
+    has nodes; it returns a row for each series that came.
     """
     ship(forecasts.sparkSession)
     kinds = dict(forecasts.dtypes)
@@ -61,19 +67,19 @@ def reconcile(forecasts: DataFrame, errors: DataFrame, parents: dict[str, tuple[
             return pa.table({c: [] for c in [*groups, "series", "q"]}).cast(f.select([*groups, "series", "q"]).schema)
         q = dict(zip(f["series"].to_pylist(), f["q"].to_pylist(), strict=True))
         bottom = [s for s in names if s not in parents]
-        # an aggregate that has a bottom series without forecasts cannot be made coherent
-        nodes = [s for s in names if s not in parents or set(parents[s]) <= set(bottom)]
-        s = np.array([[float(b == v or b in parents.get(v, ())) for b in bottom] for v in nodes])
-        made = sorted(set(e["made"].to_pylist())) if e.num_rows else []
+        rest = {f"{s}{REST}": s for s in names if s in parents and not set(parents[s]) <= set(bottom)}
+        nodes, leaves = [*names, *rest], [*bottom, *rest]
+        s = np.array([[float(b == v or b in parents.get(v, ()) or rest.get(b) == v) for b in leaves] for v in nodes])
+        made = sorted(set(e["made"].to_pylist()))[-ERROR_ORIGINS:] if e.num_rows else []
         hist = np.full((len(made), len(nodes)), np.nan)
-        at = {v: i for i, v in enumerate(nodes)}
+        at, row = {v: i for i, v in enumerate(nodes)}, {m: i for i, m in enumerate(made)}
         for m, v, x in zip(*(e[c].to_pylist() for c in ("made", "series", "e")), strict=True) if e.num_rows else ():
-            if v in at and x is not None:
-                hist[made.index(m), at[v]] = x
-        y = np.array([q[v] for v in nodes], float)
-        median = np.maximum(y[:, A.MEDIAN], 1)
+            if v in at and x is not None and m in row:
+                hist[row[m], at[v]] = x
+        y = np.array([q.get(v, [np.nan] * len(A.LEVELS)) for v in nodes], float)
+        median = np.maximum(np.nan_to_num(y[:, A.MEDIAN]), 1)
         w = shrink_covariance(hist, 0.01 * median**2) if len(made) else np.diag(0.01 * median**2)
-        out = np.maximum(np.sort(np.stack([project(y[:, j], s, w) for j in range(y.shape[1])], 1), 1), 0)
+        out = np.maximum(np.sort(project(y, s, w), 1), 0)
         kept = {v: out[i].tolist() for i, v in enumerate(nodes)}
         cols = {g: pa.array([f[g][0].as_py()] * len(names), f.schema.field(g).type) for g in groups}
         return pa.table({**cols, "series": pa.array(names), "q": pa.array([kept.get(v, q[v]) for v in names], pa.list_(pa.float64()))})

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import col, financial_year, second_thursday
 
 KEY = ["period", "org_code", "metric"]
-#: Up to this many origins are broadcast; more are joined by their month.
-BROADCAST_ORIGINS = 5_000
 
 
 def latest(v: DataFrame, keys: list[str] = KEY, value: str = "value", version: str = "version") -> DataFrame:
@@ -41,21 +39,18 @@ def version_intervals(v: DataFrame, keys: list[str] = KEY) -> DataFrame:
 def as_of_grid(v: DataFrame, origins: DataFrame, lag: int = 1) -> DataFrame:
     """Slices of all origins at once: one row for each origin and key, of periods <= origin - lag.
 
-    Each version is matched with the origins inside its interval, so nothing is aggregated after
-    the join and versions that an origin does not see are not multiplied.
+    Each version is matched with the months inside its interval, and these with the origins (which
+    are first days of months) by equality, so nothing is aggregated after the join and versions that
+    an origin does not see are not multiplied.
     """
     o = origins.select("origin", second_thursday("origin").alias("as_of"), F.add_months("origin", -lag).alias("last_period"))
+    begin, end = origins.agg(F.min("origin"), F.max("origin")).first()
     iv = version_intervals(v)
+    last = F.least(F.trunc(F.coalesce("until", F.lit(end)), "MM"), F.lit(end))
+    first = F.greatest(F.trunc("snapshot", "MM"), F.add_months("period", lag), F.lit(begin))
+    by_month = iv.where(first <= last).withColumn("origin", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
     inside = (F.col("snapshot") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("until") > F.col("as_of"))) & (F.col("period") <= F.col("last_period"))
-    if origins.count() <= BROADCAST_ORIGINS:
-        joined = iv.join(F.broadcast(o), inside)
-    else:
-        end = origins.agg(F.max("origin")).first()[0]
-        last = F.least(F.trunc(F.coalesce("until", F.lit(end)), "MM"), F.lit(end))
-        first = F.greatest(F.trunc("snapshot", "MM"), F.add_months("period", lag))
-        by_month = iv.where(first <= last).withColumn("origin", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
-        joined = by_month.join(o, "origin").where(inside)
-    return joined.select("origin", *KEY, "value")
+    return by_month.join(o, "origin").where(inside).select("origin", *KEY, "value")
 
 
 def targets(slices: DataFrame, parts: dict[str, tuple[str, ...]], keys: list[str]) -> DataFrame:
@@ -186,10 +181,12 @@ def number_versions(v: DataFrame, keys: list[str], published: str = "published",
 def drop_reuploads(v: DataFrame, keys: list[str], group: list[str], values: list[str], published: str = "published") -> DataFrame:
     """Leave out a version whose whole content equals that of the version before it.
 
-    keys name a version's subject (a quarter), group the rows within it (an org). Content is an
-    order-free hash, so equality with the last kept version is equality with the one before.
+    keys name a version's subject (a quarter), group the rows within it (an org). Content is two
+    sums of hashes and a count, which add up partially and know no order, so equality with the last
+    kept version is equality with the one before.
     """
-    content = v.groupBy(*keys, published).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.xxhash64(*group, *values).cast("string"))), ","), 256).alias("content"))
+    sums = [F.sum(F.xxhash64(F.lit(s), *group, *values).cast("decimal(38,0)")) for s in (1, 2)]
+    content = v.groupBy(*keys, published).agg(F.struct(*sums, F.count("*")).alias("content"))
     kept = content.withColumn("before", F.lag("content").over(Window.partitionBy(*keys).orderBy(published))).where("before is null or before <> content")
     return v.join(kept.select(*keys, published), [*keys, published], "left_semi")
 

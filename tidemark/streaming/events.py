@@ -6,6 +6,7 @@ Each takes a streaming DataFrame and returns one; run_once() drains what is ther
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,7 +45,10 @@ def new_versions(rows: DataFrame, keys: list[str], day: str = "ts", late: str =
 
 
 def adaptive_levels(scores: DataFrame, key: str, alpha: float = 0.1) -> DataFrame:
-    """Online form of the adaptive level: scores (key, seq, s) update it in order of arrival."""
+    """Online form of the adaptive level: scores (key, seq, s) update it in order of arrival.
+
+    As in the batch form a score is ranked among all before it, so the state holds these, sorted.
+    """
     ship(scores.sparkSession)
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,8 +59,8 @@ def adaptive_levels(scores: DataFrame, key: str, alpha: float = 0.1) -> DataFram
         rows = pd.concat(list(batches)).sort_values("seq")
         for s in rows["s"]:
             if pool:
-                expert.update(1 - sum(p <= s for p in pool) / len(pool))
-            pool = [*pool, float(s)][-500:]  # the pool of scores is a moving window
+                expert.update(1 - bisect_right(pool, s) / len(pool))
+            insort(pool, float(s))
         state.update((list(map(float, expert.alpha)), list(map(float, expert.w)), list(map(float, expert.past)), pool))
         yield pd.DataFrame({key: [k[0]], "seen": [len(rows)], "level": [expert.level()]})
 
