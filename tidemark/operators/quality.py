@@ -88,6 +88,15 @@ def row_hash(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*(by or []), F.sha2(F.concat_ws(":", *(F.col(f"h{s}").cast("string") for s in (1, 2)), F.col("rows").cast("string")), 256).alias("hash"), "rows")
 
 
+def portable_hash(df: DataFrame, by: list[str]) -> DataFrame:
+    """Order-free hash of each slice that other engines can repeat: the first 60 bits of the MD5 of
+    each row's values as text (doubles to four decimals, nulls left out), summed."""
+    kinds = dict(df.dtypes)
+    shown = [F.col(c).cast("decimal(28,4)" if kinds[c] == "double" else "string").cast("string") for c in df.columns if c not in by]
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *shown)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.groupBy(*by).agg(F.sum(part).cast("string").alias("hash"), F.count("*").alias("rows"))
+
+
 def follow(spark: SparkSession, edges: DataFrame, limit: int = 20) -> DataFrame:
     """(code, final): the end of each chain of successions with a single successor a step.
 

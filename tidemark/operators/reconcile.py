@@ -84,7 +84,8 @@ def reconcile(forecasts: DataFrame, errors: DataFrame, parents: dict[str, tuple[
         cols = {g: pa.array([f[g][0].as_py()] * len(names), f.schema.field(g).type) for g in groups}
         return pa.table({**cols, "series": pa.array(names), "q": pa.array([kept.get(v, q[v]) for v in names], pa.list_(pa.float64()))})
 
-    return forecasts.select(*groups, "series", "q").groupBy(*groups).cogroup(errors.select(*groups, "series", "made", "e").groupBy(*groups)).applyInArrow(run, schema)
+    history = errors.select(*(F.col(c).alias(c) for c in (*groups, "series", "made", "e")))  # columns of its own, where both sides come from one table
+    return forecasts.select(*groups, "series", "q").groupBy(*groups).cogroup(history.groupBy(*groups)).applyInArrow(run, schema)
 
 
 def coherence_gaps(forecasts: DataFrame, parents: DataFrame, level: str, keys: list[str]) -> DataFrame:

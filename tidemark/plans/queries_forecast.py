@@ -41,8 +41,13 @@ def truth(spark, d):
     return V.roll_up(targets_now(spark, d).where("y is not null"), T.hierarchy(spark, d), "group_code", ["target", "period"])
 
 
-def forecasts(spark, d):
-    p = panels_asof(spark, d)
+def panels_cut(spark, d, level="group_code"):
+    """panels_asof(), written once for queries that read it several times."""
+    return cut(panels_asof(spark, d, level))
+
+
+def forecasts(spark, d, p=None):
+    p = p or panels_cut(spark, d)
     return P.seasonal_naive(p, GRID).join(P.mase_scale(p, GRID), GRID, "left").withColumn("model", F.lit("naive"))
 
 
@@ -291,27 +296,28 @@ def coverage_verdicts(spark, d):
     return score.verdict_primary(t, ["target"]).join(score.verdict_late_horizons(t, ["target"]).withColumnRenamed("verdict", "late_horizons"), "target")
 
 
-def with_failures(spark, d):
+def with_failures(f, p):
     """Forecasts with some made to fail, and the last values that G1 looks at."""
-    f = forecasts(spark, d).withColumn("q", F.when((F.pmod(F.month("origin") + F.col("horizon"), F.lit(7)) == 0) & (F.col("target") == "first"), F.transform("q", lambda x: x * 0)).otherwise(F.col("q")))
-    last = P.last_observed(panels_asof(spark, d), GRID).select(*GRID, "last_y")
+    f = f.withColumn("q", F.when((F.pmod(F.month("origin") + F.col("horizon"), F.lit(7)) == 0) & (F.col("target") == "first"), F.transform("q", lambda x: x * 0)).otherwise(F.col("q")))
+    last = P.last_observed(p, GRID).select(*GRID, "last_y")
     return C.mark_failed(f, last, GRID)
 
 
 @query(f"{W}, {SQL_B0}, z AS (SELECT *, target = 'first' AND (month(origin) + horizon) % 7 = 0 AS zero FROM fc), l AS (SELECT origin, target, series, arg_max(y, period) FILTER (WHERE y IS NOT NULL) AS last_y FROM gp GROUP BY ALL) SELECT target, horizon, count(*) FILTER (WHERE (zero OR list_max(q) = 0) AND last_y > 0) AS failed, count(*) AS n FROM z LEFT JOIN l USING (origin, target, series) WHERE q IS NOT NULL GROUP BY ALL")
 def failed_forecasts(spark, d):
-    return with_failures(spark, d).where("q is not null").groupBy("target", "horizon").agg(F.count_if("failed").alias("failed"), F.count("*").alias("n"))
+    p = panels_cut(spark, d)
+    return with_failures(forecasts(spark, d, p), p).where("q is not null").groupBy("target", "horizon").agg(F.count_if("failed").alias("failed"), F.count("*").alias("n"))
 
 
-def release(spark, d):
+def release(p):
     """First values of groups, and the origin at which they were resolved."""
-    p = panels_asof(spark, d).where("y is not null")
-    first = p.groupBy("target", "series", "period").agg(F.min("origin").alias("resolved"), F.min_by("y", "origin").alias("y_first"))
-    return first
+    return p.where("y is not null").groupBy("target", "series", "period").agg(F.min("origin").alias("resolved"), F.min_by("y", "origin").alias("y_first"))
 
 
-def conformal_scores(spark, d):
-    return C.conformity(forecasts(spark, d).withColumn("failed", F.lit(False)), release(spark, d), ["target", "series", "period"])
+def conformal_scores(spark, d, p=None, f=None):
+    p = p or panels_cut(spark, d)
+    f = f or forecasts(spark, d, p)
+    return C.conformity(f.withColumn("failed", F.lit(False)), release(p), ["target", "series", "period"])
 
 
 SQL_REL = "rel AS (SELECT target, series, period, min(origin) AS resolved, arg_min(y, origin) AS y_first FROM gp WHERE y IS NOT NULL GROUP BY ALL)"
@@ -343,17 +349,30 @@ def pool_trace(spark, d):
     return kept.groupBy("origin", "target", "horizon").agg(F.array_join(F.array_sort(F.collect_set(F.date_format("made", "yyyy-MM"))), ",").alias("pooled"))
 
 
-@query(None)
+SQL_PW = f"pw AS (SELECT t, target, horizon, n, {', '.join(f'{_interp(i, a)} AS e{i}' for i, a in enumerate(C.ALPHAS, 1))} FROM pl)"
+_x = [f"ln(1 + greatest(q[{i}], 0))" for i in range(1, 10)]
+_moved = ", ".join([*(f"{_x[i - 1]} - e{i}" for i in (1, 2, 3, 4)), _x[4], *(f"{_x[9 - i]} + e{i}" for i in (4, 3, 2, 1))])
+
+
+@query(f"""{W}, {SQL_POOL}, {SQL_PW}, l AS (SELECT origin, target, series, arg_max(y, period) FILTER (WHERE y IS NOT NULL) AS last_y FROM gp GROUP BY ALL),
+ z AS (SELECT fc.* REPLACE (CASE WHEN target = 'first' AND (month(origin) + horizon) % 7 = 0 THEN list_transform(q, lambda x: x * 0) ELSE q END AS q), last_y FROM fc LEFT JOIN l USING (origin, target, series)),
+ c AS (SELECT z.origin, z.target, z.series, z.horizon, z.period, CASE WHEN coalesce(list_max(q) = 0 AND list_min(q) = 0 AND last_y > 0, false) OR e1 IS NULL THEN q ELSE list_sort(list_transform([{_moved}], lambda x: greatest(exp(x) - 1, 0))) END AS q
+       FROM z LEFT JOIN pw ON (pw.t, pw.target, pw.horizon) = (z.origin, z.target, z.horizon))
+ SELECT origin, target, series, horizon, period, round(q[2], 4) AS lo, round(q[8], 4) AS hi FROM c""")
 def calibrated_forecasts(spark, d):
     """Pooled conformal calibration applied to all forecasts."""
-    w = C.pooled_widths(conformal_scores(spark, d), T.months(spark, FIRST, LAST), ["target"]).select("origin", "target", "horizon", "e")
-    out = C.apply_widths(with_failures(spark, d), w, ["origin", "target", "horizon"])
+    p = panels_cut(spark, d)
+    f = cut(forecasts(spark, d, p))
+    w = C.pooled_widths(conformal_scores(spark, d, p, f), T.months(spark, FIRST, LAST), ["target"]).select("origin", "target", "horizon", "e")
+    out = C.apply_widths(with_failures(f, p), w, ["origin", "target", "horizon"])
     return rounded(out.select(*KEYS, A.at("q", 0.05).alias("lo"), A.at("q", 0.95).alias("hi")), 4)
 
 
-@query(None)
+@query(f"""{W}, {SQL_POOL}, {SQL_PW}, so AS (SELECT pw.t, cs.target, cs.horizon, cs.series, s2, e2, row_number() OVER (PARTITION BY pw.t, cs.target, cs.horizon, cs.series ORDER BY cs.origin DESC) AS k FROM cs JOIN pw ON (pw.target, pw.horizon) = (cs.target, cs.horizon) AND cs.resolved <= pw.t),
+ sw AS (SELECT t, target, horizon, series, count(*) AS n, any_value(e2) AS e2, list_sort(list(s2)) AS l2 FROM so WHERE k <= 36 GROUP BY ALL)
+ SELECT t AS origin, target, horizon, series, n AS n_own, round(CASE WHEN n >= 10 THEN (n * ({_interp(2, 0.1)}) + {C.KAPPA} * e2) / (n + {C.KAPPA}) ELSE e2 END, 6) AS e90 FROM sw""")
 def series_conformal_widths(spark, d):
-    s = conformal_scores(spark, d)
+    s = cut(conformal_scores(spark, d))
     w = C.series_widths(s, C.pooled_widths(s, T.months(spark, FIRST, LAST), ["target"]), ["target"])
     return rounded(w.select("origin", "target", "horizon", "series", "n_own", F.element_at("e", 2).alias("e90")))
 
@@ -363,6 +382,21 @@ def adaptive_conformal_levels(spark, d):
     return rounded(C.adaptive_levels(conformal_scores(spark, d), T.months(spark, FIRST, LAST), ["target"]))
 
 
+@query(None)
+def two_way_differences(spark, d):
+    """Coverage of the stand-in less that of the naive model, both drawn alike."""
+    s = cut(scored(spark, d))
+    wider = s.withColumn("cov90", F.col("cov90") | (F.col("pit") > 0.02) & (F.col("pit") < 0.98))
+    return rounded(stats.two_way_difference(s, wider, ["target", "horizon"], "series", "origin", "cov90"))
+
+
+@query(None)
+def joint_bootstrap(spark, d):
+    m = cut(two_models(spark, d))
+    of = lambda n: m.where(F.col("model") == n)
+    return rounded(stats.joint_bootstrap(of("naive"), of("other"), KEYS, "origin", "target"))
+
+
 @query(None)
 def paired_bootstrap(spark, d):
     m = two_models(spark, d)
@@ -383,11 +417,10 @@ def vincentised_ensemble(spark, d):
     return rounded(e.select(*KEYS, A.at("q", 0.025).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.975).alias("hi")), 4)
 
 
-def levels_of_forecasts(spark, d):
+def levels_of_forecasts(spark, d, p=None, regions=None):
     """Naive forecasts of groups and regions, independently made."""
-    out = forecasts(spark, d).select(F.lit("org").alias("level"), *KEYS, "q")
-    p = panels_asof(spark, d, "region")
-    return out.unionByName(P.seasonal_naive(p, GRID).select(F.lit("region").alias("level"), *KEYS, "q"))
+    out = forecasts(spark, d, p).select(F.lit("org").alias("level"), *KEYS, "q")
+    return out.unionByName(P.seasonal_naive(regions or panels_cut(spark, d, "region"), GRID).select(F.lit("region").alias("level"), *KEYS, "q"))
 
 
 SQL_REG = SQL_B0.replace("group_code", "region")
@@ -405,15 +438,19 @@ def coherence_gaps(spark, d):
 @query(None)
 def reconciled_forecasts(spark, d):
     """MinT over groups and regions; the result adds up at every quantile's median projection."""
-    f = cut(levels_of_forecasts(spark, d))
+    p, regions = panels_cut(spark, d), panels_cut(spark, d, "region")
+    f = cut(levels_of_forecasts(spark, d, p, regions))
     pairs = T.hierarchy(spark, d).select("group_code", "region").distinct().collect()  # dimension rows
     parents: dict[str, tuple[str, ...]] = {}
-    have = {r[0] for r in f.where("level = 'org'").select("series").distinct().collect()}
     for g, reg in pairs:
-        if g in have:
-            parents[reg] = (*parents.get(reg, ()), g)
-    rel = release(spark, d)
-    errors = forecasts(spark, d).join(rel, ["target", "series", "period"]).where(F.col("resolved") <= F.col("origin")).select("target", "horizon", "origin", "series", F.col("origin").alias("made"), (F.col("y_first") - A.at("q", 0.5)).alias("e"))
+        parents[reg] = (*parents.get(reg, ()), g)
+    known = release(p).unionByName(release(regions))
+    e = f.join(known, ["target", "series", "period"]).select("target", "horizon", "series", F.col("origin").alias("made"), "resolved", (F.col("y_first") - A.at("q", 0.5)).alias("e"))
+    # which origins' errors an origin knows is settled on their distinct values
+    seen = e.select("target", "horizon", "made", "resolved").distinct().join(T.months(spark, FIRST, LAST), F.col("resolved") <= F.col("origin"))
+    rank = F.dense_rank().over(V.Window.partitionBy("target", "horizon", "origin").orderBy(F.col("made").desc()))
+    seen = seen.withColumn("_r", rank).where(F.col("_r") <= reconcile.ERROR_ORIGINS).drop("_r")
+    errors = e.join(seen, ["target", "horizon", "made", "resolved"])
     out = reconcile.reconcile(f, errors, parents, ["target", "horizon", "origin"])
     return rounded(out.select("target", "horizon", "origin", "series", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
 
@@ -487,10 +524,21 @@ def persistence_check(spark, d):
     return rounded(D.persistence(T.beds(spark, d)))
 
 
-@query(None)
+def _draw(u: float) -> str:
+    if u < A.LEVELS[0]:
+        return f"greatest(q[1], 0) * exp(ln({u} / {A.LEVELS[0]}) * 0.1)"
+    if u > A.LEVELS[-1]:
+        return f"q[9] * exp(-ln((1 - {u}::DOUBLE) / (1 - {A.LEVELS[-1]}::DOUBLE)) * 0.1)"
+    k = min(max(sum(v <= u for v in A.LEVELS), 1), 8)
+    return f"q[{k}] + (q[{k + 1}] - q[{k}]) * {(u - A.LEVELS[k - 1]) / (A.LEVELS[k] - A.LEVELS[k - 1])!r}::DOUBLE"
+
+
+@query(f"""{W}, {SQL_B0}, o AS (SELECT origin, target, series, horizon, period, point * 1.1 AS beds, list_sort([{', '.join(_draw(i / 100) for i in range(1, 100))}]) AS w FROM fc WHERE q IS NOT NULL),
+ p AS (SELECT *, len(list_filter(w, lambda x: x > 0.92 * beds)) / 99 AS p, w[79] + (w[80] - w[79]) * 0.4::DOUBLE AS hi FROM o)
+ SELECT origin, target, series, horizon, period, round(p, 6) AS p_breach, CAST(greatest(ceil(round(hi / 0.92 - beds, 6)), 0) AS BIGINT) AS extra_beds, p > 0.1 AS call_10, p > 0.25 AS call_25, p > 0.5 AS call_50 FROM p""")
 def breach_table(spark, d):
     """Draws of each group's forecast on an even grid against a bed count of its own."""
-    f = forecasts(spark, d).where("q is not null and origin = '2000-12-01' and target = 'all'")
+    f = forecasts(spark, d).where("q is not null")
     occ = f.select(*KEYS, D.draws_on_grid(F.col("q")).alias("draws"), (F.col("point") * 1.1).alias("beds"))
     return rounded(D.breaches(occ, KEYS))
 
@@ -510,7 +558,7 @@ def _model(name):
     def run(spark, d):
         from tidemark.operators import models
 
-        p = panel_now(spark, d).where("target = 'all'")
+        p = panel_now(spark, d)
         return rounded(models.forecast(p, name, ["target"]).select("target", "series", "horizon", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
 
     return run
@@ -520,7 +568,8 @@ for _name in ("ets", "stl_arima", "boosted", "ensemble"):
     query(None, f"model_{_name}")(_model(_name))
 
 
-@query(None)
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)
+ SELECT day, event_type, n, mean FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_daily_events(spark, d):
     """The daily event counts as a stream with a watermark, drained once."""
     from tidemark.streaming import events as S
