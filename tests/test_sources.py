@@ -1,5 +1,6 @@
 import io
 import zipfile
+from html import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ IDS = {"org_code": "org_code", "org_name": "org_name"}
 
 
 def workbook(rows, name="Data"):
-    cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(r) if v != "") + "</row>" for i, r in enumerate(rows, 1))
+    cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for j, v in enumerate(r) if v != "") + "</row>" for i, r in enumerate(rows, 1))
     m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -17,7 +17,7 @@ from tidemark.plans.queries_vintage import ORIGINS as SQL_ORIGINS
 from tidemark.plans.registry import query, rounded
 from tidemark.session import cut
 
-FIRST, LAST = "2000-01-01", "2000-12-01"
+FIRST, LAST = "1998-01-01", "2000-12-01"
 BY = ["target", "series"]
 GRID = ["origin", "target", "series"]
 KEYS = [*GRID, "horizon", "period"]

@@ -9,7 +9,7 @@ from tidemark.operators import vintage as V
 from tidemark.plans import testbed as T
 from tidemark.plans.registry import query, rounded
 
-FIRST, LAST, DAY, UPTO = "2000-01-01", "2000-12-01", "2000-10-12", "2000-09-01"
+FIRST, LAST, DAY, UPTO = "1998-01-01", "2000-12-01", "2000-10-12", "2000-09-01"
 W = f"WITH {T.SQL_VINT}, {T.SQL_HIER}"
 SQL_LATEST = "SELECT period, org_code, metric, arg_max_null(value, version) AS value FROM vint {where} GROUP BY ALL"
 SQL_ASOF = SQL_LATEST.format(where=f"WHERE snapshot <= DATE '{DAY}' AND period <= DATE '{UPTO}'")

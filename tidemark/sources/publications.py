@@ -37,8 +37,9 @@ def csv_rows(content: bytes) -> list[list[str]]:
     return [r + [""] * (wide - len(r)) for r in rows]
 
 
-def workbook_rows(content: bytes, preferred: tuple[str, ...] = ()) -> tuple[str, list[list[str]]]:
-    """Cells of the first preferred sheet that there is, else of the first one."""
+def workbook_rows(content: bytes, preferred: tuple[str, ...] = (), pattern: str | None = None) -> tuple[str, list[list[str]]]:
+    """Cells of the first preferred sheet that there is, else of the first one; with a pattern, of the
+    first sheet whose name it finds, or none."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -47,7 +48,12 @@ def workbook_rows(content: bytes, preferred: tuple[str, ...] = ()) -> tuple[str,
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = {s.get("name"): links[s.get(rel)] for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", ns)}
-        name = next((p for p in preferred if p in sheets), next(iter(sheets)))
+        if pattern is not None:
+            name = next((n for n in sheets if re.search(pattern, n.strip(), re.IGNORECASE)), None)
+            if name is None:
+                return "", []
+        else:
+            name = next((p for p in preferred if p in sheets), next(iter(sheets)))
         root = ElementTree.fromstring(z.read("xl/" + sheets[name].removeprefix("/xl/")))
     rows: list[list[str]] = []
     for row in root.findall("m:sheetData/m:row", ns):
@@ -64,7 +70,7 @@ def workbook_rows(content: bytes, preferred: tuple[str, ...] = ()) -> tuple[str,
     return name, [r + [""] * (wide - len(r)) for r in rows]
 
 
-def read_cells(spark: SparkSession, path: str, preferred: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def read_cells(spark: SparkSession, path: str, preferred: tuple[str, ...] = (), pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of cells, failures) of all files under a path."""
     ship(spark)
 
@@ -74,7 +80,7 @@ def read_cells(spark: SparkSession, path: str, preferred: tuple[str, ...] = ())
                 sheet, error, rows = "", None, []
                 try:
                     if name.lower().endswith(".xlsx"):
-                        sheet, rows = workbook_rows(content, preferred)
+                        sheet, rows = workbook_rows(content, preferred, pattern)
                     elif name.lower().endswith(".csv"):
                         rows = csv_rows(content)
                     else:
@@ -121,11 +127,15 @@ def to_long(rows: DataFrame, rules: list[tuple[str, str]], ids: dict[str, str],
 
 
 def title_period(cells: DataFrame) -> DataFrame:
-    """Month of each file from a 'Period:' cell of its title block, like 'Period: March 2021'."""
+    """Month of each file from its title block: 'Period: March 2021', in one cell or two, or 'Period
+    Name: MARCH' with 'Year: 2020-21', a financial year that begins in April."""
     t = cells.where(F.col("line") < HEAD_ROWS).withColumn("title", F.concat_ws(" ", "cells"))
-    m = F.regexp_extract("title", r"(?i)period:?\s+([A-Za-z]+\s+\d{4})", 1)
-    found = t.where(m != "").withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where("_r = 1")
-    return found.select("path", F.try_to_date(F.initcap(m), "MMMM yyyy").alias("period"))
+    found = lambda pattern: F.min_by(F.when(F.regexp_extract("title", pattern, 1) != "", F.regexp_extract("title", pattern, 1)), F.when(F.regexp_extract("title", pattern, 1) != "", F.col("line")))
+    one = t.groupBy("path").agg(found(r"(?i)period:?\s+([A-Za-z]+\s+\d{4})").alias("stated"), found(r"(?i)period name:\s*([A-Za-z]+)").alias("month"), found(r"(?i)year:\s*(\d{4})").alias("year"))
+    first = F.try_to_date(F.concat_ws(" ", F.initcap("month"), "year"), "MMMM yyyy")
+    in_year = F.when(F.month(first) <= 3, F.add_months(first, 12)).otherwise(first)
+    period = F.coalesce(F.try_to_date(F.initcap("stated"), "MMMM yyyy"), F.when(F.col("month").isNotNull() & F.col("year").isNotNull(), in_year))
+    return one.select("path", period.alias("period")).where("period is not null")
 
 
 def prefer_formats(files: DataFrame, keys: list[str]) -> DataFrame:
