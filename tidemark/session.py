@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,16 +50,42 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one is set only where none is (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named a local one
+    is set, which only a local master may use (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what a query writes and reads again; see clear_scratch()."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._tidemark_scratch = [*getattr(sc, "_tidemark_scratch", []), folder]
+    return folder
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the session's scratch folders; to be called when no result that reads them is needed."""
+    sc = spark.sparkContext
+    folders, sc._tidemark_scratch = getattr(sc, "_tidemark_scratch", []), []
+    for folder in folders:
+        delete_folder(spark, folder)
+    return len(folders)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and go on from the files."""
     sc = df.sparkSession.sparkContext

@@ -5,7 +5,6 @@ Each takes a streaming DataFrame and returns one; run_once() drains what is ther
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.calibrate import Experts
-from tidemark.session import checkpoint_dir, ship
+from tidemark.session import scratch, ship
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,7 +71,7 @@ def adaptive_levels(scores: DataFrame, key: str, alpha: float = 0.1) -> DataFram
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain what is there: to Parquet where the mode allows it, batch by batch otherwise."""
     spark = stream.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
