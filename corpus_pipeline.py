@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, mixing, ngram_join, quality_rules, token_files
-from tidemark.session import checkpoint_dir
+from tidemark.session import delete_folder, scratch
 
 STAGES = [
     ("quality rules", quality_rules.filter_stage),
@@ -22,12 +20,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; between stages the rows are written to the shared folder."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to documents; between stages the rows are written to the shared folder, where
+    what a stage has read is deleted once its own rows are written."""
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
+            if i:
+                delete_folder(spark, f"{folder}/{i - 1}")
             docs = spark.read.parquet(f"{folder}/{i}")
     return docs
