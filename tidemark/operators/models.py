@@ -13,11 +13,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import LEVELS, Z
 from tidemark.session import ship
 
 HORIZONS = 6
+EVERY = tuple(range(1, HORIZONS + 1))
 SEASON = 12
 PATHS = 1000
 MIN_OBS = 30
@@ -236,13 +238,13 @@ def _tail(x: np.ndarray, level: np.ndarray, at: np.ndarray, n: int) -> tuple[np.
     return x[last], level[last]
 
 
-def boosted_quantiles(panel: np.ndarray, seed: int) -> np.ndarray | None:
+def boosted_quantiles(panel: np.ndarray, seed: int, horizons: tuple[int, ...] = EVERY) -> np.ndarray | None:
     """Pooled direct quantile models, conformalised on the last year: (series, horizon, level)."""
     s, n = panel.shape
     if n < 3 * SEASON or s * n < 200:
         return None
     out = np.full((s, HORIZONS, len(LEVELS)), np.nan)
-    for h in range(1, HORIZONS + 1):
+    for h in horizons:
         x, y, level, at = _rows(panel, h)
         use = ~np.isnan(y)
         train, held = use & (at + h < n - SEASON), use & (at + h >= n - SEASON)
@@ -263,14 +265,14 @@ def boosted_quantiles(panel: np.ndarray, seed: int) -> np.ndarray | None:
     return out
 
 
-def bootstrap_ensemble(panel: np.ndarray, seed: int, k: int = 8, block: int = 12) -> np.ndarray | None:
+def bootstrap_ensemble(panel: np.ndarray, seed: int, horizons: tuple[int, ...] = EVERY, k: int = 20, block: int = 12) -> np.ndarray | None:
     """Medians of models on blocks of months, with quantiles of out-of-bag errors of the last year."""
     s, n = panel.shape
     if n < 3 * SEASON:
         return None
-    rng = np.random.default_rng(seed)
     out = np.full((s, HORIZONS, len(LEVELS)), np.nan)
-    for h in range(1, HORIZONS + 1):
+    for h in horizons:
+        rng = np.random.default_rng([seed, h])
         x, y, level, at = _rows(panel, h)
         use = np.flatnonzero(~np.isnan(y))
         blocks = at[use] // block
@@ -300,7 +302,8 @@ POOLED: dict[str, Callable] = {"boosted": boosted_quantiles, "ensemble": bootstr
 def forecast(panel: DataFrame, model: str, by: list[str]) -> DataFrame:
     """Forecasts of a spine-joined panel: by, series, horizon, q.
 
-    Local models get one series a group; pooled ones all series of a group of `by`.
+    Local models get one series a group; pooled ones, whose horizons are models of their own, all
+    series of a group of `by` and one horizon.
     """
     ship(panel.sparkSession)
     fit = {**LOCAL, **POOLED}[model]
@@ -319,7 +322,7 @@ def forecast(panel: DataFrame, model: str, by: list[str]) -> DataFrame:
             wide[at[s], j] = np.nan if v is None else v
         seed = zlib.crc32("|".join([*(str(table[b][0].as_py()) for b in by), *names]).encode())
         if pooled:
-            got = fit(wide, seed)
+            got = fit(wide, seed, (table["h"][0].as_py(),))
         else:
             one = fit(wide[0], seed)
             got = None if one is None else one[None]
@@ -327,5 +330,7 @@ def forecast(panel: DataFrame, model: str, by: list[str]) -> DataFrame:
         cols = {b: pa.array([table[b][0].as_py()] * len(rows), table.schema.field(b).type) for b in by}
         return pa.table({**cols, "series": pa.array([r[0] for r in rows], pa.string()), "horizon": pa.array([r[1] for r in rows], pa.int32()), "q": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
-    keys = by if pooled else [*by, "series"]
-    return panel.select(*by, "series", "period", "y").groupBy(*keys).applyInArrow(run, schema)
+    read = panel.select(*by, "series", "period", "y")
+    if pooled:
+        read = read.withColumn("h", F.explode(F.array(*map(F.lit, EVERY))))
+    return read.groupBy(*by, "h" if pooled else "series").applyInArrow(run, schema)
