@@ -54,6 +54,7 @@ PART_SHARE = 0.5
 INDEX_ITEMS = 1000
 INDEX_WORDS = 200_000
 SCAN_INDEXES = 8
+PAIRS = 1000  # passages and blocks that are scored at once
 NEAR = 1e-4  # maxima are rounded to 32 bits
 
 _HITS = "array<struct<item_id: long, score: double, share: double, question_share: double, answer_share: double, first_word: long>>"
@@ -135,23 +136,29 @@ class Index:
         np.maximum.at(self.maxima, (term, self.block[entry]), impact.astype(np.float32))
         self.scored = 0  # entries scored so far
 
-    def _postings(self, terms: np.ndarray, block: int) -> np.ndarray:
-        start = self.first[terms * BLOCKS + block]
-        n = self.first[terms * BLOCKS + block + 1] - start
-        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-
-    def retrieve(self, terms: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of a block at or over THRESHOLD for these (distinct) terms, and their scores."""
-        top = self.maxima[terms, block]
-        order = np.argsort(top, kind="stable")
-        pivot = int(np.searchsorted(np.cumsum(top[order]), THRESHOLD - NEAR))
-        candidates = np.unique(self.entry[self._postings(terms[order[pivot:]], block)])
+    def retrieve(self, pair: np.ndarray, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For many passages at once, each with a block: (pair, entry, score) of the entries at or over
+        THRESHOLD. pair and term list the distinct terms of each pair; block is that of each pair."""
+        cell = term * BLOCKS + block[pair]
+        top = self.maxima.ravel()[cell]
+        order = np.lexsort((top, pair))
+        order = order[top[order] > 0]
+        pair, cell, top = pair[order], cell[order], top[order].astype(float)
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        upto = np.cumsum(top)
+        upto -= np.repeat(upto[starts] - top[starts], np.diff(np.append(starts, len(pair))))
+        n = self.first[cell + 1] - self.first[cell]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[cell], n)
+        key = np.repeat(pair, n) * len(self.own) + self.entry[at]
+        candidates = np.unique(key[np.repeat(upto >= THRESHOLD - NEAR, n)])  # entries with a term from the pivot on
         self.scored += len(candidates)
-        at = self._postings(terms, block)
-        place = np.minimum(np.searchsorted(candidates, self.entry[at]), max(len(candidates) - 1, 0))
-        known = candidates[place] == self.entry[at] if len(candidates) else np.zeros(len(at), bool)
+        if not len(candidates):
+            return candidates, candidates, np.zeros(0)
+        place = np.minimum(np.searchsorted(candidates, key), len(candidates) - 1)
+        known = candidates[place] == key
         score = np.bincount(place[known], self.impact[at[known]], len(candidates))
-        return candidates[score >= THRESHOLD], score[score >= THRESHOLD]
+        hit = score >= THRESHOLD
+        return candidates[hit] // len(self.own), candidates[hit] % len(self.own), score[hit]
 
 
 def index_groups(items: DataFrame) -> Iterator[list[Index]]:
@@ -208,18 +215,18 @@ def _search(index: Index, words: Words, codes: np.ndarray) -> Iterator[tuple[int
     bound = bound[:n] + np.where(joined[:, None], bound[1:], 0)
     passages, blocks = np.nonzero(bound >= THRESHOLD - NEAR)
     ends = np.append(starts[1:], len(step))
-    first = np.full(n + 1, len(step))
-    last = np.full(n + 1, len(step))
-    first[step[starts]], last[step[starts]] = starts, ends
-    now, own = -1, term[:0]
-    for p, block in zip(passages.tolist(), blocks.tolist(), strict=True):
-        if p != now:
-            now, own = p, term[first[p] : last[p]] if first[p] < last[p] else term[:0]
-            if joined[p] and first[p + 1] < last[p + 1]:
-                own = np.union1d(own, term[first[p + 1] : last[p + 1]])
-        d = int(step_doc[p])
-        for e, score in zip(*index.retrieve(own, block), strict=True):
-            yield d, int(e), float(score * index.own[e]), int((p - first_step[d]) * ENTRY)
+    lists = np.zeros((n + 1, 2), np.int64)  # terms of each step
+    lists[step[starts]] = np.stack([starts, ends], 1)
+    for c in range(0, len(passages), PAIRS):
+        some, block = passages[c : c + PAIRS], blocks[c : c + PAIRS]
+        # a passage's terms are those of its step and, within the document, of the next one
+        one, two = lists[some], np.where(joined[some][:, None], lists[some + 1], 0)
+        begin, size = np.concatenate([one[:, 0], two[:, 0]]), np.concatenate([one[:, 1] - one[:, 0], two[:, 1] - two[:, 0]])
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        own = np.unique(np.repeat(np.concatenate([np.arange(len(some))] * 2), size) * len(index.terms) + term[at])
+        for k, e, score in zip(*(x.tolist() for x in index.retrieve(own // len(index.terms), own % len(index.terms), block)), strict=True):
+            d = int(step_doc[some[k]])
+            yield d, e, score * float(index.own[e]), int((some[k] - first_step[d]) * ENTRY)
 
 
 def contamination(docs: DataFrame, indexes: list[Index], keep: list[str], text: str = "text") -> DataFrame:
