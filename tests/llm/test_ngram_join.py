@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import ngram_join as n
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,6 +75,7 @@ def test_a_hot_list_comes_to_no_task_whole(spark, monkeypatch):
     rows = [(i, " ".join(share + [f"u{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([2, 3, 5, 8, 40]))])) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(n, "LIST_BLOCK", 16)
+    monkeypatch.setattr(n, "TASK_LIST", 20)
     seen = []
     plain = n.prefix_postings
     monkeypatch.setattr(n, "prefix_postings", lambda *a: seen.append(plain(*a)) or seen[-1])
@@ -83,7 +84,7 @@ def test_a_hot_list_comes_to_no_task_whole(spark, monkeypatch):
     sent = Counter()
     for r in seen[0].collect():
         sent.update(n.unpack(r.grams, np.uint64, True).tolist())
-    assert max(sent.values()) <= 3 * n.SMALL_BUCKET  # three tasks
+    assert max(sent.values()) <= 3 * n.TASK_LIST  # three tasks
 
 
 def test_empty_and_clashing_columns(spark):
@@ -92,6 +93,15 @@ def test_empty_and_clashing_columns(spark):
     assert {r.component_id for r in n.link_groups(df).collect()} == {1}
 
 
+def test_components_after_further_edges(spark):
+    df = lambda e: spark.createDataFrame(e, "u long, v long")
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]
+    more = [(3, 11), (21, 40), (50, 51), (41, 40), (31, 30)]
+    got = {r.node: r.component for r in joined(components(df(first)), df(more)).collect()}
+    assert got == {r.node: r.component for r in components(df(first + more)).collect()}
+    assert {r.node: r.component for r in joined(components(df(first)), df(more).limit(0)).collect()} == {r.node: r.component for r in components(df(first)).collect()}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

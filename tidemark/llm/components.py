@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of each node on its least neighbour: the larger ones, or the others."""
     both = edges.union(edges.select("v", "u")).where("v > u") if large else edges
     source = edges.union(edges.select("v", "u")) if large else edges
-    least = cut(source.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = source.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     hung = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         hung = hung.union(least.select("u", F.col("m").alias("v")))
@@ -45,3 +45,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """groups (node, component) after further edges (u, v): only components that an edge joins are gone
+    through again, and nodes of edges that are in no group yet are groups of their own."""
+    at = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    met = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    ends = cut(met.select("u", "v", F.coalesce("u_", "u").alias("cu"), F.coalesce("v_", "v").alias("cv")))
+    moved = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).toDF("component", "to")
+    fresh = ends.select(F.col("u").alias("node"), F.col("cu").alias("component")).union(ends.select("v", "cv")).where("node = component").distinct()
+    every = groups.union(fresh.join(groups, "node", "left_anti"))
+    return cut(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))

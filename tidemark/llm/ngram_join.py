@@ -8,8 +8,8 @@ Documents with one set of n-grams form a class; links are sought between classes
 2. Prefix filter: two linked sets share an n-gram among the first n - ceil(t n) + 1 of each.
 3. Length and positional filters drop pairs that cannot reach the overlap. Postings of an n-gram
    with up to SMALL_BUCKET classes give all pairs that pass. Longer ones give the pairs with one
-   leader each; a task that sees that a list is long pairs what it has with a leader of its own and
-   sends on the leader only, so no task gets a list whole. After these pairs are verified and joined
+   leader each; a task that has over TASK_LIST members of a list pairs them with a leader of its own
+   and sends on the leader only, so no task gets a list whole. After these pairs are verified and joined
    to components, long lists give the pairs whose members are in different components still, so no
    link between components is lost. Only classes of near sizes meet for these (a list is cut into
    bands of sizes, and these into blocks), and pairs pass a suffix filter first: fixed pivots cut the
@@ -25,7 +25,6 @@ class. Extra columns are not read. A class is named by 64 bits of hash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from math import log
 
@@ -34,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 from tidemark.llm.joins import hash_filter, passes
 from tidemark.llm.packed import group_starts, grouped, hash_part, n_parts, pack, rows_of, split_by, spread, text_bytes, unpack
 from tidemark.llm.suffix_dedup import _arrow
 from tidemark.llm.textkit import LOWER, Words, map_batches, mix, pieces, range_hash, windows
-from tidemark.session import checkpoint_dir, cut
+from tidemark.session import cut, scratch
 
 GRAM = 4
 PERCENT = 85
@@ -48,7 +47,8 @@ STAGE_PERCENT = 80
 CELL_BITS = 20
 SLICES = 32
 SMALL_BUCKET = 12
-TASK_POSTINGS = 1_000_000
+TASK_LIST = 100
+TASK_POSTINGS = 500_000
 MAX_RANK = 255
 FILTER_BITS = 23
 PIVOTS = 16
@@ -167,7 +167,7 @@ def prefix_postings(docs: DataFrame, ranks, shape: Shape, parts: int, text: str)
         order = np.lexsort((name, gram))
         order = order[group_starts(gram[order], name[order])]
         gram, name, size, place = gram[order], name[order].view(np.int64), size[order].astype(np.int32), place[order].astype(np.int32)
-        pairs, long, lead = _long_lists(gram, name, size, place, shape)
+        pairs, long, lead = _long_lists(gram, name, size, place, shape, TASK_LIST)
         sent, own = np.flatnonzero(~long | lead), np.flatnonzero(long & ~lead)
         schema = _arrow(_POSTINGS)
         out: dict[str, list] = {f.name: [] for f in schema}
@@ -220,13 +220,13 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
 
 
-def _long_lists(gram, name, size, place, shape: Shape, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted postings: pairs of leaders of long lists with their other members, as far as these
-    are possible; which postings are in long lists; which are leaders. known marks lists that are
-    long elsewhere."""
+def _long_lists(gram, name, size, place, shape: Shape, least: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted postings: pairs of leaders of long lists (over `least` members) with their other
+    members, as far as these are possible; which postings are in long lists; which are leaders. known
+    marks lists that are long elsewhere."""
     starts = group_starts(gram)
     sizes = np.diff(np.append(starts, len(gram)))
-    far = sizes > SMALL_BUCKET
+    far = sizes > least
     if known is not None:
         far |= np.maximum.reduceat(known, starts) if len(starts) else far
     long, lead = np.repeat(far, sizes), np.zeros(len(gram), bool)
@@ -248,7 +248,7 @@ def first_pairs(postings: DataFrame, shape: Shape) -> DataFrame:
         order = np.lexsort((~led, name, gram))  # of a class from several tasks the leading one
         order = order[group_starts(gram[order], name[order])]
         gram, name, size, place, led = gram[order], name[order], size[order], place[order], led[order]
-        pairs, long, _ = _long_lists(gram, name, size, place, shape, led)
+        pairs, long, _ = _long_lists(gram, name, size, place, shape, SMALL_BUCKET, led)
         starts = group_starts(gram)
         sizes = np.diff(np.append(starts, len(gram)))
         small = (sizes > 1) & ~long[starts] if len(starts) else np.zeros(0, bool)
@@ -283,7 +283,7 @@ def bounded(pairs: DataFrame, reps: DataFrame, shape: Shape) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     side = lambda c: reps.select(F.col("class").alias(c), F.col("profile").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
-    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb"), run, "a long, b long")
+    return map_batches(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "pa", "pb", "na", "nb"), run, "a long, b long")
 
 
 def _earlier_lists(of: np.ndarray, bounds: np.ndarray, s: int, e: int, gram: int) -> np.ndarray:
@@ -336,7 +336,7 @@ def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
     lists = cut(lists.where("c0 <> c1 AND any_top").select("gram", "at", "blocks"))
     mixed = cut(placed.join(lists, ["gram", "at"]))
     by_class = mixed.select("class", "gram").distinct().groupBy("class").agg(F.sort_array(F.collect_list("gram")).alias("lists"))
-    rows = mixed.join(by_class, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = mixed.join(by_class.hint("merge"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     rows = rows.select("gram", "at", "lo", "hi", "block", "band", "class", "size", "place", "component", "profile", "lists", F.pmod(F.xxhash64("gram", "at", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
     return grouped(rows, run, "a long, b long").distinct()
@@ -388,8 +388,8 @@ def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    with_b = pairs.join(sets.withColumnsRenamed({"class": "b", "grams": "gb"}), "b")
-    both = with_b.join(sets.withColumnsRenamed({"class": "a", "grams": "ga"}), "a").select("a", "b", "ga", "gb")
+    with_b = pairs.join(sets.withColumnsRenamed({"class": "b", "grams": "gb"}).hint("merge"), "b")
+    both = with_b.join(sets.withColumnsRenamed({"class": "a", "grams": "ga"}).hint("merge"), "a").select("a", "b", "ga", "gb")
     return map_batches(both, run, "a long, b long")
 
 
@@ -407,6 +407,7 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
     reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep"), F.first("profile").alias("profile"), F.first("n_shingles").alias("n_shingles")))
     found = cut(first_pairs(prefix_postings(docs, ranks, shape, parts, text), shape))
 
+    # joins are merged on purpose: sides grow with the corpus, and the driver is to hold none of them
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps.select("class", "rep"), "class")
@@ -415,12 +416,11 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
     edges = links(bounded(cut(found.where("kind = 0").select("a", "b").distinct()), reps, shape))
     groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("class"), "size", "place").dropDuplicates(["gram", "class"])
-    long = long.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    long = cut(long.join(reps.select("class", "profile"), "class"))
+    long = long.join(groups.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    long = cut(long.join(reps.select("class", "profile").hint("merge"), "class"))
     more = cut(second_pairs(long, shape, parts))
     if not more.isEmpty():
-        edges = edges.union(links(more))
-        groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        groups = joined(groups, links(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = reps.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_class = cut(cut(labelled.select("class", "component")).join(cut(least), "component").select("class", "component_id"))
@@ -435,7 +435,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     are written with a number once, so that each is decided on its own whatever its id.
     """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    folder = f"{checkpoint_dir(spark)}/near-{uuid.uuid4().hex}"
+    folder = scratch(spark, "near")
     docs.select(*cols, F.monotonically_increasing_id().alias("row")).write.parquet(folder)
     rows = spark.read.parquet(folder)
     linked = cut(link_groups(rows.select(F.col("row").alias("doc_id"), "text"), STAGE_GRAM, STAGE_PERCENT).select(F.col("doc_id").alias("row"), "component_id"))
