@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.textkit import BYTE_CODES, Piece, map_batches, pieces, range_hash
-from tidemark.session import checkpoint_dir
+from tidemark.session import scratch
 
 END_ID = 2
 BLOCK = 1 << 16
@@ -262,6 +261,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte
                     number, start, held, docs_, ids, lengths = number + 1, start + held, 0, [], [], []
         if held:
             yield chunk(part, number, start, docs_, ids, lengths)
+        encoder.forget()  # a worker lives on after its task
 
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -298,7 +298,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def tokens_of(docs: DataFrame, tokenizer: str | None = None, mode: str = "byte", special: bool = False) -> DataFrame:
     spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     write_tokens(docs, folder, tokenizer or tokenizer_path(), mode, special=special)
     return read_tokens(spark, folder)
 
