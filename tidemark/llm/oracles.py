@@ -66,4 +66,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j JOIN x ON j.source IS NOT DISTINCT FROM x.source
 """
 
-ORACLE_SQL = {"op1_preferences": OP1, "op2_suffix_dedup": OP2, "op3_ngram_join": OP3, "op6_window_dedup": OP6, "op8_quality_rules": OP8}
+#: the table of the crc32 of a byte, and the crc32 of an ASCII string by it
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+
+
+def crc32(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _encoded(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_HEAD = " || ".join(map(_encoded, ("doc_id", "source", "lang", "n_chars")))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+d AS (SELECT doc_id, lang, sha256({_HEAD} || {_encoded("text")}) AS leaf, sha256({_HEAD} || {_encoded(_LOWER)}) AS lower_leaf, {crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents, t),
+l AS (SELECT doc_id, leaf, CASE WHEN hit THEN lower_leaf ELSE leaf END AS claim, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS cnt FROM d),
+n AS (SELECT tree, 0 AS lvl, idx, leaf AS h, cnt FROM l
+      UNION ALL SELECT tree, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(cnt) + 7) // 8 FROM n WHERE cnt > 1 GROUP BY tree, lvl, idx // 8),
+s AS (SELECT tree, lvl AS depth, h FROM n WHERE cnt = 1),
+o AS (SELECT 0 AS lvl, tree AS idx, h, (SELECT count(*) FROM s) AS cnt FROM s
+      UNION ALL SELECT lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (any_value(cnt) + 7) // 8 FROM o WHERE cnt > 1 GROUP BY lvl, idx // 8),
+a AS (SELECT tree, lvl, idx, h FROM n WHERE cnt > 1 UNION ALL SELECT -1, lvl, idx, h FROM o WHERE cnt > 1),
+b AS (SELECT x.tree, x.lvl, x.idx, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (WHERE y.idx < x.idx), '') AS lefts, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (WHERE y.idx > x.idx), '') AS rights
+      FROM a x JOIN a y ON x.tree = y.tree AND x.lvl = y.lvl AND x.idx // 8 = y.idx // 8 GROUP BY ALL),
+p AS (SELECT l.tree, l.idx, b.lvl AS step, lefts, rights FROM l JOIN b ON b.tree = l.tree AND b.idx = l.idx >> (3 * b.lvl)
+      UNION ALL SELECT l.tree, l.idx, s.depth + b.lvl, lefts, rights FROM l JOIN s ON s.tree = l.tree JOIN b ON b.tree = -1 AND b.idx = l.tree >> (3 * b.lvl)),
+q AS (SELECT tree, idx, count(*) AS steps, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof_sha256 FROM p GROUP BY tree, idx),
+f AS (SELECT tree, idx, 0 AS step, claim AS h FROM l UNION ALL SELECT f.tree, f.idx, f.step + 1, sha256(lefts || h || rights) FROM f JOIN p ON p.tree = f.tree AND p.idx = f.idx AND p.step = f.step)
+SELECT l.doc_id, l.leaf, s.h AS subroot, o.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = o.h AS verified
+FROM l JOIN s ON s.tree = l.tree JOIN o ON o.cnt = 1 LEFT JOIN q ON q.tree = l.tree AND q.idx = l.idx
+JOIN f ON f.tree = l.tree AND f.idx = l.idx AND f.step = coalesce(q.steps, 0)
+"""
+
+ORACLE_SQL = {"op1_preferences": OP1, "op2_suffix_dedup": OP2, "op3_ngram_join": OP3, "op6_window_dedup": OP6, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11}

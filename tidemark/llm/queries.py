@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.licenses import op7_licenses
+from tidemark.llm.merkle import op11_merkle_manifest
 from tidemark.llm.mixing import op4_mixing
 from tidemark.llm.ngram_join import op3_ngram_join
 from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
