@@ -104,4 +104,10 @@ FROM l JOIN s ON s.tree = l.tree JOIN o ON o.cnt = 1 LEFT JOIN q ON q.tree = l.t
 JOIN f ON f.tree = l.tree AND f.idx = l.idx AND f.step = coalesce(q.steps, 0)
 """
 
-ORACLE_SQL = {"op1_preferences": OP1, "op2_suffix_dedup": OP2, "op3_ngram_join": OP3, "op6_window_dedup": OP6, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11}
+OP12 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least, n >= 100 AND (page_id > least OR page_id IS NULL AND least IS NOT NULL) AS later FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN least END AS refers_to FROM f
+"""
+
+ORACLE_SQL = {"op1_preferences": OP1, "op2_suffix_dedup": OP2, "op3_ngram_join": OP3, "op6_window_dedup": OP6, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11, "op12_warc_bundles": OP12}

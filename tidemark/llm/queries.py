@@ -13,6 +13,7 @@ from tidemark.llm.preferences import op1_preferences
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
 from tidemark.llm.token_files import op10_token_files
+from tidemark.llm.warc import op12_warc_bundles
 from tidemark.llm.window_dedup import op6_window_dedup
 
 QUERIES = {
@@ -27,4 +28,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_warc_bundles": op12_warc_bundles,
 }
