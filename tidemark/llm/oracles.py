@@ -110,4 +110,34 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least, n >= 100 AND (
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN least END AS refers_to FROM f
 """
 
-ORACLE_SQL = {"op1_preferences": OP1, "op2_suffix_dedup": OP2, "op3_ngram_join": OP3, "op6_window_dedup": OP6, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11, "op12_warc_bundles": OP12}
+OP13 = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+r AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations, t),
+m AS (SELECT id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM m),
+f AS (SELECT id, turn, i, role, text, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY id ORDER BY i) || left(role, 1) AS pair,
+        CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'b' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'd'
+             WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS fault FROM n),
+h AS (SELECT id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+        count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY id),
+v(q, m, p) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+w(p, c, e, q, cost) AS (VALUES (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0),
+        (0, '*', 'R', 2, 3), (1, '*', 'R', 2, 3), (3, '*', 'R', 2, 3), (2, '*', 'R', 3, 3), (0, '*', 'D', 0, 4), (1, '*', 'D', 1, 4), (2, '*', 'D', 2, 4), (3, '*', 'D', 3, 4)),
+g AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS i, 0 AS q, '100000000' AS best FROM r
+      UNION ALL
+      SELECT g.id, g.i + 1, w.q, min(CAST(CAST(left(best, 9) AS BIGINT) + 3 * v.m + w.cost + CASE WHEN fault = 't' AND w.e <> 'D' THEN 3 ELSE 0 END AS VARCHAR) || substr(best, 10) || repeat('I', v.m) || w.e)
+      FROM g JOIN f ON f.id = g.id AND f.i = g.i + 1 JOIN v ON v.q = g.q JOIN w ON w.p = v.p AND (w.c = '*' OR w.c = f.c) AND (w.e = 'D' OR fault NOT IN ('b', 'd')) GROUP BY g.id, g.i, w.q),
+e AS (SELECT g.id, min(CAST(CAST(left(best, 9) AS BIGINT) + 3 * v.m AS VARCHAR) || substr(best, 10) || repeat('I', v.m)) AS best
+      FROM g LEFT JOIN h ON h.id = g.id JOIN v ON v.q = g.q AND v.p IN (0, 3) WHERE g.i = coalesce(h.rows, 0) GROUP BY g.id),
+a AS (SELECT id, unnest(string_split(substr(best, 10), '')) AS e, generate_subscripts(string_split(substr(best, 10), ''), 1) AS k FROM e WHERE length(best) > 9),
+b AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER (PARTITION BY id ORDER BY k) AS i, count(*) FILTER (WHERE e <> 'D') OVER (PARTITION BY id ORDER BY k) AS o FROM a),
+x AS (SELECT b.*, f.role, f.text, max(CASE WHEN o = 1 AND e = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY b.id) AS lead FROM b LEFT JOIN f ON f.id = b.id AND f.i = b.i WHERE e <> 'D'),
+y AS (SELECT id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY o) AS repaired FROM x GROUP BY id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(left(best, 9) AS BIGINT) - 100000000 AS cost, substr(best, 10) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, id FROM r) c JOIN e ON e.id = c.id LEFT JOIN h ON h.id = c.id LEFT JOIN y ON y.id = c.id
+"""
+
+ORACLE_SQL = {"op1_preferences": OP1, "op2_suffix_dedup": OP2, "op3_ngram_join": OP3, "op6_window_dedup": OP6, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11, "op12_warc_bundles": OP12, "op13_conversation_repair": OP13}

@@ -11,6 +11,7 @@ from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
 from tidemark.llm.pii import op5_pii
 from tidemark.llm.preferences import op1_preferences
 from tidemark.llm.quality_rules import op8_quality_rules
+from tidemark.llm.repair import op13_conversation_repair
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
 from tidemark.llm.token_files import op10_token_files
 from tidemark.llm.warc import op12_warc_bundles
@@ -29,4 +30,5 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_warc_bundles": op12_warc_bundles,
+    "op13_conversation_repair": op13_conversation_repair,
 }
