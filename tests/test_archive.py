@@ -32,14 +32,33 @@ def test_mapping_files_become_versions(spark, tmp_path):
     assert got == {("a.xlsx", "RA1"): ("North Trust", "Q1", "LONDON", "2026-08-20"), ("a.xlsx", "RB2"): ("South", "Q2", "LEGACY", "2026-08-20"), ("b.xlsx", "RA1"): ("North Trust", "Q9", "LONDON", "2026-11-18")}
     assert failures.count() == 0
     manifest = spark.createDataFrame([("a.xlsx", "2025-26", "2025-05", "2025-06-12"), ("b.xlsx", "2026-27", "2026-04", "2026-05-14")], "path string, financial_year string, period string, published string")
-    history = M.mapping_versions(rows, manifest)
+    history = M.mapping_versions(rows, manifest, str(tmp_path))
     assert {r.icb_code for r in M.selected_version(history).collect()} == {"Q9"}
-    assert {(r.icb_code, str(r.valid_from), r.source) for r in M.selected_version(history, "2025-26").collect()} == {("Q1", "2025-05-01", "a.xlsx"), ("Q2", "2025-05-01", "a.xlsx")}
+    assert {(r.icb_code, str(r.valid_from), r.source) for r in M.selected_version(history, "2025-26").collect()} == {("Q1", "2025-04-01", "a.xlsx"), ("Q2", "2025-04-01", "a.xlsx")}
     fill = M.selected_version(history, "2025-26").withColumn("method", F.lit("earlier version"))
     both = {r.org_code: (r.icb_code, r.method) for r in M.reference(M.selected_version(history), fill).collect()}
     assert both == {"RA1": ("Q9", "mapping"), "RB2": ("Q2", "earlier version")}
 
 
+def test_versions_of_files_whose_names_end_alike(spark):
+    rows = spark.createDataFrame([(f"file:/raw/{p}", p) for p in ("a.csv", "data.csv", "x/a.csv")], "path string, org_code string")
+    manifest = spark.createDataFrame([(p, "2021-22", m, "2022-05-14") for p, m in (("a.csv", "2022-03"), ("data.csv", "2023-03"), ("x/a.csv", "2023-04"))], "path string, financial_year string, period string, published string")
+    for folder in ("/raw", "file:///raw/", "file:/raw"):
+        got = {(r.org_code, r.source, str(r.valid_from)) for r in M.mapping_versions(rows, manifest, folder).collect()}
+        assert got == {("a.csv", "a.csv", "2022-07-01"), ("data.csv", "data.csv", "2022-07-01"), ("x/a.csv", "x/a.csv", "2023-04-01")}
+
+
+def test_header_comparisons_and_late_discharges(spark):
+    from tidemark.functions import text as X
+
+    heads = ["More than 4 hours", "> 4 hours", "< 4 hours", "Less than 4 hours", "Greater than 12", "A&E 4+ hours"]
+    got = [r.h for r in spark.createDataFrame([(h,) for h in heads], "t string").select(X.normalise_header("t").alias("h")).collect()]
+    assert got == ["over 4 hours", "over 4 hours", "under 4 hours", "under 4 hours", "over 12", "a e 4+ hours"]
+    said = ["Discharged 17:01 to 23:59", "Discharged between 17:01 and 23:59", "Discharged by 17:00", "Patients discharged"]
+    got = [r.m for r in spark.createDataFrame([(h,) for h in said], "t string").select(X.classify(K.plain(F.col("t")), K.MEASURES).alias("m")).collect()]
+    assert got == ["discharged_after_17", "discharged_after_17", "discharged_by_17", "discharged"]
+
+
 def test_a_code_with_two_parents_is_refused(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(mapping([["RA1", "N", "Q1", "One", "London", "x"], ["RA1", "N", "Q2", "Two", "London", "x"], ["RB1", "N", "Q2", "Two", "London", "x"]]))
     cells, _ = P.read_cells(spark, str(tmp_path), ("Data",))
@@ -91,9 +110,9 @@ def test_discharge_tables_become_monthly_averages(spark, tmp_path):
 
 
 def test_stated_dates_and_uploads(spark):
-    texts = ["20th August 2026", "21 May 2020", "2024-06-19 00:00:00", "18.11.2021", "1/2/21", "31.02.2021", "-", "", None, "no date", "3 Foo 2020"]
+    texts = ["20th August 2026", "21 May 2020", "2024-06-19 00:00:00", "18.11.2021", "1/2/21", "31.02.2021", "-", "", None, "no date", "3 Foo 2020", "Published: 3rd sept 2020 (revised)", "(as at 5/6/2022.)", "2021-02-30 1 May 2021"]
     got = [str(r.d) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(PB.stated_date("t").alias("d")).collect()]
-    assert got == ["2026-08-20", "2020-05-21", "2024-06-19", "2021-11-18", "2021-02-01", *["None"] * 6]
+    assert got == ["2026-08-20", "2020-05-21", "2024-06-19", "2021-11-18", "2021-02-01", *["None"] * 6, "2020-09-03", "2022-06-05", "2021-05-01"]
     urls = spark.createDataFrame([("https://x.org/wp-content/uploads/sites/2/2021/03/a.csv",), ("https://x.org/a.csv",)], "u string")
     assert [str(r.m) for r in urls.select(PB.upload_month("u").alias("m")).collect()] == ["2021-03-01", "None"]
 

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import col
 
 SUPPRESSED = ("", "-", "*")
+#: How publications write comparisons, and the word kept for them.
+COMPARISONS = ((">", " over "), ("<", " under "), ("greater than", "over"), ("more than", "over"), ("less than", "under"))
 TOTAL_NAMES = ("total", "england", "national total")
 
 
 def normalise_header(header: Column | str) -> Column:
-    """Lower case, & and punctuation to single spaces, > to 'over'."""
-    h = F.regexp_replace(F.lower(col(header)), "&", " ")
-    h = F.regexp_replace(h, ">", " over ")
-    return F.trim(F.regexp_replace(h, r"[^a-z0-9]+", " "))
+    """Lower case; comparisons, as signs or in words, to 'over' and 'under'; all else but letters,
+    digits and + to single spaces."""
+    h = F.lower(col(header))
+    for said, name in COMPARISONS:
+        h = F.replace(h, F.lit(said), F.lit(name))
+    return F.trim(F.regexp_replace(h, r"[^a-z0-9+]+", " "))
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: Column) -> Column:

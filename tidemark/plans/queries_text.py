@@ -10,12 +10,13 @@ from tidemark.plans import testbed as T
 from tidemark.plans.registry import query
 
 RULES = [(r"^promo", "promotional"), (r"brass$", "brass"), (r"\bplated\b", "plated"), (r"^(economy|small)", "cheap"), (r"over 4", "over_four_hours")]
-SQL_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '&', ' ', 'g'), '>', ' over ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-RAW = "p_type || ' & ' || p_brand || ' >' || p_size"
+SQL_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '>|greater than|more than', ' over ', 'g'), '<|less than', ' under ', 'g'), '[^a-z0-9+]+', ' ', 'g'))"
+SIGNS = [" >", " < ", " More than ", " LESS THAN ", " greater than ", " 4+ "]
+RAW = f"p_type || ' & ' || p_brand || (CASE p_partkey % 6 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIGNS))} END) || p_size"
 
 
 def raw_headers(spark, d):
-    return T.table(spark, d, "part").select("p_partkey", F.concat(F.col("p_type"), F.lit(" & "), F.col("p_brand"), F.lit(" >"), F.col("p_size").cast("string")).alias("h"))
+    return T.table(spark, d, "part").select("p_partkey", F.concat(F.col("p_type"), F.lit(" & "), F.col("p_brand"), F.element_at(F.array(*map(F.lit, SIGNS)), (F.col("p_partkey") % 6 + 1).cast("int")), F.col("p_size").cast("string")).alias("h"))
 
 
 @query(f"SELECT p_partkey, {SQL_NORM.format(c=RAW)} AS header FROM part")

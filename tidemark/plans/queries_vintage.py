@@ -186,16 +186,25 @@ def version_changes(spark, d):
 
 
 @query(f"""{W}, e AS (SELECT o.origin, CAST(p.period AS DATE) AS period FROM {ORIGINS} o, {T.sql_months('1999-01-01', '2000-11-01', 'period')} p WHERE p.period < o.origin),
- h AS (SELECT DISTINCT o.origin, v.period FROM vint v, {ORIGINS} o WHERE v.org_code <= 3 AND v.metric = 'N' AND v.snapshot <= {T.sql_thursday('o.origin')})
- SELECT origin, count(*) AS missing, string_agg(strftime(period, '%Y-%m'), ',' ORDER BY period) AS periods FROM e ANTI JOIN h USING (origin, period) GROUP BY ALL""")
+ u AS (SELECT metric, count(DISTINCT org_code) AS orgs FROM vint GROUP BY metric),
+ h AS (SELECT o.origin, v.metric, v.period, count(DISTINCT v.org_code) AS seen FROM vint v, {ORIGINS} o WHERE v.period < o.origin AND v.snapshot <= {T.sql_thursday('o.origin')} GROUP BY ALL)
+ SELECT e.origin, u.metric, count(*) * any_value(orgs) AS expected, CAST(sum(orgs - coalesce(seen, 0)) AS BIGINT) AS missing, count(*) FILTER (WHERE coalesce(seen, 0) < orgs) AS periods_short, count(*) FILTER (WHERE seen IS NULL) AS periods_empty
+ FROM e CROSS JOIN u LEFT JOIN h ON h.origin = e.origin AND h.metric = u.metric AND h.period = e.period GROUP BY ALL""")
 def archive_coverage(spark, d):
-    """Periods that no version covers at each origin (of a sparse part of the table)."""
+    """Of each metric, how many (organisation, period) the versions known at an origin do not cover,
+    and in how many periods some or all organisations are missing."""
     o, p = T.months(spark, FIRST, LAST), T.months(spark, "1999-01-01", "2000-11-01", "period")
     expected = o.crossJoin(p).where("period < origin")  # months by months
-    v = T.vintages(spark, d).where((F.col("org_code") <= 3) & (F.col("metric") == "N")).groupBy("period").agg(F.min("snapshot").alias("seen"))
-    have = v.join(F.broadcast(o.select("origin", V.second_thursday("origin").alias("day"))), F.col("seen") <= F.col("day")).select("origin", "period")
-    gone = expected.join(have, ["origin", "period"], "left_anti")
-    return gone.groupBy("origin").agg(F.count("*").alias("missing"), F.array_join(F.array_sort(F.collect_list(F.date_format("period", "yyyy-MM"))), ",").alias("periods"))
+    v = T.vintages(spark, d)
+    orgs = v.groupBy("metric").agg(F.countDistinct("org_code").alias("orgs"))
+    first = v.groupBy("metric", "org_code", "period").agg(F.min("snapshot").alias("known"))
+    counts = first.groupBy("metric", "period", "known").agg(F.count("*").alias("n"))  # months by months from here on
+    days = o.select("origin", V.second_thursday("origin").alias("day"))
+    seen = counts.join(F.broadcast(days), (F.col("known") <= F.col("day")) & (F.col("period") < F.col("origin"))).groupBy("origin", "metric", "period").agg(F.sum("n").alias("seen"))
+    grid = expected.crossJoin(orgs).join(seen, ["origin", "metric", "period"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    return grid.groupBy("origin", "metric").agg(
+        F.sum("orgs").alias("expected"), F.sum(F.col("orgs") - F.col("seen")).alias("missing"), F.count_if(F.col("seen") < F.col("orgs")).alias("periods_short"), F.count_if(F.col("seen") == 0).alias("periods_empty")
+    )
 
 
 @query(f"{W}, a AS ({SQL_ASOF}), z AS ({SQL_FINAL}), j AS (SELECT a.value AS x, z.value AS y, a.period AS pa, z.period AS pz FROM a FULL JOIN z USING (period, org_code, metric)) SELECT count(*) FILTER (WHERE pa IS NOT NULL AND pz IS NOT NULL) AS both, count(*) FILTER (WHERE pz IS NULL) AS left_only, count(*) FILTER (WHERE pa IS NULL) AS right_only, count(*) FILTER (WHERE pa IS NOT NULL AND pz IS NOT NULL AND x IS DISTINCT FROM y) AS differ, round(max(abs(x - y)), 6) AS max_diff FROM j")

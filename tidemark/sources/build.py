@@ -26,7 +26,7 @@ def parsed_files(spark: SparkSession, manifest: DataFrame, raw: str, header: str
     files = stored_files(manifest).select(F.col("path").alias("source"), F.to_date(F.concat("period", F.lit("-01"))).alias("period"), F.col("day").alias("snapshot"))
     long = P.to_long(P.with_header(cells, header), rules, ids)
     stated = P.title_period(cells).withColumnRenamed("period", "stated")
-    rows = long.join(stated, "path", "left").join(F.broadcast(files) if files.count() <= 100_000 else files, F.col("path").endswith(F.col("source")))
+    rows = long.join(stated, "path", "left").withColumn("source", P.relative(F.col("path"), raw)).join(files, "source")
     wrong = F.col("stated").isNotNull() & (F.col("stated") != F.col("period"))
     bad = rows.where(wrong).select("path", "sha256", F.concat(F.lit("states "), F.date_format("stated", "yyyy-MM")).alias("error")).distinct()
     return rows.where(~wrong).drop("stated", "path"), failures.unionByName(bad)

@@ -10,12 +10,23 @@ from tidemark.functions.text import classify, to_number
 
 HEAD_ROWS = 40
 CODE = r"^[A-Z0-9]{3,5}$"
-#: Ordered rules of substrings that name the measures of a discharge table.
-MEASURES = [(("remaining in hospital",), "remaining"), (("no longer meet",), "nctr"), (("discharged by 17",), "discharged_by_17"), (("discharged between 17",), "discharged_after_17"), (("discharged",), "discharged")]
+#: Phrases of the public discharge files' headers, as `plain` writes them, and the measures
+#: they stand for. A header on who remains also says "no longer meet", and one with a span of hours
+#: also says "discharged", so the first phrase found decides.
+MEASURES = [
+    (("remaining in hospital",), "remaining"),
+    (("no longer meet",), "nctr"),
+    (("discharged by 17",), "discharged_by_17"),
+    (("discharged between 17",), "discharged_after_17"),
+    (("17 01",), "discharged_after_17"),
+    (("discharged",), "discharged"),
+]
 
 
 def plain(cell: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(cell, F.lit("")), "&", " ")), r"[^a-z0-9%]+", " "))
+    """The words of a cell in lower case with one space between: runs of letters, digits and %."""
+    words = F.split(F.lower(F.coalesce(cell, F.lit(""))), "[^a-z0-9%]+")
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 def filled_right(row: str) -> Column:
@@ -113,7 +124,7 @@ def discharge_averages(days: DataFrame) -> DataFrame:
     days_in_period. Early and late discharges add up where there is no whole; zeros of England are
     lost days."""
     of = lambda m: F.max(F.when(F.col("measure") == m, F.col("value")))
-    wide = days.groupBy("path", "org_code", "is_total", "day").agg(*(of(m).alias(m) for _, m in MEASURES))
+    wide = days.groupBy("path", "org_code", "is_total", "day").agg(*(of(m).alias(m) for m in dict.fromkeys(name for _, name in MEASURES)))
     early, late = F.col("discharged_by_17"), F.col("discharged_after_17")
     parts = F.when(early.isNotNull() | late.isNotNull(), F.coalesce(early, F.lit(0.0)) + F.coalesce(late, F.lit(0.0)))
     wide = wide.withColumn("discharged", F.coalesce("discharged", parts))

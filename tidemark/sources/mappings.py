@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.published import stated_date
 from tidemark.functions.text import normalise_region
+from tidemark.sources.publications import relative
 
 HEAD_ROWS = 50
 VERSION_ORDER = ("valid_from", "published", "source")
+#: Fixed value: the day on which integrated care boards came to be.
+STATUTORY_START = "2022-07-01"
 
 
 def collapsed(cell: Column | str) -> Column:
@@ -67,12 +70,18 @@ def former_parents(cells: DataFrame, columns: dict[str, str], key: str = "org_co
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("path", key).orderBy("line"))).where("_r = 1").select(key, *(c for c in columns.values() if c != key))
 
 
-def mapping_versions(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+def mapping_versions(rows: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
     """Rows of all archived versions with their provenance: source, financial_year, period, valid_from
-    (the first day of the period) and published. manifest: path, financial_year, period, published."""
-    m = manifest.select(F.col("path").alias("_path"), "financial_year", "period", "published")
-    joined = rows.join(m, rows["path"].endswith(m["_path"]))
-    return joined.withColumnsRenamed({"_path": "source"}).withColumn("valid_from", F.to_date(F.concat("period", F.lit("-01")))).drop("path", "sha256")
+    and published. manifest: path below the folder, financial_year, period (yyyy-MM), published.
+
+    A version is valid from 1 April of its period's financial year, but not before the day on which the
+    boards came to be.
+    """
+    m = manifest.select(F.col("path").alias("source"), "financial_year", "period", "published")
+    month = F.to_date(F.concat("period", F.lit("-01")))
+    april = F.make_date(F.year(F.add_months(month, -3)), F.lit(4), F.lit(1))
+    joined = rows.withColumn("source", relative(F.col("path"), folder)).join(m, "source")
+    return joined.withColumn("valid_from", F.greatest(april, F.lit(STATUTORY_START).cast("date"))).drop("path", "sha256")
 
 
 def selected_version(history: DataFrame, financial_year: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_total, map_header, to_number
@@ -95,6 +95,12 @@ def read_cells(spark: SparkSession, path: str, preferred: tuple[str, ...] = (),
     return cells.where("error is null and cells is not null").drop("error"), cells.where("error is not null").select("path", "sha256", "error")
 
 
+def relative(path: Column, folder: str) -> Column:
+    """A file's path below a folder, whichever way the two write the file system."""
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    return F.substring(F.regexp_replace(path, bare, ""), len(re.sub(bare, "", folder).rstrip("/")) + 2, 1 << 20)
+
+
 def with_header(cells: DataFrame, keys: str) -> DataFrame:
     """Rows below each file's header row, with the names of the columns.
 
