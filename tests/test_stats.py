@@ -217,3 +217,60 @@ def test_drop_order_of_scores(spark):
     assert tuple(counts.first()) == (1, 1, 1, 1)
     r = rows.first()
     assert r.series == "d" and r.mase is None
+
+
+def test_adaptive_levels_by_series_match_a_plain_loop(spark):
+    """Series go their own ways through pools that they share; late resolutions, gaps and ties included."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import calibrate as C
+
+    rng = np.random.default_rng(3)
+    month = lambda k: dt.date(2000 + k // 12, k % 12 + 1, 1)
+    rows = []
+    for o in range(40):
+        for s in range(7):
+            if rng.random() < 0.9:
+                x = np.round(np.abs(rng.normal(0.1 * s, 0.3)) + rng.normal(0, 0.1, 4), 2)
+                rows.append((month(o), month(o + int(rng.integers(1, 4))), "t", 3, f"s{s}", x.tolist()))
+    df = spark.createDataFrame(rows, "origin date, resolved date, target string, horizon int, series string, s array<double>")
+    origins = spark.createDataFrame([(month(o),) for o in range(40)], "origin date")
+    pools = C.ranked_pools(df, origins, ["target"])
+    got = {(r.origin, r.series): r for r in C.adaptive_widths(C.adaptive_levels(df, pools, origins, ["target"], bucket=2), pools, ["target"]).collect()}
+
+    names = sorted({r[4] for r in rows})
+    k, span, gamma = 8, 60, 0.001 * 2.0 ** np.arange(8)
+    issued = {}
+    for i, a in enumerate(C.ALPHAS):
+        alpha, w, past = {s: np.full(k, a) for s in names}, {s: np.ones(k) for s in names}, []
+        for t in range(40):
+            known = [r for r in rows if r[1] <= month(t)]
+            for before in sorted({r[0] for r in known if r[1] == month(t)}):
+                pool = issued.get((i, before))
+                if pool is None:
+                    continue
+                step = {}
+                past.append(step)
+                for _, _, _, _, s, x in (r for r in known if r[0] == before and r[1] == month(t)):
+                    beta = 1 - np.interp(x[i], pool, np.linspace(0, 1, len(pool)))
+                    p = w[s] / w[s].sum()
+                    loss = a * (beta - alpha[s]) - np.minimum(0, beta - alpha[s])
+                    step[s] = (p * loss**2).sum()
+                    total = sum(q.get(s, 0) for q in past[-span:])
+                    eta = np.sqrt((np.log(k * span) + 2) / total) if total > 0 else 0
+                    v = w[s] * np.exp(-eta * (loss - loss.min()))
+                    v = (1 - 1 / (2 * span)) * v + v.sum() / (2 * span) / k
+                    w[s], alpha[s] = v / v.sum(), alpha[s] + gamma * (a - (alpha[s] > beta))
+            latest = sorted({r[0] for r in known})[-C.POOL_ORIGINS :]
+            pool = sorted(r[5][i] for r in known if r[0] in latest)
+            if len(pool) < C.POOL_LEAST:
+                continue
+            issued[i, month(t)] = np.array(pool)
+            for s in names:
+                if (month(t), s) in got:
+                    level = np.clip(1 - (w[s] * alpha[s]).sum() / w[s].sum(), 0, 1)
+                    assert abs(got[month(t), s].levels[i] - level) < 1e-9
+                    assert abs(got[month(t), s].e[i] - np.quantile(pool, level)) < 1e-9
+    assert len(got) > 200

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 
 from tidemark.operators.calibrate import Experts
@@ -21,17 +22,38 @@ def test_sessions_and_dedupe(spark):
     assert n == spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct().count()
 
 
-def test_adaptive_levels_keep_state(spark, tmp_path):
-    rows = [("a", i, float((i * 37) % 11)) for i in range(40)]
+def test_adaptive_levels_keep_a_bounded_state(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [("a", i, float(x)) for i, x in enumerate(rng.normal(0, 40, 60))] + [("b", i, 0.5) for i in range(60)]
     for k in range(2):
-        pd.DataFrame(rows[k * 20 : k * 20 + 20], columns=["key", "seq", "s"]).to_parquet(tmp_path / f"{k}.parquet")
-    stream = spark.readStream.schema("key string, seq long, s double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    got = S.run_once(S.adaptive_levels(stream, "key"), "update").collect()
-    expert, pool, levels = Experts(0.1), [], []
-    for i, (_, _, s) in enumerate(rows):
-        if pool:
-            expert.update(1 - sum(p <= s for p in pool) / len(pool))
-        pool.append(s)
-        if i % 20 == 19:
-            levels.append(round(expert.level(), 9))
-    assert sorted(round(r.level, 9) for r in got) == sorted(levels)
+        pd.DataFrame([r for r in rows if r[1] // 30 == k], columns=["key", "seq", "s"]).to_parquet(tmp_path / f"{k}.parquet")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("key string, seq long, s double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+        got = S.run_once(S.adaptive_levels(stream, "key"), "update").collect()
+    finally:
+        spark.conf.unset(store)
+    for key in ("a", "b"):
+        expert, pool, want = Experts(0.1), [], []
+        for i, s in enumerate(s for k, _, s in rows if k == key):
+            if pool:
+                expert.update(np.array([1 - np.mean([p <= s for p in pool])]), np.array([0]), i + 1)
+            pool.append(s)
+            if i % 30 == 29:
+                want.append(expert.level()[0])
+        levels = [r.level for r in got if r.key == key]
+        assert len(levels) == 2 and np.allclose(sorted(levels), sorted(want), atol=0.05)
+
+
+def test_histogram_ranks():
+    rng = np.random.default_rng(1)
+    counts, edges, seen = np.zeros(S.POOL_CELLS), np.linspace(-1.0, 1.0, S.POOL_CELLS + 1), []
+    for x in rng.standard_t(3, 3000) * 100:
+        counts, edges = S._with_score(counts, edges, x)
+        seen.append(x)
+    assert counts.sum() == 3000 and len(counts) == S.POOL_CELLS
+    cell = edges[1] - edges[0]
+    for x in rng.standard_t(3, 50) * 100:
+        low, high = (np.mean(np.array(seen) <= v) for v in (x - cell, x + cell))
+        assert low - 1e-9 <= S._rank_of(counts, edges, x) <= high + 1e-9

@@ -6,8 +6,6 @@ Scores live on log1p: how far the truth lies outside a central interval.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +38,13 @@ def conformity(forecasts: DataFrame, truth: DataFrame, keys: list[str]) -> DataF
     return j.withColumn("s", s)
 
 
-def pooled_widths(scores: DataFrame, origins: DataFrame, by: list[str]) -> DataFrame:
-    """origin, by, horizon, n and e (one widening for each interval) from the pooled scores.
+def ranked_pools(scores: DataFrame, origins: DataFrame, by: list[str]) -> DataFrame:
+    """origin, by, horizon, i, n, rank and x: the pooled scores of each interval i in order.
 
     The pool of t holds the scores of the POOL_ORIGINS latest distinct origins with anything
     resolved by t. Which (origin, resolved) belong to a pool is settled on their distinct values;
-    scores join these by equality, are ranked within pool and interval, and the two ranks around
-    the wanted level are kept, so no pool is collected into one row.
+    scores join these by equality and are ranked within pool and interval, so no pool is collected
+    into one row.
     """
     cell = [*by, "horizon", "made", "resolved"]
     rows = scores.withColumnRenamed("origin", "made").select(*cell, "s")
@@ -56,12 +54,19 @@ def pooled_widths(scores: DataFrame, origins: DataFrame, by: list[str]) -> DataF
     pool = ["origin", *by, "horizon"]
     each = rows.join(pools, cell).select(*pool, F.posexplode("s").alias("i", "x"))
     among = Window.partitionBy(*pool, "i")
-    each = each.withColumns({"n": F.count("*").over(among), "rank": F.row_number().over(among.orderBy("x")) - 1})
+    return each.withColumns({"n": F.count("*").over(among), "rank": F.row_number().over(among.orderBy("x")) - 1}).where(F.col("n") >= POOL_LEAST)
+
+
+def pooled_widths(scores: DataFrame, origins: DataFrame, by: list[str]) -> DataFrame:
+    """origin, by, horizon, n and e (one widening for each interval) from the pooled scores: of each
+    pool the two ranks around the wanted level are kept."""
+    pool = ["origin", *by, "horizon"]
+    each = ranked_pools(scores, origins, by)
     level = F.least(F.lit(1.0), (1 - F.element_at(F.array(*map(F.lit, ALPHAS)), F.col("i") + 1)) * (1 + 1 / F.col("n")))
     share = 1 - F.abs(F.col("rank") - level * (F.col("n") - 1))  # of the ranks beside the level, by nearness
     each = each.withColumn("share", share).where("share > 0")
     widths = [F.sum(F.when(F.col("i") == i, F.col("x") * F.col("share"))) for i in range(len(ALPHAS))]
-    return each.groupBy(*pool).agg(F.max("n").alias("n"), F.array(*widths).alias("e")).where(F.col("n") >= POOL_LEAST)
+    return each.groupBy(*pool).agg(F.max("n").alias("n"), F.array(*widths).alias("e"))
 
 
 def series_widths(scores: DataFrame, pooled: DataFrame, by: list[str], window: int = 36) -> DataFrame:
@@ -98,58 +103,111 @@ def apply_widths(forecasts: DataFrame, widths: DataFrame, keys: list[str]) -> Da
 
 
 class Experts:
-    """Dynamically tuned adaptive level: eight step sizes, weighted by their recent losses."""
-
-    def __init__(self, a: float, horizon: int = 60, k: int = 8):
-        self.a, self.gamma, self.sigma, self.span = a, 0.001 * 2.0 ** np.arange(k), 1 / (2 * horizon), horizon
-        self.alpha, self.w, self.past = np.full(k, a), np.ones(k), []
+    """Dynamically tuned adaptive levels of some series: eight step sizes each, weighted by their recent losses.
 
-    def level(self) -> float:
-        return float(np.clip(1 - (self.w * self.alpha).sum() / self.w.sum(), 0, 1))
-
-    def update(self, beta: float) -> None:
-        gap = beta - self.alpha
-        loss = self.a * gap - np.minimum(0, gap)
-        share = self.w / self.w.sum()
-        self.past = [*self.past, float((share * loss**2).sum())][-self.span :]
-        total = sum(self.past)
-        k = len(self.alpha)
-        eta = np.sqrt((np.log(k * self.span) + 2) / total) if total > 0 else 0.0
-        w = self.w * np.exp(-eta * (loss - loss.min()))
-        w = (1 - self.sigma) * w + self.sigma / k * w.sum()
-        self.w = w / w.sum()
-        self.alpha = self.alpha + self.gamma * (self.a - (self.alpha > beta))
+    Losses are forgotten by steps of the learner, whether or not a series took part in them.
+    """
 
+    def __init__(self, a: float, series: int = 1, span: int = 60, k: int = 8):
+        self.a, self.gamma, self.sigma, self.span = a, 0.001 * 2.0 ** np.arange(k), 1 / (2 * span), span
+        self.alpha, self.w = np.full((series, k), a), np.ones((series, k))
+        self.past: list[tuple[int, np.ndarray, np.ndarray]] = []  # step, series, losses
 
-def adaptive_levels(scores: DataFrame, origins: DataFrame, by: list[str]) -> DataFrame:
-    """origin, by, horizon and the level of each interval, learned in order of resolution.
+    def level(self) -> np.ndarray:
+        return np.clip(1 - (self.w * self.alpha).sum(1) / self.w.sum(1), 0, 1)
 
-    The state is sequential, so each (by, horizon) is one group: months by series, not the corpus.
+    def update(self, beta: np.ndarray, series: np.ndarray, step: int) -> None:
+        """A step of the series numbered in `series`, each at most once, with their betas."""
+        alpha, w = self.alpha[series], self.w[series]
+        gap = beta[:, None] - alpha
+        loss = self.a * gap - np.minimum(0, gap)
+        self.past = [p for p in self.past if p[0] > step - self.span]
+        self.past.append((step, series, (w / w.sum(1, keepdims=True) * loss**2).sum(1)))
+        total = np.zeros(len(self.alpha))
+        for _, who, x in self.past:
+            total[who] += x
+        total, k = total[series], alpha.shape[1]
+        eta = np.where(total > 0, np.sqrt((np.log(k * self.span) + 2) / np.where(total > 0, total, 1)), 0.0)
+        w = w * np.exp(-eta[:, None] * (loss - loss.min(1, keepdims=True)))
+        w = (1 - self.sigma) * w + self.sigma / k * w.sum(1, keepdims=True)
+        self.w[series] = w / w.sum(1, keepdims=True)
+        self.alpha[series] = alpha + self.gamma * (self.a - (alpha > beta[:, None]))
+
+
+def betas(scores: DataFrame, pools: DataFrame, by: list[str]) -> DataFrame:
+    """origin, resolved, by, horizon, series, i and beta: one less the level at which the pool that the
+    forecast was issued with reaches its score, between ranks by interpolation.
+
+    Scores and pools stand in one order, in which each score sees the last pooled score up to it, how
+    many there are, and the next one.
+    """
+    pool = ["origin", *by, "horizon", "i"]
+    asked = scores.select("origin", "resolved", *by, "horizon", "series", F.posexplode("s").alias("i", "x"))
+    known = pools.select(*pool, "x", F.lit(True).alias("pooled"), "n")
+    both = known.unionByName(asked.withColumn("pooled", F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy(*pool).orderBy("x", F.col("pooled").desc())
+    mine = F.when(F.col("pooled"), F.col("x"))
+    back, on = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    seen = both.withColumns({"below": F.count(mine).over(back), "low": F.last(mine, ignorenulls=True).over(back), "high": F.first(mine, ignorenulls=True).over(on), "size": F.max("n").over(Window.partitionBy(*pool))})
+    part = F.coalesce((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")), F.lit(0.0))
+    level = F.when(F.col("below") == 0, 0.0).when(F.col("below") == F.col("size"), 1.0).otherwise((F.col("below") - 1 + part) / (F.col("size") - 1))
+    return seen.where("not pooled and size is not null").select("origin", "resolved", *by, "horizon", "series", "i", (1 - level).alias("beta"))
+
+
+def adaptive_levels(scores: DataFrame, pools: DataFrame, origins: DataFrame, by: list[str], bucket: int = 500) -> DataFrame:
+    """origin, by, horizon, series and its level for each interval at each issuing origin.
+
+    State is kept by series. A learner (by, horizon, interval) takes a step for each origin whose
+    forecasts are resolved at an issuing origin, oldest first; steps are numbered over all series, and
+    then buckets of about `bucket` series go through them on their own.
     """
     ship(scores.sparkSession)
     issued = [r[0] for r in origins.select("origin").distinct().orderBy("origin").collect()]  # months
-    schema = ", ".join([*(f"{b} string" for b in by), "horizon int, origin date, levels array<double>"])
+    known = betas(scores, pools, by).where(F.col("resolved").isin(issued))
+    rows = known.groupBy(*by, "horizon", "series", "origin", "resolved").agg(F.sort_array(F.collect_list(F.struct("i", "beta"))).alias("b"))  # one score's intervals
+    step = F.row_number().over(Window.partitionBy(*by, "horizon").orderBy("resolved", "origin"))
+    steps = rows.select(*by, "horizon", "origin", "resolved").distinct().withColumn("step", step)  # months by months
+    n = max(1, (scores.select("series").distinct().count() + bucket - 1) // bucket)
+    dealt = rows.join(F.broadcast(steps), [*by, "horizon", "origin", "resolved"]).withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(n)))
+    schema = ", ".join([*(f"{b} string" for b in by), "horizon int, series string, origin date, levels array<double>"])
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["resolved"].to_pylist(), table["origin"].to_pylist(), table["s"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2]))
-        experts = [Experts(a) for a in ALPHAS]
-        pools: list[list[float]] = [[] for _ in ALPHAS]  # sorted
-        out, i = [], 0
+        names, who = np.unique(np.array(table["series"].to_pylist(), object), return_inverse=True)
+        step = table["step"].to_numpy()
+        when = np.array(table["resolved"].to_pylist(), object)
+        beta = np.array([[x["beta"] for x in b] for b in table["b"].to_pylist()])
+        experts = [Experts(a, len(names)) for a in ALPHAS]
+        order = np.argsort(step, kind="stable")
+        cuts = np.flatnonzero(np.diff(step[order])) + 1
+        turns, at, out = [g for g in np.split(order, cuts) if len(g)], 0, []
         for t in issued:
-            while i < len(rows) and rows[i][0] <= t:
-                for e, pool, s in zip(experts, pools, rows[i][2], strict=True):
-                    if pool:
-                        e.update(1 - bisect_right(pool, s) / len(pool))
-                    insort(pool, s)
-                i += 1
-            out.append([e.level() for e in experts])
-        n = len(issued)
-        cols = {**{b: [str(table[b][0].as_py())] * n for b in by}, "horizon": [table["horizon"][0].as_py()] * n, "origin": issued, "levels": out}
-        types = {**{b: pa.string() for b in by}, "horizon": pa.int32(), "origin": pa.date32(), "levels": pa.list_(pa.float64())}
-        return pa.table({k: pa.array(v, types[k]) for k, v in cols.items()})
-
-    read = scores.select(*by, F.col("horizon").cast("int").alias("horizon"), "origin", "resolved", "s")
-    return read.groupBy(*by, "horizon").applyInArrow(run, schema)
+            while at < len(turns) and when[turns[at][0]] <= t:
+                rows_ = turns[at]
+                for i, e in enumerate(experts):
+                    e.update(beta[rows_, i], who[rows_], int(step[rows_[0]]))
+                at += 1
+            out.append(np.stack([e.level() for e in experts], 1))
+        k, m = len(names), len(issued)
+        cols = {**{b: [str(table[b][0].as_py())] * (k * m) for b in by}, "horizon": [table["horizon"][0].as_py()] * (k * m), "series": list(names) * m, "origin": [t for t in issued for _ in range(k)], "levels": np.concatenate(out).tolist()}
+        types = {**{b: pa.string() for b in by}, "horizon": pa.int32(), "series": pa.string(), "origin": pa.date32(), "levels": pa.list_(pa.float64())}
+        return pa.table({c: pa.array(v, types[c]) for c, v in cols.items()})
+
+    read = dealt.select(*by, F.col("horizon").cast("int").alias("horizon"), F.col("series").cast("string").alias("series"), "bucket", "resolved", "step", "b")
+    return read.groupBy(*by, "horizon", "bucket").applyInArrow(run, schema)
+
+
+def adaptive_widths(levels: DataFrame, pools: DataFrame, by: list[str]) -> DataFrame:
+    """levels with e: the widening of each interval, between the two pooled scores around the level.
+    Origins without a pool give no row."""
+    key = ["origin", *by, "horizon", "i"]
+    each = levels.select("origin", *by, "horizon", "series", "levels", F.posexplode("levels").alias("i", "level"))
+    sizes = pools.groupBy(*key).agg(F.max("n").alias("n"))
+    place = F.col("level") * (F.col("n") - 1)
+    near = each.join(sizes, key).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))).withColumn("share", 1 - F.abs(F.col("rank") - place))
+    met = near.join(pools.select(*key, "rank", "x"), [*key, "rank"])
+    own = ["origin", *by, "horizon", "series"]
+    widths = [F.sum(F.when(F.col("i") == i, F.col("x") * F.col("share"))) for i in range(len(ALPHAS))]
+    return met.groupBy(*own, "levels").agg(F.array(*widths).alias("e"))
 
 
 def ensemble(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

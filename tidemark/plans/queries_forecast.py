@@ -93,7 +93,7 @@ def recent_mean(spark, d):
     return rounded(P.recent_mean(panel_now(spark, d), BY))
 
 
-SQL_ORG = f"{SQL_Y}, so AS (SELECT target, series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM (SELECT target, CAST(org_code AS VARCHAR) AS series, min(period) AS lo, max(period) AS hi FROM y0 GROUP BY ALL)), panel AS (SELECT so.*, y FROM so LEFT JOIN (SELECT *, CAST(org_code AS VARCHAR) AS series FROM y0) USING (target, series, period))"
+SQL_ORG = f"{SQL_Y}, so AS (SELECT target, series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM (SELECT target, CAST(org_code AS VARCHAR) AS series, min(period) AS lo, max(period) AS hi FROM y0 GROUP BY ALL)), panel AS MATERIALIZED (SELECT so.*, y FROM so LEFT JOIN (SELECT *, CAST(org_code AS VARCHAR) AS series FROM y0) USING (target, series, period))"
 
 
 def org_panel(spark, d):
@@ -137,16 +137,16 @@ SQL_GP = f"""g AS (SELECT origin, period, org_code, metric, arg_max_null(value,
  gt AS (SELECT * FROM ({SQL_TARGETS.format(keys='origin, period, org_code', src='g')}) WHERE y IS NOT NULL),
  gy AS (SELECT origin, target, coalesce(group_code, 'UNMAPPED') AS series, period, sum(y) AS y FROM gt LEFT JOIN hier USING (org_code) GROUP BY ALL),
  gs AS (SELECT origin, target, series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM (SELECT origin, target, series, min(period) AS lo, max(period) AS hi FROM gy GROUP BY ALL)),
- gp AS (SELECT gs.*, y FROM gs LEFT JOIN gy USING (origin, target, series, period))"""
+ gp AS MATERIALIZED (SELECT gs.*, y FROM gs LEFT JOIN gy USING (origin, target, series, period))"""
 SQL_B0 = f"""{SQL_GP}, b1 AS (SELECT *, lag(y, 12) OVER ({GSER}) AS past, row_number() OVER ({GSER}) AS k, max(period) OVER (PARTITION BY origin, target, series) AS pend FROM gp),
  b2 AS (SELECT *, CASE WHEN past IS NOT NULL THEN y END AS n, CASE WHEN y IS NOT NULL THEN past END AS o FROM b1),
- b3 AS (SELECT *, CASE WHEN k >= 24 AND count(n) OVER w >= 6 AND sum(o) OVER w > 0 THEN sum(n) OVER w / sum(o) OVER w ELSE 1 END AS gr FROM b2 WINDOW w AS ({GSER} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+ b3 AS MATERIALIZED (SELECT *, CASE WHEN k >= 24 AND count(n) OVER w >= 6 AND sum(o) OVER w > 0 THEN sum(n) OVER w / sum(o) OVER w ELSE 1 END AS gr FROM b2 WINDOW w AS ({GSER} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
  b4 AS ({' UNION ALL '.join(f"SELECT origin, target, series, {h} AS horizon, period AS made_at, pend, CAST(period + INTERVAL {h} MONTH AS DATE) AS period, lag(y, {12 - h}) OVER ({GSER}) * gr AS point FROM b3" for h in range(1, 7))}),
- be AS (SELECT b4.origin, b4.target, b4.series, horizon, ln(gp.y / point) AS e FROM b4 JOIN gp USING (origin, target, series, period) WHERE gp.y > 0 AND point > 0 AND b4.period > CAST(pend - INTERVAL 36 MONTH AS DATE) AND b4.period <= pend),
+ be AS MATERIALIZED (SELECT b4.origin, b4.target, b4.series, horizon, ln(gp.y / point) AS e FROM b4 JOIN gp USING (origin, target, series, period) WHERE gp.y > 0 AND point > 0 AND b4.period > CAST(pend - INTERVAL 36 MONTH AS DATE) AND b4.period <= pend),
  bo AS (SELECT origin, target, series, horizon, count(*) AS n, quantile_cont(e, {LV}) AS own FROM be GROUP BY ALL),
  bp AS (SELECT origin, target, horizon, quantile_cont(e, {LV}) AS pooled FROM be GROUP BY ALL),
  sc AS (SELECT origin, target, series, CASE WHEN count(e) >= 2 THEN avg(e) END AS scale FROM (SELECT origin, target, series, abs(y - lag(y, 12) OVER ({GSER})) AS e FROM gp) GROUP BY ALL),
- fc AS (SELECT b4.origin, b4.target, b4.series, b4.horizon, b4.period, point, scale, list_transform(CASE WHEN n >= 12 THEN own ELSE pooled END, lambda x: greatest(point * exp(x), 0)) AS q
+ fc AS MATERIALIZED (SELECT b4.origin, b4.target, b4.series, b4.horizon, b4.period, point, scale, list_transform(CASE WHEN n >= 12 THEN own ELSE pooled END, lambda x: greatest(point * exp(x), 0)) AS q
    FROM b4 LEFT JOIN bo ON (bo.origin, bo.target, bo.series, bo.horizon) = (b4.origin, b4.target, b4.series, b4.horizon) LEFT JOIN bp ON (bp.origin, bp.target, bp.horizon) = (b4.origin, b4.target, b4.horizon)
    LEFT JOIN sc ON (sc.origin, sc.target, sc.series) = (b4.origin, b4.target, b4.series) WHERE made_at = pend AND point IS NOT NULL)"""
 
@@ -377,9 +377,36 @@ def series_conformal_widths(spark, d):
     return rounded(w.select("origin", "target", "horizon", "series", "n_own", F.element_at("e", 2).alias("e90")))
 
 
-@query(None)
+_eight = lambda x: f"list_transform(range(1, 9), lambda j: {x})"
+SQL_ADAPTIVE = f"""ai AS (SELECT cs.target, cs.horizon, cs.series, cs.origin, cs.resolved, i, [{', '.join(map(str, C.ALPHAS))}][i] AS a, [s1, s2, s3, s4][i] AS s, CASE i WHEN 1 THEN l1 WHEN 2 THEN l2 WHEN 3 THEN l3 ELSE l4 END AS pool, n
+   FROM cs JOIN pl ON (pl.t, pl.target, pl.horizon) = (cs.origin, cs.target, cs.horizon), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE cs.resolved IN (SELECT origin FROM {SQL_ORIGINS})),
+ ac AS (SELECT *, len(list_filter(pool, lambda x: x <= s)) AS c FROM ai),
+ ab AS MATERIALIZED (SELECT *, 1 - CASE WHEN c = 0 THEN 0 WHEN c = n THEN 1 ELSE (c - 1 + (s - pool[c]) / (pool[c + 1] - pool[c])) / (n - 1) END AS beta,
+   dense_rank() OVER (PARTITION BY target, horizon ORDER BY resolved, origin) AS step, row_number() OVER (PARTITION BY target, horizon, series, i ORDER BY resolved, origin) AS k FROM ac),
+ ae AS (SELECT DISTINCT target, horizon, series, i, CAST(0 AS BIGINT) AS k, CAST('1900-01-01' AS DATE) AS resolved, {_eight('CAST(a AS DOUBLE)')} AS alpha, {_eight('CAST(1 AS DOUBLE)')} AS w, CAST([] AS STRUCT(step BIGINT, x DOUBLE)[]) AS past FROM ab
+   UNION ALL
+   SELECT target, horizon, series, i, k, resolved, {_eight('alpha[j] + 0.001 * pow(2, j - 1) * (a - CASE WHEN alpha[j] > beta THEN 1 ELSE 0 END)')}, list_transform(v, lambda x: x / list_sum(v)), past2
+   FROM (SELECT *, list_transform(u, lambda x: (1 - 1 / 120.0::DOUBLE) * x + list_sum(u) / 960) AS v
+   FROM (SELECT *, {_eight('w[j] * exp(-(CASE WHEN total > 0 THEN sqrt((ln(480) + 2) / total) ELSE 0 END) * (loss[j] - list_min(loss)))')} AS u
+   FROM (SELECT *, list_sum(list_transform(past2, lambda p: p.x)) AS total
+   FROM (SELECT *, list_append(list_filter(past, lambda p: p.step > m.step - 60), {{'step': m.step, 'x': list_sum({_eight('w[j] / list_sum(w) * loss[j] * loss[j]')})}}) AS past2
+   FROM (SELECT ab.target, ab.horizon, ab.series, ab.i, ab.k, ab.resolved, ab.a, ab.beta, ab.step, ae.alpha, ae.w, ae.past, {_eight('ab.a * (ab.beta - ae.alpha[j]) - least(0, ab.beta - ae.alpha[j])')} AS loss
+     FROM ae JOIN ab ON (ab.target, ab.horizon, ab.series, ab.i) = (ae.target, ae.horizon, ae.series, ae.i) AND ab.k = ae.k + 1) m))))),
+ al AS (SELECT o.origin, target, horizon, series, i, arg_max({{'alpha': alpha, 'w': w}}, k) AS z FROM ae JOIN {SQL_ORIGINS} o ON ae.resolved <= o.origin GROUP BY ALL),
+ av AS (SELECT al.origin, al.target, al.horizon, series, i, n, CASE i WHEN 1 THEN l1 WHEN 2 THEN l2 WHEN 3 THEN l3 ELSE l4 END AS pool, least(1, greatest(0, 1 - list_sum({_eight('z.w[j] * z.alpha[j]')}) / list_sum(z.w))) AS level
+   FROM al JOIN pl ON (pl.t, pl.target, pl.horizon) = (al.origin, al.target, al.horizon)),
+ aw AS (SELECT *, CAST(floor(level * (n - 1)) AS INT) AS lo FROM av)"""
+
+
+@query(f"""{W.replace('WITH ', 'WITH RECURSIVE ', 1)}, {SQL_POOL}, {SQL_ADAPTIVE}
+ SELECT origin, target, horizon, series, list(round(level, 6) ORDER BY i) AS levels, list(round(pool[lo + 1] + (pool[least(lo + 2, n)] - pool[lo + 1]) * (level * (n - 1) - lo), 6) ORDER BY i) AS e FROM aw GROUP BY ALL""")
 def adaptive_conformal_levels(spark, d):
-    return rounded(C.adaptive_levels(conformal_scores(spark, d), T.months(spark, FIRST, LAST), ["target"]))
+    """Levels of every series, and the widenings that they give within the pools."""
+    s = cut(conformal_scores(spark, d))
+    o = T.months(spark, FIRST, LAST)
+    pools = cut(C.ranked_pools(s, o, ["target"]))
+    levels = C.adaptive_levels(s, pools, o, ["target"])
+    return rounded(C.adaptive_widths(levels, pools, ["target"]))
 
 
 @query(None)

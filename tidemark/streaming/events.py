@@ -5,13 +5,13 @@ Each takes a streaming DataFrame and returns one; run_once() drains what is ther
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.calibrate import Experts
 from tidemark.session import scratch, ship
@@ -43,29 +43,73 @@ def new_versions(rows: DataFrame, keys: list[str], day: str = "ts", late: str =
     return rows.withWatermark(day, late).dropDuplicatesWithinWatermark(keys)
 
 
+POOL_CELLS = 256
+
+
+def _rank_of(counts: np.ndarray, edges: np.ndarray, s: float) -> float:
+    """The level at which a histogram of scores first reaches s, between its edges by interpolation."""
+    cell = int(np.searchsorted(edges, s, side="right")) - 1
+    if cell < 0:
+        return 0.0
+    if cell >= len(counts):
+        return 1.0
+    inside = (s - edges[cell]) / (edges[cell + 1] - edges[cell])
+    return float((counts[:cell].sum() + inside * counts[cell]) / counts.sum())
+
+
+def _with_score(counts: np.ndarray, edges: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray]:
+    """Count s; a range that lacks it doubles, pairs of cells being joined, until it holds it."""
+    while not edges[0] <= s < edges[-1]:
+        half = counts.reshape(-1, 2).sum(1)
+        none, width = np.zeros(len(half)), edges[-1] - edges[0]
+        low = edges[0] - width if s < edges[0] else edges[0]
+        counts = np.concatenate([none, half] if s < edges[0] else [half, none])
+        edges = np.linspace(low, low + 2 * width, len(counts) + 1)
+    counts = counts.copy()
+    counts[int(np.searchsorted(edges, s, side="right")) - 1] += 1
+    return counts, edges
+
+
+class _Levels(StatefulProcessor):
+    """Per key: the experts' levels and weights, their latest losses, and a histogram of the scores."""
+
+    def __init__(self, key: str, alpha: float):
+        self.key, self.alpha = key, alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "alpha array<double>, w array<double>, losses array<double>, counts array<double>, low double, high double, seen long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        expert, counts, edges, seen = Experts(self.alpha), np.zeros(POOL_CELLS), np.linspace(-1.0, 1.0, POOL_CELLS + 1), 0
+        if self.held.exists():
+            a, w, losses, counts, low, high, seen = self.held.get()
+            expert.alpha, expert.w = np.array([a]), np.array([w])
+            expert.past = [(seen - len(losses) + i + 1, np.array([0]), np.array([x])) for i, x in enumerate(losses)]
+            counts, edges = np.array(counts), np.linspace(low, high, POOL_CELLS + 1)
+        now = pd.concat(list(rows)).sort_values("seq")
+        for s in now["s"].astype(float):
+            seen += 1
+            if counts.sum():
+                expert.update(np.array([1 - _rank_of(counts, edges, s)]), np.array([0]), seen)
+            counts, edges = _with_score(counts, edges, s)
+        losses = [float(x[0]) for _, _, x in expert.past]
+        self.held.update((expert.alpha[0].tolist(), expert.w[0].tolist(), losses, counts.tolist(), float(edges[0]), float(edges[-1]), seen))
+        yield pd.DataFrame({self.key: [key[0]], "seen": [len(now)], "level": [float(expert.level()[0])]})
+
+    def close(self) -> None:
+        pass
+
+
 def adaptive_levels(scores: DataFrame, key: str, alpha: float = 0.1) -> DataFrame:
-    """Online form of the adaptive level: scores (key, seq, s) update it in order of arrival.
+    """Online form of the adaptive level by key: scores (key, seq, s) update it in order of arrival.
 
-    As in the batch form a score is ranked among all before it, so the state holds these, sorted.
+    A score is ranked among all of its key before it, which the state keeps as counts in POOL_CELLS
+    cells of a range that doubles as needed: a state of fixed size, whatever has been seen, and a rank
+    within one cell of the exact one. Finite scores only. Needs the RocksDB state store.
     """
     ship(scores.sparkSession)
-
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expert, pool = Experts(alpha), []
-        if state.exists:
-            a, w, past, pool = (list(x) for x in state.get)
-            expert.alpha, expert.w, expert.past = expert.alpha * 0 + a, expert.w * 0 + w, past
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for s in rows["s"]:
-            if pool:
-                expert.update(1 - bisect_right(pool, s) / len(pool))
-            insort(pool, float(s))
-        state.update((list(map(float, expert.alpha)), list(map(float, expert.w)), list(map(float, expert.past)), pool))
-        yield pd.DataFrame({key: [k[0]], "seen": [len(rows)], "level": [expert.level()]})
-
     kind = dict(scores.dtypes)[key]
-    state = "alpha array<double>, w array<double>, past array<double>, pool array<double>"
-    return scores.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, seen long, level double", state, "update", GroupStateTimeout.NoTimeout)
+    return scores.groupBy(key).transformWithStateInPandas(_Levels(key, alpha), f"{key} {kind}, seen long, level double", "Update", "None")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
