@@ -87,6 +87,52 @@ def test_a_hot_list_comes_to_no_task_whole(spark, monkeypatch):
     assert max(sent.values()) <= 3 * n.TASK_LIST  # three tasks
 
 
+@pytest.mark.parametrize("edits", [3, 5, 7])
+def test_near_misses_of_one_passage(spark, edits, monkeypatch):
+    """Copies with random edits, most of them no link of each other: few pairs reach the second round."""
+    rnd = random.Random(edits)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for k in rnd.sample(range(200), edits):
+            t[k] = f"e{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(t)))
+    seen = []
+    plain = n.second_pairs
+    monkeypatch.setattr(n, "second_pairs", lambda *a: seen.append(n.cut(plain(*a))) or seen[-1])
+    monkeypatch.setattr(n, "LIST_BLOCK", 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in n.link_groups(df).collect()), key=repr) == brute(rows)
+    assert sum(x.count() for x in seen) < 1000  # of 7,140
+
+
+@pytest.mark.parametrize("n_grams", [1, 200, 255, 257, 3000, 40_000])
+def test_parity_bounds_the_difference(n_grams):
+    rng = np.random.default_rng(n_grams)
+    shape = n.Shape()
+    a = rng.integers(0, 1 << 63, n_grams, dtype=np.uint64)
+    for part in (0.0, 0.05, 0.3, 1.0):
+        b = np.concatenate([a[int(part * n_grams) :], rng.integers(0, 1 << 63, int(part * n_grams) + n_grams // 9, dtype=np.uint64)])
+        (pa_, pb) = n._parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        size = min(len(pa_), len(pb))
+        x, y = n._folded(pa_, size), n._folded(pb, size)
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+        common = len(set(a.tolist()) & set(b.tolist()))
+        if 100 * common >= 85 * (len(a) + len(b) - common):
+            assert n._may_link(x, y[None], np.int64(len(a)), np.array([len(b)]), shape).all()
+    assert (n._folded(pa_, 128) == n._folded(n._folded(pa_, len(pa_)).tobytes(), 128)).all()
+
+
+def test_hot_lists_are_last_at_every_size_of_sketch():
+    """Counts over 65,535 keep their order, and the sketch grows with the text."""
+    counts = np.array([1, 3, 300, 70_000, 5_000_000])
+    rank = n._rank(counts)
+    assert (np.diff(rank.astype(int)) > 0).all() and rank.max() < 256
+    assert n.cell_bits(1 << 20) == 20 < n.cell_bits(1 << 29) and n.cell_bits(1 << 45) == n.CELL_BITS[1]
+
+
 def test_empty_and_clashing_columns(spark):
     assert n.link_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e", 1, 2), (2, "a b c d e", 3, 4)], "doc_id long, text string, part int, class int")

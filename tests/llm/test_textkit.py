@@ -58,9 +58,11 @@ def test_packing_round_trips(values):
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
 def test_parts_cover_and_agree(spark, parts):
-    docs = spark.createDataFrame([(i * 3 - 40, "x") for i in range(50)] + [(None, "y")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i * 3 - 40, "x") for i in range(50)] + [(None, "y"), (None, None), (5, "x"), (5, "x"), (5, "z")], "doc_id long, text string")
     rows = packed.with_doc_part(docs, parts).collect()
-    assert all(int(packed.doc_part(np.array([r.doc]), parts)[0]) == r.part for r in rows)
+    assert all(r.part == r.key % parts and r.tag >= 0 for r in rows)  # as tasks deal what they know by key alone
+    assert len({(r.part, r.key, r.tag) for r in rows if (r.doc_id, r.text) == (5, "x")}) == 1
+    assert len({r.part for r in rows}) > min(parts, 30) // 2
     h = np.sort(textkit.mix(np.arange(1000, dtype=np.uint64)))
     p = packed.hash_part(h, parts)
     assert (np.diff(p) >= 0).all() and p.min() >= 0 and p.max() < parts

@@ -2,19 +2,25 @@
 
 Documents with one set of n-grams form a class; links are sought between classes.
 
-1. N-grams are ordered rare first: by a count from a fixed-size sketch over all documents (the
-   count may be too high, never too low), then by hash. Any order that all share is right; this
+1. N-grams are ordered rare first: by a count from a sketch over all documents whose cells grow with the
+   corpus up to 2 ** CELL_BITS[1] (a count may be too high, never too low), then by hash. Any order that all share is right; this
    one puts passages that many documents share at the end.
 2. Prefix filter: two linked sets share an n-gram among the first n - ceil(t n) + 1 of each.
 3. Length and positional filters drop pairs that cannot reach the overlap. Postings of an n-gram
    with up to SMALL_BUCKET classes give all pairs that pass. Longer ones give the pairs with one
    leader each; a task that has over TASK_LIST members of a list pairs them with a leader of its own
    and sends on the leader only, so no task gets a list whole. After these pairs are verified and joined
-   to components, long lists give the pairs whose members are in different components still, so no
-   link between components is lost. Only classes of near sizes meet for these (a list is cut into
-   bands of sizes, and these into blocks), and pairs pass a suffix filter first: fixed pivots cut the
-   sets into RANGES ranges of hashes, and what two sets have in each bounds the intersection.
-4. Each pair is verified once on the whole sets, behind the same bound from fixed pivots.
+   to components, lists that hold several components still are dealt into blocks, anew in each of up to
+   LEADER_ROUNDS rounds, and every member gets a leader there: the first one of another component that passes
+   the filter below. That is a pair a member; rounds end when one adds no link. Then lists give all pairs
+   whose members are in different components even so, so no link between components is lost. A round
+   reads the corpus once for the sets of what it pairs. Only classes of near sizes meet for these (a list is cut into
+   bands of sizes, and these into blocks), and pairs pass a filter of whole sets first: each n-gram flips
+   one bit of its set's parity bitmap, two bitmaps differ in no more bits than the sets in n-grams, and
+   linked sets differ in few. A bitmap has a bit or two for each n-gram of its set; of two lengths, powers of
+   two, the longer one is folded by exclusive or, which gives the bitmap of the shorter length.
+4. Each pair is verified once on the whole sets, behind a suffix filter: fixed pivots cut both sets, and what
+   they have in each range bounds the intersection.
 
 Linked components follow from verified pairs by alternating stars.
 
@@ -44,7 +50,8 @@ GRAM = 4
 PERCENT = 85
 STAGE_GRAM = 5
 STAGE_PERCENT = 80
-CELL_BITS = 20
+CELL_BITS = (20, 22)
+CELL_BYTES = 512
 SLICES = 32
 SMALL_BUCKET = 12
 TASK_LIST = 100
@@ -52,8 +59,9 @@ TASK_POSTINGS = 500_000
 MAX_RANK = 255
 FILTER_BITS = 23
 PIVOTS = 16
-RANGES = 128
+LEAST_PARITY, MOST_PARITY = 1 << 10, 1 << 14
 LIST_BLOCK = 1024
+LEADER_ROUNDS = 1
 U64 = np.uint64
 
 _POSTINGS = "part int, grams binary, classes binary, sizes binary, places binary, leads binary, own_pairs binary, own_grams binary, own_classes binary, own_sizes binary, own_places binary"
@@ -102,56 +110,80 @@ def _classes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return sizes, mix((total[ends] - total[ends - sizes]) ^ mix(sizes.astype(np.uint64)))
 
 
-def _profiles(h: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
-    """How many n-grams of each set lie in each of RANGES ranges of hashes; 255 is "or more"."""
-    cell = doc * RANGES + (h >> U64(64 - RANGES.bit_length() + 1)).astype(np.int64)
-    count = np.minimum(np.bincount(cell, minlength=n * RANGES), 255).astype(np.uint8)
-    return [row.tobytes() for row in count.reshape(n, RANGES)]
+def parity_bits(n: np.ndarray) -> np.ndarray:
+    """Length of the bitmap of sets of n n-grams: a power of two, at least a bit for each of them until the most."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+    return np.clip(bits, LEAST_PARITY, MOST_PARITY)
 
 
-def _common_at_most(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Bound of the intersection of a set with others, from profiles (suffix filter)."""
-    both = np.minimum(mine, others).astype(np.int64)
-    return np.where((both == 255).any(1), np.int64(1) << 40, both.sum(1))
+def _parities(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The parity bitmap of each set: bit h mod length is flipped by each n-gram h."""
+    bits = parity_bits(sizes)
+    ends = np.cumsum(bits)
+    at = (h & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(ends - bits, sizes)
+    odd = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little")
+    return [odd[(e - b) >> 3 : e >> 3].tobytes() for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - CELL_BITS)).astype(np.int64)
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """A bitmap at a shorter length of `size` bytes."""
+    words = np.frombuffer(parity, np.uint64).reshape(-1, size >> 3)
+    return np.bitwise_xor.reduce(words, axis=0)
+
+
+def _may_link(mine: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, shape: Shape) -> np.ndarray:
+    """Whether bitmaps differ in so few bits that the sets can reach the overlap."""
+    apart = np.bitwise_count(mine ^ others).sum(axis=1, dtype=np.int64)
+    return apart <= size + sizes - 2 * shape.overlap(size, sizes)
+
+
+def cell_bits(size: int) -> int:
+    """Bits of the sketch for `size` bytes of text."""
+    return min(max(int(size // CELL_BYTES).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+
+
+def _cell(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
 
 
 def _sketch_rows(count: np.ndarray) -> Iterator[pa.RecordBatch]:
     size = len(count) // SLICES
-    cols = [[None] * SLICES] * 3
-    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([pack(np.minimum(count[i * size : (i + 1) * size], 65535).astype(np.uint16)) for i in range(SLICES)], pa.binary())], ["doc_id", "n_shingles", "class", "profile", "part", "counts"])
+    for i in range(SLICES):
+        cols = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([pack(count[i * size : (i + 1) * size])], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class", "parity", "part", "counts"])
 
 
-def scan_sets(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
+def scan_sets(docs: DataFrame, shape: Shape, text: str, bits: int) -> DataFrame:
     """A row for each document (size and class of its set), and sketch slices for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << CELL_BITS, np.int64)
+        count = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            sizes, names, profiles = [], [], []
+            sizes, names, parities = [], [], []
             for piece in pieces(batch.column("text")):
                 h, doc = gram_sets(piece, shape.gram)
-                profiles += _profiles(h, doc, len(piece))
-                count += np.bincount(_cell(h), minlength=1 << CELL_BITS)
+                cells, times = np.unique(_cell(h, bits), return_counts=True)
+                count[cells] += times.astype(np.uint32)
                 s, c = _classes(h, doc, len(piece))
+                parities += _parities(h, s)
                 sizes.append(s)
                 names.append(c)
             n = batch.num_rows
             size = np.concatenate([np.zeros(0, np.int64), *sizes])
             name = np.concatenate([np.zeros(0, np.uint64), *names]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name, mask=size == 0), pa.array(profiles, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "class", "profile", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(name, mask=size == 0), pa.array(parities, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "class", "parity", "part", "counts"])
         if count.any():
             yield from _sketch_rows(count)
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_shingles long, class long, profile binary, part int, counts binary")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_shingles long, class long, parity binary, part int, counts binary")
 
 
 def _merge_slices(table: pa.Table) -> pa.Table:
-    total = sum(unpack(x.as_py(), np.uint16).astype(np.int64) for x in table["counts"])
-    return rows_of({"part": [table["part"][0].as_py()], "counts": [pack(np.minimum(total, 65535).astype(np.uint16))]}, _arrow("part int, counts binary"))
+    """The ranks of a slice's cells, from the sums of their counts."""
+    total = np.int64(0)
+    for x in table["counts"]:
+        total = total + unpack(x.as_py(), np.uint32)
+    return rows_of({"part": [table["part"][0].as_py()], "counts": [pack(_rank(total).astype(np.uint8))]}, _arrow("part int, counts binary"))
 
 
 def _rank(count: np.ndarray) -> np.ndarray:
@@ -159,7 +191,7 @@ def _rank(count: np.ndarray) -> np.ndarray:
     return np.minimum(8 * np.log2(np.maximum(count, 1)), MAX_RANK).astype(np.uint64)
 
 
-def prefix_postings(docs: DataFrame, ranks, shape: Shape, parts: int, text: str) -> DataFrame:
+def prefix_postings(docs: DataFrame, ranks, shape: Shape, parts: int, text: str, bits: int) -> DataFrame:
     """Packed postings of the rarest n-grams of every class, a class once a task."""
 
     def rows(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +221,7 @@ def prefix_postings(docs: DataFrame, ranks, shape: Shape, parts: int, text: str)
                 if not len(h):
                     continue
                 sizes, names = _classes(h, doc, len(piece))
-                order = np.lexsort((h, rank[_cell(h)], doc))
+                order = np.lexsort((h, rank[_cell(h, bits)], doc))
                 h, doc = h[order], doc[order]
                 place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = place < shape.prefix(sizes)[doc]
@@ -273,16 +305,22 @@ def first_pairs(postings: DataFrame, shape: Shape) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, shape: Shape) -> DataFrame:
-    """Pairs (a, b) whose profiles could reach the overlap (suffix filter before the sets move)."""
+    """Pairs (a, b) whose parity bitmaps let them reach the overlap, before the sets move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("pa", "pb"))
+            x, y = batch.column("pa").to_pylist(), batch.column("pb").to_pylist()
             n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            keep = pa.array(_common_at_most(x, y) >= shape.overlap(n, m))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            least = np.minimum([len(p) for p in x], [len(p) for p in y])
+            keep = np.zeros(batch.num_rows, bool)
+            for size in np.unique(least).tolist():
+                r = np.flatnonzero(least == size)
+                a, b = (np.stack([_folded(p[i], size) for i in r.tolist()]) for p in (x, y))
+                keep[r] = _may_link(a, b, n[r], m[r], shape)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    side = lambda c: reps.select(F.col("class").alias(c), F.col("profile").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
+    side = lambda c: reps.select(F.col("class").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
     return map_batches(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "pa", "pb", "na", "nb"), run, "a long, b long")
 
 
@@ -297,20 +335,35 @@ def _earlier_lists(of: np.ndarray, bounds: np.ndarray, s: int, e: int, gram: int
     return bits
 
 
-def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
-    """Pairs (a, b) of long posting lists whose components differ and whose profiles could reach
-    the overlap. long: gram, class, size, place, component, profile.
+def mixed_lists(long: DataFrame, shape: Shape) -> DataFrame:
+    """long (gram, class, size, place, component) by list and pair of neighbouring bands of sizes,
+    of those that hold several components; blocks says into how many each is cut.
 
     Sizes of linked sets differ by 100 / percent at most, so a list is cut into bands of that ratio and
-    a class meets those of its own band and of the one below. What meets is cut into blocks of
-    LIST_BLOCK, and every two blocks meet in a task of their own, so no list comes to one task whole.
+    a class meets those of its own band and of the one below.
     """
+    # bands a hair wider than the ratio, so that rounding never puts a possible pair two bands apart
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(log(100 / shape.percent) * 1.000001)).cast("int")
+    placed = long.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
+    lists = placed.groupBy("gram", "at").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.col("band") == F.col("at")).alias("any_top"))
+    lists = cut(lists.where("c0 <> c1 AND any_top").select("gram", "at", "blocks"))
+    return cut(placed.join(lists, ["gram", "at"]))
+
+
+def second_pairs(mixed: DataFrame, reps: DataFrame, shape: Shape, parts: int, number: int | None = None) -> DataFrame:
+    """Pairs (a, b) of mixed_lists() whose components differ and whose bitmaps let them reach the overlap.
+    What meets is cut into blocks of LIST_BLOCK, and every two blocks meet in a task of their own, so no
+    list comes to one task whole. With a number, that of a round of leaders, each block is on its own and
+    each member is in one pair with an earlier one at most; order and blocks differ from round to round.
+    """
+    seed = U64(0 if number is None else number + 1)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("gram", "at", "lo", "hi", "class")])
+        turn = pa.array(mix(table["class"].to_numpy().view(np.uint64) + seed).view(np.int64))
+        table = table.append_column("turn", turn).sort_by([(c, "ascending") for c in ("gram", "at", "lo", "hi", "turn")])
         gram, at, lo, hi, block, band, name, size, place, comp = (table[c].to_numpy().astype(np.int64) for c in ("gram", "at", "lo", "hi", "block", "band", "class", "size", "place", "component"))
-        profile = np.frombuffer(b"".join(table["profile"].to_pylist()), np.uint8).reshape(-1, RANGES)
+        parities = table["parity"].to_pylist()
         lists = table["lists"].combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
         of, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
@@ -318,27 +371,26 @@ def second_pairs(long: DataFrame, shape: Shape, parts: int) -> DataFrame:
         starts = group_starts(gram, at, lo, hi)
         for s, e in zip(starts.tolist(), np.append(starts, len(gram))[1:].tolist(), strict=True):
             earlier = _earlier_lists(of, bounds, s, e, gram[s])
+            shortest = min(map(len, parities[s:e]))  # sizes are near each other, so lengths are one or two
+            parity = np.stack([_folded(p, shortest) for p in parities[s:e]])
+            led = np.zeros(e - s, bool)
             for i in range(s, e - 1):  # a row against the rest of its list, or of the other block
                 j = np.arange(i + 1, e)
+                j = j[~led[j - s]]
                 j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (lo[s] == hi[s])) & (np.maximum(band[j], band[i]) == at[s])]
                 j = j[_possible(size[i], place[i], size[j], place[j], shape)]
                 j = j[~(earlier[j - s] & earlier[i - s]).any(1)]  # pairs that meet in an earlier list leave that one
-                j = j[_common_at_most(profile[i], profile[j]) >= shape.overlap(size[i], size[j])]
+                j = j[_may_link(parity[i - s], parity[j - s], size[i], size[j], shape)]
                 if len(j):
+                    led[j - s] = number is not None
                     found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
         pair = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
 
-    # bands a hair wider than the ratio, so that rounding never puts a possible pair two bands apart
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(log(100 / shape.percent) * 1.000001)).cast("int")
-    placed = long.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
-    lists = placed.groupBy("gram", "at").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.col("band") == F.col("at")).alias("any_top"))
-    lists = cut(lists.where("c0 <> c1 AND any_top").select("gram", "at", "blocks"))
-    mixed = cut(placed.join(lists, ["gram", "at"]))
     by_class = mixed.select("class", "gram").distinct().groupBy("class").agg(F.sort_array(F.collect_list("gram")).alias("lists"))
-    rows = mixed.join(by_class.hint("merge"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    rows = rows.select("gram", "at", "lo", "hi", "block", "band", "class", "size", "place", "component", "profile", "lists", F.pmod(F.xxhash64("gram", "at", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
+    rows = mixed.join(by_class.hint("merge"), "class").join(reps.select("class", "parity").hint("merge"), "class").withColumn("block", F.pmod(F.xxhash64("class", F.lit(int(seed))), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if number is None else F.col("block")).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rows = rows.select("gram", "at", "lo", "hi", "block", "band", "class", "size", "place", "component", "parity", "lists", F.pmod(F.xxhash64("gram", "at", "lo", "hi"), F.lit(parts)).cast("int").alias("part"))
     return grouped(rows, run, "a long, b long").distinct()
 
 
@@ -395,17 +447,18 @@ def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
 
 def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class (null for an empty set) of every row."""
-    spark, shape, parts = docs.sparkSession, Shape(gram, percent), n_parts(text_bytes(docs, text))
-    scanned = cut(scan_sets(docs, shape, text))
-    rows = scanned.where("part is null").select("doc_id", "n_shingles", "class", "profile")
-    merged = grouped(scanned.where("part is not null").select("part", "counts"), _merge_slices, "part int, counts binary").collect()  # 2 ** CELL_BITS counts
-    slices = {r["part"]: unpack(bytes(r["counts"]), np.uint16) for r in merged}
-    empty = np.zeros((1 << CELL_BITS) // SLICES, np.uint16)
-    ranks = spark.sparkContext.broadcast(_rank(np.concatenate([slices.get(i, empty) for i in range(SLICES)])).astype(np.uint8))
+    size = text_bytes(docs, text)
+    spark, shape, parts, bits = docs.sparkSession, Shape(gram, percent), n_parts(size), cell_bits(size)
+    scanned = cut(scan_sets(docs, shape, text, bits))
+    rows = scanned.where("part is null").select("doc_id", "n_shingles", "class", "parity")
+    merged = grouped(scanned.where("part is not null").select("part", "counts"), _merge_slices, "part int, counts binary").collect()  # a byte a cell
+    slices = {r["part"]: unpack(bytes(r["counts"]), np.uint8) for r in merged}
+    empty = np.zeros((1 << bits) // SLICES, np.uint8)
+    ranks = spark.sparkContext.broadcast(np.concatenate([slices.get(i, empty) for i in range(SLICES)]))
 
     low = F.lit(-(1 << 62))
-    reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep"), F.first("profile").alias("profile"), F.first("n_shingles").alias("n_shingles")))
-    found = cut(first_pairs(prefix_postings(docs, ranks, shape, parts, text), shape))
+    reps = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", low)).alias("rep"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n_shingles")))
+    found = cut(first_pairs(prefix_postings(docs, ranks, shape, parts, text, bits), shape))
 
     # joins are merged on purpose: sides grow with the corpus, and the driver is to hold none of them
     def links(pairs: DataFrame) -> DataFrame:
@@ -416,11 +469,34 @@ def link_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, text:
     edges = links(bounded(cut(found.where("kind = 0").select("a", "b").distinct()), reps, shape))
     groups = cut(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("class"), "size", "place").dropDuplicates(["gram", "class"])
-    long = long.join(groups.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    long = cut(long.join(reps.select("class", "profile").hint("merge"), "class"))
-    more = cut(second_pairs(long, shape, parts))
-    if not more.isEmpty():
-        groups = joined(groups, links(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def still_mixed(lists: DataFrame, groups: DataFrame) -> DataFrame:
+        now = lists.join(groups.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        return mixed_lists(now, shape)
+
+    folder = scratch(spark, "lists")  # what rounds hand on is written and read, as the plans of checkpoints grow with each round
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    mixed = kept(still_mixed(long, groups), "mixed")
+
+    def met(number: int | None) -> bool:
+        """Whether a round adds links."""
+        nonlocal groups, mixed
+        edges = kept(links(second_pairs(mixed, reps, shape, parts, number)), f"edges-{number}")
+        if edges.isEmpty():
+            return False
+        groups = kept(joined(groups, edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), f"groups-{number}")
+        mixed = kept(still_mixed(mixed.select(*long.columns).distinct(), groups), f"mixed-{number}")
+        return True
+
+    for number in range(LEADER_ROUNDS):
+        if mixed.isEmpty() or not met(number):
+            break
+    if not mixed.isEmpty():
+        met(None)
     labelled = reps.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_class = cut(cut(labelled.select("class", "component")).join(cut(least), "component").select("class", "component_id"))
