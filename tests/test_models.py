@@ -28,14 +28,6 @@ def test_local_models_refuse_what_they_cannot_fit():
     assert M.ets(y, 0) is None and M.stl_arima(y, 0) is None and M.ets(y[:20], 0) is None
 
 
-@pytest.mark.parametrize("fit", [M.boosted_quantiles, M.bootstrap_ensemble])
-def test_pooled_models(fit):
-    full = np.stack([series(90, s) for s in range(8)])
-    q = fit(full[:, :84], 3)
-    assert q.shape == (8, 6, 9) and (np.diff(q, axis=2) >= 0).all()
-    assert np.abs(q[:, :, 4] - full[:, 84:]).mean() < 80
-
-
 def test_decomposition_adds_up_to_a_seasonal_pattern():
     y = series()
     s, t = M.decompose(y)
@@ -47,7 +39,7 @@ def test_models_run_as_grouped_maps(spark):
 
     rows = [("a", f"s{s}", datetime.date(2000 + i // 12, i % 12 + 1, 1), float(v)) for s in range(3) for i, v in enumerate(series(72, s))]
     panel = spark.createDataFrame(rows, "target string, series string, period date, y double")
-    for model in ("ets", "stl_arima", "boosted", "ensemble"):
+    for model in ("ets", "stl_arima"):
         got = M.forecast(panel, model, ["target"]).collect()
         assert len(got) == 18 and all(len(r.q) == 9 for r in got)
         assert sorted(map(repr, got)) == sorted(map(repr, M.forecast(panel.repartition(3), model, ["target"]).collect()))
@@ -90,8 +82,11 @@ def test_covariance_equals_the_array_of_products():
 
 
 def test_experts_widen_after_misses_and_narrow_after_hits():
-    miss, hit = Experts(0.1), Experts(0.1)
-    for _ in range(200):
-        miss.update(0.01)
-        hit.update(0.9)
-    assert miss.level() > 0.9 > hit.level()
+    both, one = Experts(0.1, 2), np.array([0])
+    for step in range(200):
+        both.update(np.array([0.01, 0.9]), np.array([0, 1]), step)
+    assert both.level()[0] > 0.9 > both.level()[1]
+    alone = Experts(0.1, 1)
+    for step in range(200):
+        alone.update(np.array([0.01]), one, step)
+    assert alone.level()[0] == both.level()[0]

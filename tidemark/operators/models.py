@@ -1,7 +1,6 @@
 """Forecast models as grouped-map functions; the grid of series and origins is Spark's.
 
-A model takes the monthly values of one series (or of all series of a target, for the pooled
-ones) and returns nine quantiles for each horizon. Missing months are null; a model that cannot
+A model takes the monthly values of one series and returns nine quantiles for each horizon. Missing months are null; a model that cannot
 be fitted returns no row for that series.
 """
 
@@ -13,13 +12,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import LEVELS, Z
+from tidemark.operators import pooled
 from tidemark.session import ship
 
 HORIZONS = 6
-EVERY = tuple(range(1, HORIZONS + 1))
 SEASON = 12
 PATHS = 1000
 MIN_OBS = 30
@@ -172,142 +170,19 @@ def stl_arima(y: np.ndarray, seed: int) -> np.ndarray | None:
     return np.array([[max(m + z * s, 0.0) for z in Z] for m, s in out])
 
 
-class Boosted:
-    """Gradient-boosted stumps for one quantile, on features cut into bins."""
-
-    def __init__(self, level: float, rounds: int = 60, rate: float = 0.1, bins: int = 16):
-        self.level, self.rounds, self.rate, self.bins = level, rounds, rate, bins
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.nanquantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-        code = self._code(x)
-        self.base, self.stumps = float(np.quantile(y, self.level)), []
-        made = np.full(len(y), self.base)
-        for _ in range(self.rounds):
-            g = np.where(y >= made, self.level, self.level - 1)
-            best = None
-            for j in range(x.shape[1]):
-                s = np.bincount(code[:, j], g, self.bins + 1)
-                n = np.bincount(code[:, j], minlength=self.bins + 1)
-                ls, ln = np.cumsum(s)[:-1], np.cumsum(n)[:-1]
-                rs, rn = s.sum() - ls, n.sum() - ln
-                gain = np.where((ln > 4) & (rn > 4), ls**2 / np.maximum(ln, 1) + rs**2 / np.maximum(rn, 1), -1)
-                i = int(gain.argmax())
-                if best is None or gain[i] > best[0]:
-                    best = (gain[i], j, i)
-            if best[0] <= 0:
-                break
-            _, j, i = best
-            left = code[:, j] <= i
-            a, b = (float(np.quantile((y - made)[m], self.level)) if m.any() else 0.0 for m in (left, ~left))
-            self.stumps.append((j, i, self.rate * a, self.rate * b))
-            made += np.where(left, self.rate * a, self.rate * b)
-        return self
-
-    def _code(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.where(np.isnan(c), 0, 1 + np.searchsorted(e, c)) if len(e) else np.zeros(len(c), int) for c, e in zip(x.T, self.edges, strict=True)]).clip(0, self.bins).astype(int)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        code, out = self._code(x), np.full(len(x), self.base)
-        for j, i, a, b in self.stumps:
-            out += np.where(code[:, j] <= i, a, b)
-        return out
-
-
-def _rows(panel: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features and log-change targets of every series (row of panel) and month for horizon h."""
-    s, n = panel.shape
-    feats, target, level, at = [], [], [], []
-    logs = np.log1p(np.maximum(panel, 0))
-    for t in range(SEASON, n):
-        win = panel[:, t - SEASON + 1 : t + 1]
-        ok = (~np.isnan(win)).sum(1) >= 6
-        mean = np.log1p(np.where(ok, np.nansum(win, 1) / np.maximum((~np.isnan(win)).sum(1), 1), np.nan))
-        rel = logs[:, t - SEASON + 1 : t + 1] - mean[:, None]
-        month = (t + h) % SEASON
-        same = logs[:, t + h - SEASON] - mean if t + h - SEASON >= 0 else np.full(s, np.nan)
-        feats.append(np.column_stack([rel, same, mean, np.full(s, np.sin(2 * np.pi * month / 12)), np.full(s, np.cos(2 * np.pi * month / 12))]))
-        target.append(logs[:, t + h] - mean if t + h < n else np.full(s, np.nan))
-        level.append(mean)
-        at.append(np.full(s, t))
-    return np.concatenate(feats), np.concatenate(target), np.concatenate(level), np.concatenate(at)
-
-
-def _tail(x: np.ndarray, level: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    last = at == n - 1
-    return x[last], level[last]
-
-
-def boosted_quantiles(panel: np.ndarray, seed: int, horizons: tuple[int, ...] = EVERY) -> np.ndarray | None:
-    """Pooled direct quantile models, conformalised on the last year: (series, horizon, level)."""
-    s, n = panel.shape
-    if n < 3 * SEASON or s * n < 200:
-        return None
-    out = np.full((s, HORIZONS, len(LEVELS)), np.nan)
-    for h in horizons:
-        x, y, level, at = _rows(panel, h)
-        use = ~np.isnan(y)
-        train, held = use & (at + h < n - SEASON), use & (at + h >= n - SEASON)
-        if train.sum() < 50:
-            return None
-        fx, fl = _tail(x, level, at, n)
-        q = np.stack([Boosted(a).fit(x[train], y[train]).predict(np.concatenate([x[held], fx])) for a in LEVELS], 1)
-        q.sort(1)
-        cal, new = q[: held.sum()], q[held.sum() :]
-        for j in range(len(LEVELS) // 2):
-            lo, hi = j, len(LEVELS) - 1 - j
-            score = np.maximum(cal[:, lo] - y[held], y[held] - cal[:, hi])
-            if len(score) >= 10:
-                e = np.quantile(score, min(1.0, (1 - 2 * LEVELS[j]) * (1 + 1 / len(score))))
-                new[:, lo] -= e
-                new[:, hi] += e
-        out[:, h - 1] = np.maximum(np.expm1(np.sort(new, 1) + fl[:, None]), 0)
-    return out
-
-
-def bootstrap_ensemble(panel: np.ndarray, seed: int, horizons: tuple[int, ...] = EVERY, k: int = 20, block: int = 12) -> np.ndarray | None:
-    """Medians of models on blocks of months, with quantiles of out-of-bag errors of the last year."""
-    s, n = panel.shape
-    if n < 3 * SEASON:
-        return None
-    out = np.full((s, HORIZONS, len(LEVELS)), np.nan)
-    for h in horizons:
-        rng = np.random.default_rng([seed, h])
-        x, y, level, at = _rows(panel, h)
-        use = np.flatnonzero(~np.isnan(y))
-        blocks = at[use] // block
-        every = np.unique(blocks)
-        fx, fl = _tail(x, level, at, n)
-        made, bag, centre = np.zeros(len(use)), np.zeros(len(use)), np.zeros(len(fx))
-        for _ in range(k):
-            pick = rng.choice(every, len(every))
-            rows = np.concatenate([use[blocks == b] for b in pick])
-            model = Boosted(0.5, rounds=40).fit(x[rows], y[rows])
-            free = ~np.isin(blocks, pick)
-            made[free] += model.predict(x[use[free]])
-            bag += free
-            centre += model.predict(fx) / k
-        ok = (bag > 0) & (at[use] + h >= n - SEASON)
-        if ok.sum() < 10:
-            return None
-        e = np.quantile(y[use][ok] - made[ok] / bag[ok], LEVELS)
-        out[:, h - 1] = np.maximum(np.expm1(np.sort(centre[:, None] + e, 1) + fl[:, None]), 0)
-    return out
-
-
 LOCAL: dict[str, Callable] = {"ets": ets, "stl_arima": stl_arima}
-POOLED: dict[str, Callable] = {"boosted": boosted_quantiles, "ensemble": bootstrap_ensemble}
+POOLED: dict[str, Callable] = {"boosted": pooled.boosted_quantiles, "ensemble": pooled.bootstrap_ensemble}
 
 
 def forecast(panel: DataFrame, model: str, by: list[str]) -> DataFrame:
     """Forecasts of a spine-joined panel: by, series, horizon, q.
 
-    Local models get one series a group; pooled ones, whose horizons are models of their own, all
-    series of a group of `by` and one horizon.
+    Local models get one series a group; pooled ones are fitted by `pooled`, where no task holds a panel.
     """
+    if model in POOLED:
+        return POOLED[model](panel, by)
     ship(panel.sparkSession)
-    fit = {**LOCAL, **POOLED}[model]
-    pooled = model in POOLED
+    fit = LOCAL[model]
     kinds = dict(panel.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "series string, horizon int, q array<double>"])
 
@@ -321,16 +196,10 @@ def forecast(panel: DataFrame, model: str, by: list[str]) -> DataFrame:
         for s, j, v in zip(table["series"].to_pylist(), k, table["y"].to_pylist(), strict=True):
             wide[at[s], j] = np.nan if v is None else v
         seed = zlib.crc32("|".join([*(str(table[b][0].as_py()) for b in by), *names]).encode())
-        if pooled:
-            got = fit(wide, seed, (table["h"][0].as_py(),))
-        else:
-            one = fit(wide[0], seed)
-            got = None if one is None else one[None]
+        one = fit(wide[0], seed)
+        got = None if one is None else one[None]
         rows = [] if got is None else [(s, h + 1, got[i, h].tolist()) for i, s in enumerate(names) for h in range(HORIZONS) if not np.isnan(got[i, h]).any()]
         cols = {b: pa.array([table[b][0].as_py()] * len(rows), table.schema.field(b).type) for b in by}
         return pa.table({**cols, "series": pa.array([r[0] for r in rows], pa.string()), "horizon": pa.array([r[1] for r in rows], pa.int32()), "q": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
-    read = panel.select(*by, "series", "period", "y")
-    if pooled:
-        read = read.withColumn("h", F.explode(F.array(*map(F.lit, EVERY))))
-    return read.groupBy(*by, "h" if pooled else "series").applyInArrow(run, schema)
+    return panel.select(*by, "series", "period", "y").groupBy(*by, "series").applyInArrow(run, schema)
