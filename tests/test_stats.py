@@ -274,3 +274,27 @@ def test_adaptive_levels_by_series_match_a_plain_loop(spark):
                     assert abs(got[month(t), s].levels[i] - level) < 1e-9
                     assert abs(got[month(t), s].e[i] - np.quantile(pool, level)) < 1e-9
     assert len(got) > 200
+
+
+def test_normal_quantiles_and_uniforms(spark):
+    from statistics import NormalDist
+
+    u = [1e-6, 0.001, 0.02, 0.02425, 0.3, 0.5, 0.7, 0.9757, 0.99, 1 - 1e-6]
+    got = [r.z for r in spark.createDataFrame([(x,) for x in u], "u double").select(A.normal_quantile(F.col("u")).alias("z")).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(x) for x in u], abs=1e-7)
+    draws = lambda parts: spark.range(4000, numPartitions=parts).select("id", A.uniform(F.lit("k"), F.col("id")).alias("a"), A.uniform(F.lit("k"), F.col("id"), 1).alias("b")).orderBy("id").collect()
+    one = draws(1)
+    assert one == draws(9)
+    a, b = np.array([r.a for r in one]), np.array([r.b for r in one])
+    assert 0 < a.min() and a.max() < 1 and abs(a.mean() - 0.5) < 0.02 and abs(a.var() - 1 / 12) < 0.005 and abs(np.corrcoef(a, b)[0, 1]) < 0.05
+
+
+def test_occupied_beds_spread_as_admissions_and_coefficients_do(spark):
+    from tidemark.operators import decide as D
+
+    q = [float(np.exp(5 + 0.2 * z)) for z in A.Z]
+    f = spark.createDataFrame([("x", 7, q, 30)], "series string, org_code long, q array<double>, days int")
+    coefs = spark.createDataFrame([(7, 1.5, 0.1)], "org_code long, log_c double, s double")
+    logs = np.log(np.array(D.occupied_draws(f, coefs, ["series"], draws=4000).first().draws))
+    assert logs.mean() == pytest.approx(5 + 1.5 - np.log(30), abs=0.02) and logs.std() == pytest.approx(np.hypot(0.2, 0.1), abs=0.01)
+    assert np.allclose(logs, np.log(np.array(D.occupied_draws(f.repartition(5), coefs, ["series"], draws=4000).first().draws)))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import LEVELS, quantile_sorted
+from tidemark.functions.arrays import LEVELS, Z, normal_quantile, quantile_sorted, uniform
 from tidemark.functions.calendar import COVID
 
 WINDOW = 8
@@ -112,6 +112,30 @@ def quantile_between(q: Column, levels: Column, u: Column) -> Column:
     return a + (b - a) * (u - la) / (lb - la)
 
 
+def value_at(logs: Column, z: Column) -> Column:
+    """The value of a forecast at a standard normal score: the logs of its quantiles lie on lines over the
+    scores of their levels, the outermost of which go on into the tails."""
+    line = lambda i: F.element_at(logs, i + 1) + (F.element_at(logs, i + 2) - F.element_at(logs, i + 1)) / (Z[i + 1] - Z[i]) * (z - Z[i])
+    out = F.when(z < Z[1], line(0))
+    for i in range(1, len(Z) - 2):
+        out = out.when(z < Z[i + 1], line(i))
+    return F.exp(out.otherwise(line(len(Z) - 2)))
+
+
+def occupied_draws(forecasts: DataFrame, coefs: DataFrame, by: list[str], draws: int = 200, seed: int = 0) -> DataFrame:
+    """forecasts (by, org_code, q, days) with draws of occupied beds: a draw of admissions a day times one
+    of the bed days of an admission, whose log is normal around log_c with spread s.
+
+    Both come from hashes of (seed, by, draw): no state, no order, and the same after a lost executor.
+    """
+    key = F.concat_ws("|", F.lit(str(seed)), *(F.col(b).cast("string") for b in by))
+    j = forecasts.join(coefs.select("org_code", "log_c", "s"), "org_code").withColumn("_l", F.transform("q", lambda v: F.log(F.greatest(v, F.lit(1e-9))))).withColumn("_k", key)
+    # a lambda's variable stands for each number, as an expression would be written out at every use
+    scores = lambda which: F.transform(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: uniform(F.col("_k"), k, which)), normal_quantile)
+    beds = F.zip_with(scores(0), scores(1), lambda z, e: F.exp(F.col("log_c") + F.col("s") * e) * value_at(F.col("_l"), z) / F.col("days"))
+    return j.withColumn("draws", beds).drop("_l", "_k")
+
+
 def breaches(occ: DataFrame, by: list[str]) -> DataFrame:
     """occ: by, draws (occupied beds), beds. Probability over the threshold, and what to open."""
     over = F.aggregate("draws", F.lit(0), lambda a, x: a + (x > THRESHOLD * F.col("beds")).cast("int"))

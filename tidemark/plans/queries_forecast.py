@@ -570,6 +570,57 @@ def breach_table(spark, d):
     return rounded(D.breaches(occ, KEYS))
 
 
+def _sql_polynomial(x: str, powers: tuple[float, ...]) -> str:
+    out = f"{powers[0]!r}::DOUBLE"
+    for c in powers[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _sql_normal(u: str) -> str:
+    tail = lambda t: f"{_sql_polynomial(t, A.NORMAL_TAIL)} / {_sql_polynomial(t, A.NORMAL_TAIL_BELOW)}"
+    d = f"({u} - 0.5)"
+    return f"CASE WHEN {u} < {A.NORMAL_LOW} THEN {tail(f'sqrt(-2 * ln({u}))')} WHEN {u} > {1 - A.NORMAL_LOW!r}::DOUBLE THEN -({tail(f'sqrt(-2 * ln(1 - {u}))')}) ELSE {d} * {_sql_polynomial(f'({d} * {d})', A.NORMAL_MIDDLE)} / {_sql_polynomial(f'({d} * {d})', A.NORMAL_MIDDLE_BELOW)} END"
+
+
+def _sql_line(i: int) -> str:
+    return f"l[{i + 1}] + (l[{i + 2}] - l[{i + 1}]) / {A.Z[i + 1] - A.Z[i]!r}::DOUBLE * (z1[k] - ({A.Z[i]!r})::DOUBLE)"
+
+
+_value = f"exp(CASE {' '.join(f'WHEN z1[k] < ({A.Z[i + 1]!r})::DOUBLE THEN {_sql_line(i)}' for i in range(7))} ELSE {_sql_line(7)} END)"
+_bits = "list_transform(range(1, 201), lambda k: (CAST('0x' || substr(md5(key || '|' || k), {at}, 13) AS BIGINT) + 0.5) / 4503599627370496::DOUBLE)"
+SQL_COEFS = """j AS (SELECT us.*, adm, days FROM us JOIN adm USING (org_code, quarter)),
+ m AS (SELECT *, CASE WHEN abs(ln(available) - lag(ln(available)) OVER w) > ln(3) THEN 1 ELSE 0 END AS brk FROM j WINDOW w AS (PARTITION BY org_code ORDER BY quarter)),
+ g2 AS (SELECT *, sum(brk) OVER (PARTITION BY org_code ORDER BY quarter) AS seg FROM m), z0 AS (SELECT *, max(seg) OVER (PARTITION BY org_code) AS last, row_number() OVER (PARTITION BY org_code ORDER BY quarter DESC) AS k FROM g2),
+ ow AS (SELECT org_code, avg(ln(occupied * days / adm)) AS ybar, var_samp(ln(occupied * days / adm)) AS s2, count(*) AS n FROM z0 WHERE seg = last AND k <= 8 GROUP BY ALL),
+ po AS (SELECT sum((greatest(n - 1, 0) + 1e-9) * coalesce(s2, 0)) / sum(greatest(n - 1, 0) + 1e-9) AS s2p, sum(n * ybar) / sum(n) AS mu, var_samp(ybar) AS vy, avg(1 / n) AS inv FROM ow),
+ ta AS (SELECT *, greatest(coalesce(vy, 0) - s2p * inv, 1e-6) AS tau2 FROM po),
+ co AS (SELECT org_code, tau2 / (tau2 + s2p / n) * ybar + (1 - tau2 / (tau2 + s2p / n)) * mu AS log_c, sqrt((greatest(n - 1, 0) * coalesce(s2, 0) + 4 * s2p) / (greatest(n - 1, 0) + 4)) AS s FROM ow, ta)"""
+
+
+@query(f"""{W}, {SQL_Y}, {SQL_B0}, {Q_ADM}, {SQL_US}, {SQL_COEFS}, lb AS (SELECT org_code, arg_max(available, quarter) AS beds FROM us GROUP BY ALL),
+ sf AS (SELECT fc.origin, fc.target, fc.series, fc.horizon, fc.period, q, log_c, s, beds, datediff('day', fc.period, CAST(fc.period + INTERVAL 1 MONTH AS DATE)) AS days, concat_ws('|', '0', fc.origin, fc.target, fc.series, fc.horizon, fc.period) AS key
+   FROM fc JOIN co ON fc.series = 'NATION_' || co.org_code JOIN lb ON lb.org_code = co.org_code WHERE q IS NOT NULL AND target = 'all'),
+ su AS (SELECT *, list_transform(q, lambda v: ln(greatest(v, 1e-9))) AS l, {_bits.format(at=1)} AS u1, {_bits.format(at=14)} AS u2 FROM sf),
+ sz AS (SELECT *, list_transform(u1, lambda u: {_sql_normal('u')}) AS z1, list_transform(u2, lambda u: {_sql_normal('u')}) AS z2 FROM su),
+ w AS (SELECT *, list_sort(list_transform(range(1, 201), lambda k: exp(log_c + s * z2[k]) * {_value} / days)) AS w FROM sz),
+ p AS (SELECT *, len(list_filter(w, lambda x: x > 0.92 * beds)) / 200 AS p, w[160] + (w[161] - w[160]) * 0.2::DOUBLE AS hi FROM w)
+ SELECT origin, target, series, horizon, period, round(w[100], 4) AS low_median, round(p, 6) AS p_breach, CAST(greatest(ceil(round(hi / 0.92 - beds, 6)), 0) AS BIGINT) AS extra_beds, p > 0.1 AS call_10, p > 0.25 AS call_25, p > 0.5 AS call_50 FROM p""")
+def simulated_breaches(spark, d):
+    """Occupied beds simulated from forecasts of admissions and the shrunk coefficients, against the
+    latest beds of each organisation."""
+    import math
+
+    known = cut(D.usable(T.beds(spark, d), "2001-01-01"))
+    coefs = D.coefficients(D.after_breaks(known.join(adm(spark, d), ["org_code", "quarter"]), ("available",), math.log(3)))
+    latest = known.groupBy("org_code").agg(F.max_by("available", "quarter").alias("beds"))
+    f = forecasts(spark, d).where("q is not null and target = 'all' and series like 'NATION\\_%'")
+    f = f.select(*KEYS, "q", F.substring_index("series", "_", -1).cast("long").alias("org_code"), F.datediff(F.add_months("period", 1), "period").alias("days"))
+    occ = D.occupied_draws(f.join(latest, "org_code"), coefs, KEYS)
+    median = F.element_at(F.array_sort("draws"), 100)
+    return rounded(D.breaches(occ.withColumn("low_median", F.round(median, 4)), [*KEYS, "low_median"]))
+
+
 @query(f"{W}, {SQL_SCORED} SELECT round(avg(CASE WHEN p > 0.25 THEN 0.25 WHEN event THEN 1 ELSE 0 END), 6) AS expense, round(avg((p - CAST(event AS INT)) * (p - CAST(event AS INT))), 6) AS brier, count(*) AS n FROM (SELECT CASE WHEN q[7] > 1.1 * point THEN 0.3 ELSE 0.05 END AS p, y > 1.1 * point AS event FROM s)")
 def cost_loss(spark, d):
     s = scored(spark, d).select(F.when(A.at("q", 0.9) > 1.1 * F.col("point"), 0.3).otherwise(0.05).alias("p"), (F.col("y") > 1.1 * F.col("point")).alias("event"))
