@@ -298,3 +298,20 @@ def test_occupied_beds_spread_as_admissions_and_coefficients_do(spark):
     logs = np.log(np.array(D.occupied_draws(f, coefs, ["series"], draws=4000).first().draws))
     assert logs.mean() == pytest.approx(5 + 1.5 - np.log(30), abs=0.02) and logs.std() == pytest.approx(np.hypot(0.2, 0.1), abs=0.01)
     assert np.allclose(logs, np.log(np.array(D.occupied_draws(f.repartition(5), coefs, ["series"], draws=4000).first().draws)))
+
+
+def test_least_squares_equals_lstsq(spark):
+    from tidemark.operators import seasonal as S
+
+    rng = np.random.default_rng(5)
+    rows = [(g, dt.date(2000 + i // 12, i % 12 + 1, 1), None if i == 7 else float(rng.normal(3, 1) + (i % 12) * 0.1)) for g, n in (("a", 61), ("b", 24), ("short", 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, period date, y double").repartition(3)
+    for x in ([F.lit(1.0), *S.fourier("period", 6)], [F.lit(1.0), *S.month_contrasts("period")], [F.lit(1.0)]):
+        got = {r.g: r for r in S.least_squares(df, ["g"], x, F.col("y")).collect()}
+        values = df.where("y is not null").select("g", F.array(*(c.cast("double") for c in x)).alias("x"), "y").collect()
+        for g in ("a", "b", "short"):
+            a, y = np.array([r.x for r in values if r.g == g]), np.array([r.y for r in values if r.g == g])
+            want = np.linalg.lstsq(a, y, rcond=None)[0]
+            assert got[g].n == len(y) and np.allclose(got[g].b, want, atol=1e-6) and got[g].sse == pytest.approx(((y - a @ want) ** 2).sum(), abs=1e-6)
+    december = [r.x for r in df.where(F.month("period") == 12).select(F.array(*S.month_contrasts("period")).alias("x")).collect()]
+    assert all(x == [-1.0] * 11 for x in december)

@@ -9,7 +9,7 @@ from tidemark.functions.calendar import second_thursday
 from tidemark.operators import calibrate as C
 from tidemark.operators import decide as D
 from tidemark.operators import panel as P
-from tidemark.operators import quality, reconcile, score, stats
+from tidemark.operators import quality, reconcile, score, seasonal, stats
 from tidemark.operators import vintage as V
 from tidemark.plans import testbed as T
 from tidemark.plans.queries_vintage import SQL_FINAL, SQL_FR, SQL_TARGETS, W, targets_now
@@ -131,6 +131,18 @@ def seasonal_profile(spark, d):
     return rounded(P.seasonal_profile(panel_now(spark, d), BY))
 
 
+@query(f"""{W}, {SQL_PANEL}, x AS (SELECT target, series, sin(month(period) * {2 * 3.141592653589793 / 12!r}::DOUBLE) AS s, cos(month(period) * {2 * 3.141592653589793 / 12!r}::DOUBLE) AS c, ln(y) AS l FROM panel WHERE y > 0),
+ u AS (SELECT target, series, count(*) AS n, sum(s) AS s1, sum(c) AS c1, sum(s * s) AS ss, sum(c * c) AS cc, sum(s * c) AS sc, sum(l) AS l1, sum(s * l) AS sl, sum(c * l) AS cl FROM x GROUP BY ALL HAVING count(*) >= 12),
+ v AS (SELECT *, n * (ss * cc - sc * sc) - s1 * (s1 * cc - sc * c1) + c1 * (s1 * sc - ss * c1) AS det FROM u)
+ SELECT target, series, n, round((l1 * (ss * cc - sc * sc) - s1 * (sl * cc - sc * cl) + c1 * (sl * sc - ss * cl)) / det, 6) AS mean,
+   round((n * (sl * cc - sc * cl) - l1 * (s1 * cc - sc * c1) + c1 * (s1 * cl - sl * c1)) / det, 6) AS b_sin, round((n * (ss * cl - sl * sc) - s1 * (s1 * cl - sl * c1) + l1 * (s1 * sc - ss * c1)) / det, 6) AS b_cos FROM v""")
+def seasonal_harmonic(spark, d):
+    """The first harmonic of each series' logs by least squares."""
+    p = panel_now(spark, d).where("y > 0")
+    fit = seasonal.least_squares(p, BY, [F.lit(1.0), *seasonal.fourier("period", 1)], F.log("y")).where("n >= 12")
+    return rounded(fit.select(*BY, "n", F.get("b", 0).alias("mean"), F.get("b", 1).alias("b_sin"), F.get("b", 2).alias("b_cos")))
+
+
 GSER = "PARTITION BY origin, target, series ORDER BY period"
 SQL_GP = f"""g AS (SELECT origin, period, org_code, metric, arg_max_null(value, version) AS value FROM vint, {SQL_ORIGINS}
    WHERE snapshot <= {T.sql_thursday('origin')} AND period <= CAST(origin - INTERVAL 1 MONTH AS DATE) GROUP BY ALL),
