@@ -411,14 +411,15 @@ SQL_ADAPTIVE = f"""ai AS (SELECT cs.target, cs.horizon, cs.series, cs.origin, cs
 
 
 @query(f"""{W.replace('WITH ', 'WITH RECURSIVE ', 1)}, {SQL_POOL}, {SQL_ADAPTIVE}
- SELECT origin, target, horizon, series, list(round(level, 6) ORDER BY i) AS levels, list(round(pool[lo + 1] + (pool[least(lo + 2, n)] - pool[lo + 1]) * (level * (n - 1) - lo), 6) ORDER BY i) AS e FROM aw GROUP BY ALL""")
+ SELECT origin, target, horizon, series, {', '.join(f'max(CASE WHEN i = {i} THEN round(level, 6) END) AS level{i}, max(CASE WHEN i = {i} THEN round(pool[lo + 1] + (pool[least(lo + 2, n)] - pool[lo + 1]) * (level * (n - 1) - lo), 6) END) AS e{i}' for i in (1, 2, 3, 4))} FROM aw GROUP BY ALL""")
 def adaptive_conformal_levels(spark, d):
     """Levels of every series, and the widenings that they give within the pools."""
     s = cut(conformal_scores(spark, d))
     o = T.months(spark, FIRST, LAST)
     pools = cut(C.ranked_pools(s, o, ["target"]))
     levels = C.adaptive_levels(s, pools, o, ["target"])
-    return rounded(C.adaptive_widths(levels, pools, ["target"]))
+    w = C.adaptive_widths(levels, pools, ["target"])
+    return rounded(w.select("origin", "target", "horizon", "series", *(F.element_at(c, i).alias(f"{name}{i}") for i in (1, 2, 3, 4) for c, name in (("levels", "level"), ("e", "e")))))
 
 
 @query(None)
