@@ -47,14 +47,9 @@ POOL_CELLS = 256
 
 
 def _rank_of(counts: np.ndarray, edges: np.ndarray, s: float) -> float:
-    """The level at which a histogram of scores first reaches s, between its edges by interpolation."""
+    """The share of a histogram's scores up to s; those in the cell of s count as up to it, as ties do."""
     cell = int(np.searchsorted(edges, s, side="right")) - 1
-    if cell < 0:
-        return 0.0
-    if cell >= len(counts):
-        return 1.0
-    inside = (s - edges[cell]) / (edges[cell + 1] - edges[cell])
-    return float((counts[:cell].sum() + inside * counts[cell]) / counts.sum())
+    return float(counts[: min(cell, len(counts) - 1) + 1].sum() / counts.sum())
 
 
 def _with_score(counts: np.ndarray, edges: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray]:
