@@ -9,7 +9,7 @@ from tidemark.functions.calendar import second_thursday
 from tidemark.operators import calibrate as C
 from tidemark.operators import decide as D
 from tidemark.operators import panel as P
-from tidemark.operators import quality, reconcile, score, seasonal, stats
+from tidemark.operators import copula, quality, reconcile, score, seasonal, stats
 from tidemark.operators import vintage as V
 from tidemark.plans import testbed as T
 from tidemark.plans.queries_vintage import SQL_FINAL, SQL_FR, SQL_TARGETS, W, targets_now
@@ -495,6 +495,29 @@ def reconciled_forecasts(spark, d):
     return rounded(out.select("target", "horizon", "origin", "series", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
 
 
+SQL_INNOVATIONS = f"""ch AS (SELECT target, series, period, round(ln(CASE WHEN y > 0 THEN y END) - lag(ln(CASE WHEN y > 0 THEN y END)) OVER ({SER}), 9) AS c FROM panel),
+ rk AS (SELECT *, rank() OVER (PARTITION BY target, series ORDER BY c) + (count(*) OVER (PARTITION BY target, series, c) - 1) / 2 AS k FROM ch WHERE c IS NOT NULL),
+ pc AS (SELECT x.target, x.series AS a, z.series AS b, count(*) AS n, corr(x.k, z.k) AS rho FROM rk x JOIN rk z ON x.target = z.target AND x.period = z.period AND x.series < z.series GROUP BY ALL)"""
+
+
+@query(f"{W}, {SQL_PANEL}, {SQL_INNOVATIONS} SELECT target, a, b, n, round(CASE WHEN n >= {copula.LEAST} AND NOT isnan(rho) THEN rho END, 6) AS rho, round(coalesce(CASE WHEN n >= {copula.LEAST} AND NOT isnan(rho) THEN {(1 - copula.SHRINK) * 2!r}::DOUBLE * sin(rho * {3.141592653589793 / 6!r}::DOUBLE) END, 0), 6) AS r FROM pc")
+def innovation_correlations(spark, d):
+    """How the groups' monthly changes move together, by target."""
+    return rounded(copula.correlations(copula.changes(panel_now(spark, d), BY[:1]), BY[:1]))
+
+
+@query(None)
+def coupled_totals(spark, d):
+    """Totals by region of draws that move together as the groups did up to each origin."""
+    p = panels_cut(spark, d)
+    by = ["origin", "target"]
+    matrix = copula.matrices(copula.correlations(copula.changes(p, by), by), by)
+    draws = copula.coupled_draws(forecasts(spark, d, p), matrix, by, ["origin", "target", "horizon"])
+    regions = T.hierarchy(spark, d).select(F.col("group_code").alias("series"), "region").distinct()
+    out = C.aggregate_draws(draws.join(regions, "series"), ["origin", "target", "horizon", "region"])
+    return rounded(out.select("origin", "target", "horizon", "region", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
+
+
 @query(f"{W}, {SQL_B0} SELECT target, count(*) AS rows, count(*) FILTER (WHERE q IS NULL) AS missing, count(*) FILTER (WHERE list_min(q) < 0) AS negative, count(*) FILTER (WHERE q <> list_sort(q)) AS crossed, count(*) FILTER (WHERE list_max(q) = 0) AS all_zero, count(*) FILTER (WHERE period <> CAST(origin + to_months(CAST(horizon - 1 AS INT)) AS DATE)) AS wrong_period, 0 AS duplicated FROM fc GROUP BY ALL")
 def forecast_checks(spark, d):
     out = quality.forecast_checks(forecasts(spark, d), ["target"], KEYS)
