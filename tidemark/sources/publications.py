@@ -70,8 +70,8 @@ def workbook_rows(content: bytes, preferred: tuple[str, ...] = (), pattern: str
     return name, [r + [""] * (wide - len(r)) for r in rows]
 
 
-def read_cells(spark: SparkSession, path: str, preferred: tuple[str, ...] = (), pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows of cells, failures) of all files under a path."""
+def read_cells(spark: SparkSession, path: str | list[str], preferred: tuple[str, ...] = (), pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of cells, failures) of all files under a path, or of a list of files."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
