@@ -236,3 +236,25 @@ def validation_report(spark, d):
 def latest_label(spark, d):
     v = T.vintages(spark, d).join(T.hierarchy(spark, d), "org_code")
     return v.groupBy("org_code").agg(F.max_by("group_code", "period").alias("label"), F.max("period").alias("latest_period"))
+
+
+@query(f"WITH {T.SQL_VINT} SELECT period, CAST(org_code AS VARCHAR) AS org_code, metric, CAST(row_number() OVER (PARTITION BY period, org_code, metric ORDER BY snapshot) AS INT) AS version, value, snapshot, value = last_value(value) OVER (PARTITION BY period, org_code, metric ORDER BY snapshot ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS is_latest FROM vint")
+def incremental_vintages(spark, d):
+    """All versions, kept up by three deliveries out of order, the last with a part of the first again; is_latest
+    by the view that was kept up beside them."""
+    from tidemark.session import cut, scratch
+    from tidemark.sources import stores
+
+    folder = scratch(spark, "vintages")
+    v = cut(T.vintages(spark, d).select("period", F.col("org_code").cast("string").alias("org_code"), "metric", "version", F.col("value").cast("double").alias("value"), "snapshot"))
+    due = F.pmod(F.month("snapshot"), F.lit(3))
+    w = V.Window.partitionBy(*stores.KEY).orderBy("snapshot")
+    first = v.where(due == 0).withColumn("version", F.row_number().over(w))
+    # the first delivery was wrong in some months, which the last one gives again
+    stores.write_vintages(first.withColumn("value", F.col("value") + F.when(F.month("snapshot") == 6, 1).otherwise(0)), folder)
+    for part in (due == 1, (due == 2) | (F.month("snapshot") == 6)):
+        rows = v.where(part)
+        stores.merge_vintages(spark, rows.select(*stores.KEY, "value", "snapshot"), rows.select("period", "snapshot").distinct(), folder)
+    last = spark.read.schema(stores.LATEST).parquet(f"{folder}/latest").select(*stores.KEY, F.col("value").alias("_last"))
+    kept = spark.read.schema(stores.ALL).parquet(f"{folder}/all").join(last, stores.KEY)
+    return kept.select(*stores.KEY, "version", "value", "snapshot", (F.col("value") == F.col("_last")).alias("is_latest"))
