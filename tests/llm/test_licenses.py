@@ -68,3 +68,29 @@ def test_long_expressions_are_read_to_the_end_of_the_line(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in lic.scan(df).collect():
         assert (r.labels, r.score) == ("apache,gpl", 0.2) and r.expressions.count("Apache") == 900
+
+
+@pytest.mark.parametrize(
+    ("identifier", "read"),
+    [
+        ("GPL-2.0+", ("gpl", "2.0", "or-later")), ("GPL-2.0-only", ("gpl", "2.0", "only")), ("gpl-3.0-or-later", ("gpl", "3.0", "or-later")), ("GPLv3+", ("gpl", "3", "or-later")),
+        ("CC-BY-4.0", ("cc-by", "4.0", "")), ("CC-BY-NC-4.0", ("cc-by-nc", "4.0", "")), ("CC-BY-ND-3.0", ("cc-by-nd", "3.0", "")), ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd", "4.0", "")), ("CC-BY-SA-4.0", ("cc-by-sa", "4.0", "")),
+        ("MIT", ("mit", "", "")), ("MITNFA", ("other", "", "")), ("MIT-0", ("public-domain", "", "")), ("ISC", ("isc", "", "")), ("EPL-2.0", ("epl", "2.0", "")), ("Zlib", ("zlib", "", "")), ("EUPL-1.2", ("eupl", "1.2", "")),
+        ("BSD-3-Clause", ("bsd", "", "")), ("0BSD", ("bsd", "", "")), ("X11", ("mit", "", "")), ("CC0-1.0", ("public-domain", "1.0", "")), ("BUSL-1.1", ("busl", "1.1", "")), ("BSL-1.0", ("boost", "1.0", "")),
+        ("LicenseRef-house", ("proprietary", "", "")), ("DocumentRef-x:LicenseRef-y", ("proprietary", "", "")), ("2.0", ("other", "", "")), ("Foo-1.0", ("other", "1.0", "")),
+    ],
+)
+def test_identifiers(identifier, read):
+    assert lic.read_identifier(identifier) == read
+
+
+def test_every_label_has_a_value():
+    assert {*lic.BASE.values(), *lic.NOTICES.values(), *lic.FAMILIES, "other", "unparsed", "exception"} == set(lic.FREEDOM)
+
+
+def test_the_longer_notice_counts(spark):
+    texts = ["Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution 4.0", "GNU Lesser General Public License", "SPDX-License-Identifier: GPL-2.0+ OR (MIT AND ISC)", "Creative Commons Attribution. creative commons attribution noderivs"]
+    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(5)] == ["cc-by-nc", "cc-by", "gpl,lgpl", "isc,mit", "cc-by,cc-by-nd"]
+    assert got[3].grants == "gpl 2.0 or-later,isc,mit" and got[0].grants == "" and got[0].score == 0.2
+    assert (got[2].n_base, got[2].first_word) == (1, 2)
