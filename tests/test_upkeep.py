@@ -1,11 +1,14 @@
 """Increments of the archive against one build of it all, and sealed tables whose writing was cut short."""
 
+import datetime
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 from test_sources import IDS, RULES
 
+from tidemark.sources import archive as A
 from tidemark.sources import build as B
 from tidemark.sources import publications as P
 from tidemark.sources import stores
@@ -91,3 +94,34 @@ def test_a_put_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch, step
         s.put("t", table)
     s.put("u", table)
     assert {r.name for r in s.records().collect()} == {"t", "u"}
+
+
+def fetched(spark, rows):
+    made = [(u, n, datetime.datetime(2021, 1, 1) + datetime.timedelta(hours=h), None if c is None else bytearray(c.encode())) for u, n, h, c in rows]
+    return spark.createDataFrame(made, "url string, filename string, fetched timestamp, content binary")
+
+
+def test_bytes_are_kept_once(spark, tmp_path, monkeypatch):
+    folder, sha = str(tmp_path / "archive"), lambda c: hashlib.sha256(c.encode()).hexdigest()
+    names = lambda: {r.name: bytes(r.content).decode() for r in A.contents(spark, folder).collect()}
+    files = lambda: sorted((tmp_path / "archive").rglob("*.parquet"))
+    one = fetched(spark, [("u1", "a.csv", 1, "x"), ("u2", "b.csv", 2, "x"), ("u3", "a.csv", 3, "y"), ("u4", None, 4, "z"), (None, "c", 5, None)])
+    assert A.keep(spark, one, folder) == 3
+    assert names() == {"a.csv": "x", f"a-{sha('y')[:12]}.csv": "y", "unnamed": "z"}
+    log = {(r.url, r.fetched.hour): r for r in A.fetches(spark, folder).collect()}
+    assert [log["u2", 2][c] for c in ("sha256", "name", "bytes", "is_new", "error")] == [sha("x"), "a.csv", 1, False, None]
+    assert log["u1", 1].is_new and log["", 5].error == "no content" and log["", 5].sha256 is None
+    before = {p: p.stat().st_mtime_ns for p in files() if p.stat().st_size}
+    assert A.keep(spark, one, folder) == 0 and A.fetches(spark, folder).count() == 5
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    # lost between bodies and log
+    two = fetched(spark, [("u1", "a.csv", 9, "w"), ("u5", "d.tar", 9, "x"), ("u6", "unnamed", 9, "v")])
+    with monkeypatch.context() as m:
+        inner = A.contents
+        calls = iter([True])
+        m.setattr(A, "contents", lambda *a: inner(*a) if next(calls, False) else (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            A.keep(spark, two, folder)
+    assert A.keep(spark, two, folder) == 0
+    assert names() == {"a.csv": "x", f"a-{sha('y')[:12]}.csv": "y", "unnamed": "z", f"a-{sha('w')[:12]}.csv": "w", f"unnamed-{sha('v')[:12]}": "v"}
+    assert A.fetches(spark, folder).count() == 8 and A.contents(spark, folder).count() == 5

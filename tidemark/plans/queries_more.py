@@ -139,3 +139,24 @@ def coherent_draws(spark, d):
     s = T.table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("grp"), draws.alias("draws"))
     out = C.aggregate_draws(s, ["grp"])
     return rounded(out.select("grp", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
+
+
+@query("""WITH f AS (SELECT page_id % 2 AS batch, page_id AS secs, url, html FROM pages UNION ALL SELECT 1, page_id + 1000000000, url || '?again', html FROM pages WHERE page_id % 3 = 0),
+ n AS (SELECT batch, secs, coalesce(url, '') AS url, coalesce(nullif(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1), ''), 'unnamed') AS filename, sha256(html) AS sha, CAST(strlen(html) AS BIGINT) AS bytes FROM f),
+ o AS (SELECT *, sha IS NOT NULL AND row_number() OVER (PARTITION BY sha ORDER BY batch, secs, url) = 1 AS is_new FROM n),
+ k AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY batch, secs, url) AS place, regexp_extract(filename, '(\\.[A-Za-z0-9]+)$', 1) AS ext FROM o WHERE is_new),
+ m AS (SELECT sha, CASE WHEN place = 1 THEN filename ELSE left(filename, length(filename) - length(ext)) || '-' || left(sha, 12) || ext END AS name FROM k)
+ SELECT url, filename, o.sha AS sha256, name, bytes, is_new FROM o LEFT JOIN m ON m.sha = o.sha""")
+def kept_once(spark, d):
+    """Pages fetched in two rounds, a third of them twice: each body kept once, under a name of its own."""
+    from tidemark.session import scratch
+    from tidemark.sources import archive
+
+    folder = scratch(spark, "archive")
+    pages = T.table(spark, d, "pages").select("page_id", "url", F.col("html").cast("binary").alias("content"))
+    again = pages.where("page_id % 3 = 0").select(F.lit(1).alias("batch"), F.col("page_id") + 1000000000, F.concat("url", F.lit("?again")), "content")
+    both = pages.select((F.col("page_id") % 2).cast("int").alias("batch"), F.col("page_id").alias("at"), "url", "content").union(again)
+    named = both.select("batch", "url", F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1).alias("filename"), F.timestamp_seconds("at").alias("fetched"), "content")
+    for batch in (0, 1):
+        archive.keep(spark, named.where(F.col("batch") == batch).drop("batch"), folder)
+    return archive.fetches(spark, folder).select("url", "filename", "sha256", "name", "bytes", "is_new")
