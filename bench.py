@@ -16,6 +16,7 @@ HEADLINE = [
     "asof_region_revisions", "asof_grid", "truth_all_levels", "first_release", "training_leakage", "change_components", "revision_audit",
     "panel_features", "seasonal_naive_backtest", "score_summary", "pooled_conformal_widths", "calibrated_forecasts", "two_way_bootstrap",
     "reconciled_forecasts", "reconstruction_validation", "canonical_codes", "table_hashes",
+    "rolling_ets", "rolling_stl_arima",
 ]
 
 

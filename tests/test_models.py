@@ -22,6 +22,35 @@ def test_local_models_follow_a_seasonal_trend(fit):
     assert ((y[84:] >= q[:, 0] - 30) & (y[84:] <= q[:, -1] + 30)).all()
 
 
+@pytest.mark.parametrize("model", ["ets", "stl_arima"])
+def test_rolling_fits_see_each_origin_alone(spark, model):
+    import datetime
+
+    y = series(90)
+    day = lambda i: datetime.date(2000 + i // 12, i % 12 + 1, 1)
+    rows = [("a", s, day(o), day(i), float(y[i] * k + (5 if i == o - 1 else 0))) for s, k in (("x", 1), ("z", 3)) for o in (70, 74, 78, 84) for i in range(o)]
+    rows += [("a", "short", day(84), day(i), 1.0) for i in range(70, 84)]
+    panels = spark.createDataFrame(rows, "target string, series string, origin date, period date, y double")
+    got = M.rolling(panels, model, ["target"]).collect()
+    assert {(r.series, r.origin, r.horizon) for r in got} == {(s, day(o), h) for s in "xz" for o in (70, 74, 78, 84) for h in range(1, 7)}
+    assert sorted(map(repr, got)) == sorted(map(repr, M.rolling(panels.repartition(5), model, ["target"]).collect()))
+    of = {(r.series, r.origin, r.horizon): r.q for r in got}
+    gaps = [abs(of["x", day(o), h][4] - y[o + h - 1]) for o in (70, 74, 78, 84) for h in range(1, 7)]
+    assert np.mean(gaps) < 60 and all(sorted(q) == q and q[0] >= 0 for q in of.values())
+    # what later origins know changes nothing before them
+    early = M.rolling(panels.where(f"origin <= '{day(74)}'"), model, ["target"]).collect()
+    assert all(of[r.series, r.origin, r.horizon] == r.q for r in early)
+
+
+def test_fits_near_known_ones_are_as_good():
+    y = series(84)
+    known: dict = {}
+    M.ets(y[:80], 1, known)
+    assert set(known) == {(m, d) for m in (False, True) for d in (False, True)}
+    near, whole = M.ets(y, 2, known), M.ets(y, 2)
+    assert np.abs(near[:, 4] - whole[:, 4]).max() < 25
+
+
 def test_local_models_refuse_what_they_cannot_fit():
     y = series()
     y[-1] = np.nan

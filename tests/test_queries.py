@@ -35,6 +35,9 @@ def holds(name, rows):
         return all(r.lo <= r.mid <= r.hi and r.lo >= 0 for r in rows if r.mid is not None) and len(rows) == len({(r.target, r.horizon, r.origin, r.series) for r in rows}) and len(groups) > 1
     if name == "coupled_totals":
         return all(0 <= r.lo <= r.mid <= r.hi for r in rows) and {r.horizon for r in rows} == set(range(1, 7)) and len(rows) == len({(r.origin, r.target, r.horizon, r.region) for r in rows})
+    if name.startswith("rolling_"):
+        keys = {(r.origin, r.target, r.series, r.horizon) for r in rows}
+        return len(keys) == len(rows) and len({r.origin for r in rows}) == 36 and {r.horizon for r in rows} == set(range(1, 7)) and all(0 <= r.lo <= r.mid <= r.hi for r in rows)
     if name.startswith("model_"):
         return len({r.target for r in rows}) == 3 and {r.horizon for r in rows} == set(range(1, 7)) and all(0 <= r.lo <= r.mid <= r.hi for r in rows if r.mid is not None)
     if name == "two_way_bootstrap":

@@ -21,6 +21,7 @@ HORIZONS = 6
 SEASON = 12
 PATHS = 1000
 MIN_OBS = 30
+NEAR = 60
 
 
 def fill(y: np.ndarray) -> np.ndarray | None:
@@ -60,9 +61,13 @@ def _smooth(y: np.ndarray, p: np.ndarray, multiplicative: bool) -> tuple[np.ndar
     return errors, level, trend, season
 
 
-def ets(y: np.ndarray, seed: int) -> np.ndarray | None:
+def ets(y: np.ndarray, seed: int, known: dict | None = None) -> np.ndarray | None:
     """Seasonal exponential smoothing: additive or multiplicative, with or without damped trend;
-    parameters by a seeded search, the model by AICc, quantiles from simulated paths."""
+    parameters by a seeded search, the model by AICc, quantiles from simulated paths.
+
+    known: parameters of the fits of an earlier origin, around which a short search begins; those of this fit
+    take their place.
+    """
     y = fill(y)
     if y is None or len(y) < 2 * SEASON + 6:
         return None
@@ -72,17 +77,27 @@ def ets(y: np.ndarray, seed: int) -> np.ndarray | None:
         if mult and (y <= 0).any():
             continue
         for damped in (False, True):
-            p = np.column_stack([rng.uniform(0.01, 0.9, 200), rng.uniform(0.001, 0.3, 200) * damped, rng.uniform(0.001, 0.4, 200), rng.uniform(0.8, 0.98, 200) if damped else np.ones(200)])
-            for _ in range(2):
+            width = np.array([0.1, 0.05 * damped, 0.05, 0.03 * damped])
+            low, high = [0.005, 0, 0, 0.8 if damped else 1], [0.99, 0.5 * damped, 0.6, 0.98 if damped else 1]
+            start = None if known is None else known.get((mult, damped))
+            if start is None:
+                p = np.column_stack([rng.uniform(0.01, 0.9, 200), rng.uniform(0.001, 0.3, 200) * damped, rng.uniform(0.001, 0.4, 200), rng.uniform(0.8, 0.98, 200) if damped else np.ones(200)])
+            else:
+                p = np.clip(start + np.vstack([np.zeros(4), rng.normal(0, 1, (NEAR, 4))]) * width, low, high)
+            mine = None
+            for _ in range(2 if start is None else 1):
                 errors, *state = _smooth(y, p, mult)
                 raw = errors * (np.abs(y) if mult else 1.0)
                 sse = np.nansum(raw[:, SEASON:] ** 2, 1)
                 i = int(np.nanargmin(sse))
                 score = _aicc(sse[i], len(y) - SEASON, 4 + 2 * damped)
+                if mine is None or score < mine[0]:
+                    mine = (score, p[i])
                 if best is None or score < best[0]:
                     best = (score, mult, p[i], errors[i, SEASON:], [s[i] for s in state])
-                width = np.array([0.1, 0.05 * damped, 0.05, 0.03 * damped])
-                p = np.clip(p[i] + rng.normal(0, 1, p.shape) * width, [0.005, 0, 0, 0.8 if damped else 1], [0.99, 0.5 * damped, 0.6, 0.98 if damped else 1])
+                p = np.clip(p[i] + rng.normal(0, 1, p.shape) * width, low, high)
+            if known is not None:
+                known[mult, damped] = mine[1]
     _, mult, (a, b, g, phi), errors, (level, trend, season) = best
     sd = errors.std(ddof=1)
     level, trend = np.full(PATHS, level), np.full(PATHS, trend)
@@ -141,8 +156,9 @@ def _arma(d: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return e
 
 
-def stl_arima(y: np.ndarray, seed: int) -> np.ndarray | None:
-    """Seasonally adjusted ARIMA of four small orders by AICc, with Gaussian quantiles."""
+def stl_arima(y: np.ndarray, seed: int, known: dict | None = None) -> np.ndarray | None:
+    """Seasonally adjusted ARIMA of four small orders by AICc, with Gaussian quantiles. Parameters lie on a grid
+    that is gone through whole, so fits of earlier origins are of no use to it."""
     y = fill(y)
     if y is None:
         return None
@@ -203,3 +219,36 @@ def forecast(panel: DataFrame, model: str, by: list[str]) -> DataFrame:
         return pa.table({**cols, "series": pa.array([r[0] for r in rows], pa.string()), "horizon": pa.array([r[1] for r in rows], pa.int32()), "q": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
     return panel.select(*by, "series", "period", "y").groupBy(*by, "series").applyInArrow(run, schema)
+
+
+def rolling(panels: DataFrame, model: str, by: list[str]) -> DataFrame:
+    """Forecasts of a local model at every origin: by, origin, series, horizon, q.
+
+    panels (by, origin, series, period, y) are as each origin saw them. A task gets a series once, with all its
+    origins in order, and a fit begins where that of the origin before ended; one group is a series' history
+    times its origins (a few thousand numbers), whatever the number of series.
+    """
+    ship(panels.sparkSession)
+    fit = LOCAL[model]
+    kinds = dict(panels.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), f"origin {kinds['origin']}, series string, horizon int, q array<double>"])
+
+    def run(table: pa.Table) -> pa.Table:
+        name = table["series"][0].as_py()
+        label = "|".join([*(str(table[b][0].as_py()) for b in by), name])
+        origins, months = table["origin"].to_pylist(), table["period"].to_pylist()
+        at: dict = {}
+        for o, m, v in zip(origins, months, table["y"].to_pylist(), strict=True):
+            at.setdefault(o, {})[m.year * 12 + m.month] = np.nan if v is None else v
+        known: dict = {}
+        rows = []
+        for o in sorted(at):
+            first, last = min(at[o]), max(at[o])
+            y = np.array([at[o].get(k, np.nan) for k in range(first, last + 1)])
+            got = fit(y, zlib.crc32(f"{label}|{o}".encode()), known)
+            if got is not None:
+                rows += [(o, h + 1, q.tolist()) for h, q in enumerate(got) if not np.isnan(q).any()]
+        keys = {b: pa.array([table[b][0].as_py()] * len(rows), table.schema.field(b).type) for b in by}
+        return pa.table({**keys, "origin": pa.array([r[0] for r in rows], table.schema.field("origin").type), "series": pa.array([name] * len(rows), pa.string()), "horizon": pa.array([r[1] for r in rows], pa.int32()), "q": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
+
+    return panels.select(*by, "origin", "series", "period", "y").groupBy(*by, "series").applyInArrow(run, schema)

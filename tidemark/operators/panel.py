@@ -133,5 +133,20 @@ def seasonal_profile(panel: DataFrame, by: list[str]) -> DataFrame:
     return eff.withColumn("effect", F.col("effect") - F.avg("effect").over(Window.partitionBy(*by)))
 
 
+def prepared(panel: DataFrame, targets: tuple[str, ...], relative: dict[str, str], n: int = 12) -> DataFrame:
+    """target, series, period, y and offset, as a joint model of all targets takes them: series that have every
+    target, implausible values left out, and the log of the mean of a series' last n values (at least 1) to
+    centre it on; for targets in `relative` less that of the target named there."""
+    by = ["target", "series"]
+    whole = panel.where(F.col("target").isin(*targets)).groupBy("series").agg(F.countDistinct("target").alias("_n")).where(F.col("_n") == len(targets)).select("series")
+    clean = implausible(panel.where(F.col("target").isin(*targets)).join(whole, "series", "left_semi"), by).select(*by, "period", F.col("y_clean").alias("y"))
+    recent = recent_mean(clean, by, n).select(*by, F.log(F.greatest("recent", F.lit(1.0))).alias("_level"))
+    base = F.create_map(*(F.lit(x) for pair in relative.items() for x in pair)) if relative else None
+    other = recent.select(F.col("target").alias("_of"), "series", F.col("_level").alias("_base"))
+    out = clean.join(recent, by, "left").withColumn("_of", F.try_element_at(base, F.col("target")) if relative else F.lit(None).cast("string"))
+    out = out.join(other, ["_of", "series"], "left")
+    return out.select(*by, "period", "y", (F.coalesce("_level", F.lit(0.0)) - F.coalesce("_base", F.lit(0.0))).alias("offset"))
+
+
 def mark_winter(df: DataFrame, period: str = "period") -> DataFrame:
     return df.withColumn("winter", is_winter(period))

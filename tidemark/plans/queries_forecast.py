@@ -114,6 +114,15 @@ def implausible_values(spark, d):
     return rounded(P.implausible(org_panel(spark, d), BY))
 
 
+@query(f"""{W}, {SQL_ORG}, m AS (SELECT *, count(y) OVER {_rows(12, '1 PRECEDING')} AS n, quantile_cont(y, 0.5) OVER {_rows(12, '1 PRECEDING')} AS med FROM panel),
+ c AS (SELECT target, series, period, CASE WHEN NOT (y <= 0 OR coalesce(n >= 6 AND y < 0.1 * med, false)) THEN y END AS y FROM m WHERE series IN (SELECT series FROM panel GROUP BY series HAVING count(DISTINCT target) = 3)),
+ l AS (SELECT target, series, ln(greatest(avg(y), 1)) AS level FROM (SELECT *, row_number() OVER (PARTITION BY target, series ORDER BY period DESC) AS k FROM c WHERE y IS NOT NULL) WHERE k <= 12 GROUP BY ALL)
+ SELECT c.target, c.series, c.period, round(y, 6) AS y, round(coalesce(l.level, 0) - coalesce(f.level, 0), 6) AS offset FROM c LEFT JOIN l USING (target, series) LEFT JOIN l f ON f.series = c.series AND f.target = 'first' AND c.target = 'rest'""")
+def prepared_panels(spark, d):
+    """All targets of each organisation, cleaned and centred for a joint model."""
+    return rounded(P.prepared(org_panel(spark, d), ("all", "first", "rest"), {"rest": "first"}))
+
+
 @query(f"{W}, {SQL_ORG}, b AS (SELECT *, count(y) OVER {_rows(11, '1 PRECEDING')} AS n FROM panel) SELECT period, count(*) FILTER (WHERE n > 0 AND y IS NULL) AS n_missing, count(y) AS n_present FROM b GROUP BY ALL")
 def missing_by_month(spark, d):
     return P.missing_by_month(org_panel(spark, d), BY)
@@ -682,6 +691,21 @@ for _name in ("ets", "stl_arima", "boosted", "ensemble"):
     query(None, f"model_{_name}")(_model(_name))
 
 
+def _rolling(name):
+    def run(spark, d):
+        """Forecasts of a local model as each origin would have made them."""
+        from tidemark.operators import models
+
+        f = models.rolling(panels_cut(spark, d), name, ["target"])
+        return rounded(f.select("origin", "target", "series", "horizon", A.at("q", 0.05).alias("lo"), A.at("q", 0.5).alias("mid"), A.at("q", 0.95).alias("hi")), 4)
+
+    return run
+
+
+for _name in ("ets", "stl_arima"):
+    query(None, f"rolling_{_name}")(_rolling(_name))
+
+
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)
  SELECT day, event_type, n, mean FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_daily_events(spark, d):
