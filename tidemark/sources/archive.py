@@ -36,7 +36,8 @@ def keep(spark: SparkSession, fetched: DataFrame, folder: str) -> int:
 
     Bytes that the archive holds under any name are not written again. A name whose bytes differ from
     those it already stands for gets digits of the hash. A row without content is logged with an error. Only
-    hashes and names are compared; bodies are written once, and go through no shuffle but that of one join.
+    hashes and names are compared; new bodies alone are joined to their names and written. is_new in the log says
+    that the run wrote the body.
     Bodies are written before the log, and rows logged before (url and time) are left out, so running it
     again after a loss, or for nothing, adds nothing twice.
     """
