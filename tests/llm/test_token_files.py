@@ -123,3 +123,18 @@ def test_rows_that_share_an_id_are_spread_and_in_order(spark):
     by_start = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in by_start] == [None] * 300 + [5] * 300 + [9]
     assert all(a.start + a.n_tokens == b.start for a, b in zip(by_start, by_start[1:]))
+
+
+def test_a_worker_keeps_few_pieces_between_tasks_and_forgets_many(monkeypatch):
+    e = t.Encoder(t.tokenizer_path(), True)
+    first, second = (next(pieces(pa.array([x]))) for x in ("one two three", "two three four"))
+    want = t.Encoder(t.tokenizer_path(), True).encode(second)
+    e.encode(first)
+    known = e.slots
+    e.rest()
+    assert e.slots == known > 0
+    got = e.encode(second)
+    assert e.slots < known + 3 and all((a == b).all() for a, b in zip(got, want, strict=True))
+    monkeypatch.setattr(t, "KEEP_PIECES", 2)
+    e.rest()
+    assert e.slots == 0

@@ -40,6 +40,7 @@ END_ID = 2
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 19
 CACHE_PIECES = 1_500_000
+KEEP_PIECES = 400_000  # some 40 MB
 LATELY = 60_000
 PIECE = 1 << 20
 U64 = np.uint64
@@ -135,6 +136,11 @@ class Encoder:
         self.first, self.ids, self.slots, self.filled = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
         self.spelled, self.letters, self.written = np.zeros(1024, np.int64), np.zeros(4096, np.uint8), 0
 
+    def rest(self) -> None:
+        """Between tasks of a worker: few pieces stay for the next task, many would count against its executor."""
+        if self.slots > KEEP_PIECES:
+            self.forget()
+
     def _find(self, names: np.ndarray) -> np.ndarray:
         """Slots of names; -1 for those not known."""
         out = np.full(len(names), -1)
@@ -261,7 +267,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, mode: str = "byte
                     number, start, held, docs_, ids, lengths = number + 1, start + held, 0, [], [], []
         if held:
             yield chunk(part, number, start, docs_, ids, lengths)
-        encoder.forget()  # a worker lives on after its task
+        encoder.rest()  # a worker lives on after its task
 
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
