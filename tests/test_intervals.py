@@ -75,3 +75,9 @@ def test_panels_of_groups_and_regions_read_the_lines_once(spark, monkeypatch):
     monkeypatch.setattr(T, "vintages", lambda *a, f=T.vintages: calls.append(a) or f(*a))
     catalog.QUERIES["coherence_gaps"](spark, SF)
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["model_ets", "panel_spine"])
+def test_panels_are_not_read_from_the_lines_again(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan, plan
