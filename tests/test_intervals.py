@@ -81,3 +81,27 @@ def test_panels_of_groups_and_regions_read_the_lines_once(spark, monkeypatch):
 def test_panels_are_not_read_from_the_lines_again(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan, plan
+
+
+@pytest.mark.parametrize("level", ["group_code", "region"])
+def test_final_sums_of_parents_are_those_of_the_newest_versions(spark, odd, level):
+    """Of all periods, whether or not an origin saw them; versions without a number are no one's."""
+    v, o, _ = odd
+    late = [(date(1999, 12, 1), 1, m, 1, 3.0, date(2000, 2, 10)) for m in "ANR"] + [(date(1999, 5, 1), 2, "A", None, 8.0, None)]
+    v = v.select("period", "org_code", "metric", "version", "value", "snapshot").union(spark.createDataFrame(late, "period date, org_code long, metric string, version int, value double, snapshot date"))
+    parents = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "x")], "org_code long, group_code string, region string")
+    known = v.where("period is not null and version is not null")
+    want = V.roll_up(V.targets(V.latest(known), T.TARGETS, ["period", "org_code"]).where("y is not null"), parents, level, ["target", "period"])
+    sums = V.as_of_sums(v, T.TARGETS, parents, ["group_code", "region"], o, finals=True)
+    got = V.final_parents(sums, T.TARGETS, level)
+    assert shown(got) == shown(want) and date(1999, 12, 1) in {r.period for r in got.collect()}
+    grid = V.targets(V.as_of_grid(v, o), T.TARGETS, ["origin", "period", "org_code"]).where("y is not null")
+    assert shown(V.as_of_parents(sums, T.TARGETS, level, o)) == shown(V.roll_up(grid, parents, level, ["origin", "target", "period"]))
+
+
+@pytest.mark.parametrize("name", ["two_way_differences", "paired_bootstrap", "cluster_mean", "score_drops"])
+def test_scores_and_their_outturns_come_from_one_reading_of_the_lines(spark, monkeypatch, name):
+    calls = []
+    monkeypatch.setattr(T, "vintages", lambda *a, f=T.vintages: calls.append(a) or f(*a))
+    catalog.QUERIES[name](spark, SF)
+    assert len(calls) == 1
