@@ -105,3 +105,10 @@ def test_scores_and_their_outturns_come_from_one_reading_of_the_lines(spark, mon
     monkeypatch.setattr(T, "vintages", lambda *a, f=T.vintages: calls.append(a) or f(*a))
     catalog.QUERIES[name](spark, SF)
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["cluster_mean", "cluster_slope"])
+def test_scores_of_clusters_are_made_once(spark, name):
+    """The mean or the fit, and the residuals, read scores that were written."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan, plan
