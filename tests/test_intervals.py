@@ -6,8 +6,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import second_thursday
 from tidemark.operators import vintage as V
-from tidemark.plans import catalog
+from tidemark.plans import catalog, queries_forecast
 from tidemark.plans import testbed as T
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +113,34 @@ def test_scores_of_clusters_are_made_once(spark, name):
     """The mean or the fit, and the residuals, read scores that were written."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan, plan
+
+
+def test_intervals_of_changes_are_those_of_their_running_sums(spark):
+    """Several rows of a version, rows without a version or a change, metrics and orgs that are missing."""
+    rng = random.Random(8)
+    rows = [(date(1999, rng.randint(1, 6), 1), rng.choice([1, 2, 3, None]), rng.choice("ANRX"), rng.choice([1, 2, 3, 4, None]), rng.choice([1.0, 2.0, -5.0, None])) for _ in range(400)]
+    rows.append((None, 1, "A", 1, 1.0))
+    c = spark.createDataFrame(rows, "period date, org_code long, metric string, version int, change double").withColumn("snapshot", second_thursday(F.add_months("period", F.col("version"))))
+    of = V.Window.partitionBy("org_code", "period", "metric").orderBy(F.asc_nulls_last("version"))
+    v = c.groupBy("period", "org_code", "metric", "version", "snapshot").agg(F.sum("change").alias("_c")).withColumn("value", F.sum("_c").over(of)).drop("_c")
+    o = T.months(spark, "1999-01-01", "1999-12-01").where("month(origin) not in (4, 8)")
+    for finals in (False, True):
+        got = V.target_intervals(c, T.TARGETS, o, finals=finals)
+        assert shown(got) == shown(V.target_intervals(v, T.TARGETS, o, finals=finals)) and got.where("all is not null").count() > 20
+    assert shown(V.first_release(c, T.TARGETS, o)) == shown(V.first_release(v, T.TARGETS, o))
+
+
+def test_lines_are_the_changes_of_the_versions(spark):
+    c, v = T.vintages(spark, SF, "change"), T.vintages(spark, SF)
+    o = T.months(spark, "1998-01-01", "2000-12-01")
+    assert shown(V.target_intervals(c, T.TARGETS, o, finals=True)) == shown(V.target_intervals(v, T.TARGETS, o, finals=True))
+
+
+@pytest.mark.parametrize("name", ["paired_bootstrap", "fit_status", "coherence_gaps"])
+def test_panels_sort_the_lines_once(spark, monkeypatch, name):
+    """One window over the lines, and no sums by version before it."""
+    plans = []
+    monkeypatch.setattr(queries_forecast, "cut", lambda df, f=queries_forecast.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    catalog.QUERIES[name](spark, SF)
+    lines = [p for p in plans if "l_suppkey" in p]
+    assert lines and all(p.count("Window [") == p.count("RepartitionByExpression [") and "l_linenumber" in p and "Aggregate [period" not in p.split("Window [")[-1] for p in lines), lines
